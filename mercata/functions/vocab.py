@@ -146,7 +146,7 @@ HEADLINES = {
 RECOMMENDATION_BODY = "Tienes %d productos de esta categoría en stock."
 CONFIDENCE_ORDER = ["low", "medium", "high"]
 # A growth label is a number only when it reads as a percentage.
-GROWTH_PATTERN = r"^[+-]?[\d.,\s  ]*\d[\d.,\s  ]*%$"
+GROWTH_PATTERN = r"(?U)^[+-]?[\d.,\s  ]*\d[\d.,\s  ]*%$"
 
 # --- relevance of discovered queries (fixed values) -------------------------------
 RETAIL_WORDS = ["comprar", "precio", "barato", "oferta", "rebajas", "tienda",

@@ -23,8 +23,11 @@ def get_session(app="mercata", master=None, **conf):
     return builder.getOrCreate()
 
 
+_LOCAL = []
+
+
 def shared_dir(spark, name):
-    """`name` inside the cluster's shared checkpoint folder.
+    """`name` inside the folder the cluster names in spark.checkpoint.dir.
 
     A temporary folder is made only for a local master with nothing set.
     """
@@ -32,13 +35,18 @@ def shared_dir(spark, name):
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
-        root = tempfile.mkdtemp(prefix="mercata-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="mercata-"))
+        root = _LOCAL[0]
     return os.path.join(root, name)
 
 
-def cut_lineage(spark, df):
-    """Reliable checkpoint in the shared folder; survives lost executors."""
+def cut_lineage(df):
+    """Reliable checkpoint in the shared folder; survives lost executors.
+
+    For small results that several branches of a job read again.
+    """
+    spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
     return df.checkpoint()

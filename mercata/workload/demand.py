@@ -1 +1,546 @@
-"""pending"""
+"""Demand signals, recommendations, dashboard and trend captures."""
+
+from pyspark.sql import functions as F
+
+from ..functions import num, vocab
+from ..operators import analytics, contracts, recommend, signals as sig, trends, upsert
+from ..plans import demand as demand_plan
+from ..session import cut_lineage
+from . import views as v
+from .registry import half_even_sql, query, sql_list, with_
+
+
+def uuid_sql(namespace, name):
+    ns = namespace.replace("-", "")
+    h = f"sha1(unhex('{ns}') || encode({name}))"
+    return (f"(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3)"
+            f" || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab')"
+            f" || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT {h} AS h))")
+
+
+# --- signals ------------------------------------------------------------------
+
+WEEKLY = f"""v_capture AS (
+  SELECT keyword, geo, timeframe, date_trunc('week', d)::DATE AS window_start, capture_id,
+    captured_at, avg(value) AS mean FROM v_points GROUP BY ALL),
+v_weekly AS (
+  SELECT keyword, geo, timeframe, window_start, window_start + 6 AS window_end,
+    {half_even_sql('mean')} AS interest_avg, capture_id FROM v_capture
+  QUALIFY row_number() OVER (PARTITION BY keyword, geo, timeframe, window_start
+    ORDER BY captured_at::TIMESTAMPTZ DESC, captured_at DESC, capture_id DESC) = 1)"""
+
+MOVED = f"""v_delta AS (
+  SELECT *, lag(interest_avg) OVER w AS prev, lag(window_end) OVER w AS prev_end,
+    row_number() OVER w AS weeks FROM v_weekly
+  WINDOW w AS (PARTITION BY keyword, geo, timeframe ORDER BY window_start)),
+v_dir0 AS (
+  SELECT *, CASE WHEN prev > 0
+      THEN {half_even_sql('(interest_avg - prev) / prev * 100.0::DOUBLE')}
+    WHEN prev IS NOT NULL AND interest_avg > 0 THEN 100.0::DOUBLE
+    ELSE 0.0::DOUBLE END AS delta_pct FROM v_delta),
+v_dir AS (
+  SELECT *, CASE WHEN delta_pct >= 15 THEN 'rising' WHEN delta_pct <= -15 THEN 'falling'
+    ELSE 'flat' END AS direction FROM v_dir0),
+v_conf AS (
+  SELECT *, coalesce(bool_or(date_diff('day', prev_end, window_start) > 1)
+      OVER (PARTITION BY keyword, geo, timeframe), false) AS gap,
+    min(direction) OVER l = max(direction) OVER l AND weeks >= 3 AS stable FROM v_dir
+  WINDOW l AS (PARTITION BY keyword, geo, timeframe ORDER BY window_start
+    ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+v_signals AS (
+  SELECT keyword, keyword AS category, geo, timeframe, window_start, window_end,
+    interest_avg, delta_pct, direction,
+    dense_rank() OVER (PARTITION BY window_start, window_end, geo, timeframe
+      ORDER BY interest_avg DESC) AS rank,
+    CASE WHEN gap THEN 'low' WHEN weeks >= 8 AND interest_avg >= 20 AND stable THEN 'high'
+      WHEN weeks >= 4 AND interest_avg >= 10 THEN 'medium' ELSE 'low' END AS confidence,
+    capture_id, 'demand_signal|' || keyword || '|' || geo || '|' || timeframe || '|'
+      || window_start::VARCHAR || '|' || window_end::VARCHAR AS natural_key
+  FROM v_conf)"""
+_SIGNALS = [v.POINTS, WEEKLY, MOVED]
+
+
+def signals(spark, sf):
+    categories = v.table(spark, sf, "part").select(v.category().alias("category"))
+    return sig.compute_signals(v.points(spark, sf), categories, v.COMPUTED_AT)
+
+
+@query("weekly_interest", with_(v.POINTS, WEEKLY, select="""
+SELECT keyword, geo, window_start, window_end, interest_avg, capture_id FROM v_weekly"""))
+def weekly_interest(spark, sf):
+    w = sig.weekly_interest(v.points(spark, sf))
+    return w.select("keyword", "geo", "window_start", "window_end", "interest_avg",
+                    F.get("snapshot_ids", F.lit(0)).alias("capture_id"))
+
+
+@query("demand_signals", with_(*_SIGNALS, select=f"""
+SELECT {uuid_sql(vocab.SIGNAL_NAMESPACE, 'natural_key')} AS id, keyword, category, geo,
+  timeframe, window_start, window_end, interest_avg, delta_pct, direction, rank, confidence,
+  capture_id FROM v_signals"""))
+def demand_signals(spark, sf):
+    return signals(spark, sf).withColumn(
+        "capture_id", F.get("snapshot_ids", F.lit(0))).withColumn(
+        "rank", F.col("rank").cast("long")).drop("snapshot_ids", "computed_at")
+
+
+@query("latest_window_signals", with_(*_SIGNALS, select="""
+SELECT keyword, geo, window_start, interest_avg, rank FROM v_signals
+WHERE window_start = (SELECT max(window_start) FROM v_signals)"""))
+def latest_window_signals(spark, sf):
+    return sig.latest_window(signals(spark, sf)).select(
+        "keyword", "geo", "window_start", "interest_avg",
+        F.col("rank").cast("long").alias("rank"))
+
+
+@query("signal_listing", with_(*_SIGNALS, select="""
+SELECT keyword, geo, window_start, interest_avg, rank FROM v_signals
+WHERE direction = 'rising' ORDER BY rank, window_start, geo, keyword LIMIT 100"""))
+def signal_listing(spark, sf):
+    rows = sig.list_signals(signals(spark, sf), "rank", 100, direction="rising",
+                            timeframe=v.TIMEFRAME, keyword=None)
+    return rows.select("keyword", "geo", "window_start", "interest_avg",
+                       F.col("rank").cast("long").alias("rank"))
+
+
+@query("keyword_series", with_(*_SIGNALS, select="""
+SELECT geo, window_start, interest_avg, delta_pct FROM v_signals
+WHERE keyword = 'grocery' ORDER BY window_start, geo LIMIT 500"""))
+def keyword_series(spark, sf):
+    rows = sig.list_signals(signals(spark, sf), "window_start", 500, keyword="grocery")
+    return rows.select("geo", "window_start", "interest_avg", "delta_pct")
+
+
+@query("discovery_parents", with_(*_SIGNALS, select=f"""
+SELECT keyword, max(delta_pct) AS delta_pct FROM v_signals
+WHERE interest_avg >= 1 AND window_start = (
+  SELECT max(window_start) FROM v_signals WHERE window_end < '{v.AS_OF}'::DATE)
+GROUP BY keyword ORDER BY 2 DESC, 1 LIMIT 10"""))
+def discovery_parents(spark, sf):
+    return sig.discovery_parents(signals(spark, sf), v.AS_OF)
+
+
+# --- recommendations ------------------------------------------------------------
+
+_REC_KEY = ("'recommendation|' || store_id::VARCHAR || '|' || signal_id")
+RECS = f"""v_stock AS (
+  SELECT category, shop_id AS store_id, count(*) AS n FROM v_inventory WHERE qty > 0
+  GROUP BY 1, 2),
+v_ids AS (
+  SELECT *, {uuid_sql(vocab.SIGNAL_NAMESPACE, 'natural_key')} AS signal_id FROM v_signals),
+v_recs AS (
+  SELECT store_id, signal_id, s.category, direction, confidence, window_start, n,
+    CASE WHEN direction = 'rising' AND n >= 3 THEN 'feature_in_window'
+      WHEN direction = 'rising' AND confidence IN ('high', 'medium') THEN 'stock_up'
+      ELSE 'watch' END AS action
+  FROM v_ids s JOIN v_stock k ON s.category = k.category)"""
+_RECS = [v.INVENTORY, *_SIGNALS, RECS]
+
+
+@query("store_category_stock", with_(v.INVENTORY, select="""
+SELECT category, shop_id AS store_id, count(*) AS in_stock_count FROM v_inventory
+WHERE qty > 0 GROUP BY 1, 2"""))
+def store_category_stock(spark, sf):
+    return recommend.stock_by_store(v.products(spark, sf))
+
+
+@query("recommendation_mix", with_(*_RECS, select="""
+SELECT window_start, category, action, confidence, count(*) AS recommendations,
+  count(DISTINCT store_id) AS stores FROM v_recs GROUP BY 1, 2, 3, 4"""))
+def recommendation_mix(spark, sf):
+    s = signals(spark, sf)
+    recs = recommend.build(s, v.products(spark, sf), v.COMPUTED_AT)
+    facts = s.select(F.col("id").alias("signal_id"), "window_start", "category")
+    return recs.join(facts, "signal_id").groupBy(
+        "window_start", "category", "action", "confidence").agg(
+        F.count(F.lit(1)).alias("recommendations"),
+        F.count_distinct("store_id").alias("stores"))
+
+
+@query("recommendations", with_(*_RECS, select=f"""
+SELECT {uuid_sql(vocab.SIGNAL_NAMESPACE, _REC_KEY)} AS id, store_id::VARCHAR AS store_id,
+  signal_id, action, confidence,
+  CASE direction WHEN 'rising' THEN 'Sube el interés por ' WHEN 'falling'
+    THEN 'Baja el interés por ' ELSE 'Interés estable por ' END || category
+    || ' en Madrid' AS headline,
+  'Tienes ' || n::VARCHAR || ' productos de esta categoría en stock.' AS body,
+  '{vocab.CAVEAT}' AS caveat
+FROM v_recs WHERE window_start = (SELECT max(window_start) FROM v_signals)"""))
+def recommendations(spark, sf):
+    current = sig.latest_window(signals(spark, sf))
+    return recommend.build(current, v.products(spark, sf), v.COMPUTED_AT).drop("created_at")
+
+
+@query("store_recommendations", with_(*_RECS, select=f"""
+SELECT id, action FROM (
+  SELECT {uuid_sql(vocab.SIGNAL_NAMESPACE, _REC_KEY)} AS id, action FROM v_recs
+  WHERE store_id = 5) ORDER BY id LIMIT 100"""))
+def store_recommendations(spark, sf):
+    recs = recommend.build(signals(spark, sf), v.products(spark, sf), v.COMPUTED_AT)
+    return recommend.of_store(recs, 5).select("id", "action")
+
+
+# --- dashboard --------------------------------------------------------------------
+
+MOVERS = """v_movers AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY keyword
+      ORDER BY rank, window_end DESC, geo) AS rn FROM v_signals
+    WHERE window_start = (SELECT max(window_start) FROM v_signals))
+  WHERE rn = 1 ORDER BY rank, window_end DESC, keyword LIMIT 20)"""
+MIX = f"""v_mix AS (
+  SELECT category, count(*) AS product_count,
+    {half_even_sql('count(*) / (SELECT count(*)::DOUBLE FROM v_inventory) * 100.0::DOUBLE')}
+    AS share_pct FROM v_inventory GROUP BY 1)"""
+RISK = f"""v_risk AS (
+  SELECT category, count(*) FILTER (qty <= 2) AS at_risk_count, count(*) AS total_count,
+    {half_even_sql('count(*) FILTER (qty <= 2) / count(*)::DOUBLE * 100.0::DOUBLE')}
+    AS risk_pct FROM v_inventory GROUP BY 1)"""
+
+
+@query("top_movers", with_(*_SIGNALS, MOVERS, select="""
+SELECT keyword, category, interest_avg, delta_pct, direction FROM v_movers"""))
+def top_movers(spark, sf):
+    return analytics.top_movers(sig.latest_window(signals(spark, sf))).select(
+        "keyword", "category", "interest_avg", "delta_pct", "direction")
+
+
+@query("category_mix", with_(v.INVENTORY, MIX, select="SELECT * FROM v_mix"))
+def category_mix(spark, sf):
+    return analytics.category_mix(v.products(spark, sf))
+
+
+@query("stock_out_risk", with_(v.INVENTORY, RISK, select="SELECT * FROM v_risk"))
+def stock_out_risk(spark, sf):
+    return analytics.stock_out_risk(v.products(spark, sf))
+
+
+@query("segment_confidence", with_(v.INVENTORY, *_SIGNALS, MOVERS, select=f"""
+SELECT (SELECT CASE min(list_position({sql_list(vocab.CONFIDENCE_ORDER)}, confidence))
+      WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END FROM v_movers) AS top_movers,
+  (SELECT CASE WHEN count(*) < {vocab.PRODUCTS_CAP} THEN 'high' ELSE 'low' END
+   FROM v_inventory) AS census"""))
+def segment_confidence(spark, sf):
+    movers = analytics.top_movers(sig.latest_window(signals(spark, sf)))
+    read = v.products(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    return read.select(
+        movers.agg(analytics.weakest("confidence")).scalar().alias("top_movers"),
+        analytics.census(F.col("n")).alias("census"))
+
+
+@query("dashboard_document", with_(v.INVENTORY, *_SIGNALS, MOVERS, MIX, RISK, select=f"""
+SELECT 'convenience_store' AS inventory_type, '{vocab.CAVEAT}' AS caveat,
+  (SELECT count(*) FROM v_movers) AS movers,
+  (SELECT keyword FROM v_movers ORDER BY rank, window_end DESC, keyword LIMIT 1) AS first_mover,
+  (SELECT count(*) FROM v_mix) AS categories,
+  (SELECT round(sum(share_pct), 6) FROM v_mix) AS shares,
+  (SELECT sum(at_risk_count)::BIGINT FROM v_risk) AS at_risk"""))
+def dashboard_document(spark, sf):
+    """The document, read back through its JSON text."""
+    doc = analytics.dashboard(signals(spark, sf), v.products(spark, sf), v.TIMEFRAME,
+                              v.COMPUTED_AT)
+    segment = "struct<confidence:string,points:array<struct<keyword:string," \
+              "share_pct:double,at_risk_count:bigint>>>"
+    d = doc.select(F.from_json("document", f"inventory_type string, caveat string, segments "
+                   f"struct<top_movers:{segment},category_mix:{segment},"
+                   f"stock_out_risk:{segment}>").alias("d"))
+    s = "d.segments."
+    return d.select(
+        "d.inventory_type", "d.caveat",
+        F.size(s + "top_movers.points").cast("long").alias("movers"),
+        F.get(s + "top_movers.points", F.lit(0))["keyword"].alias("first_mover"),
+        F.size(s + "category_mix.points").cast("long").alias("categories"),
+        F.round(F.aggregate(s + "category_mix.points", F.lit(0.0),
+                            lambda t, p: t + p["share_pct"]), 6).alias("shares"),
+        F.aggregate(s + "stock_out_risk.points", F.lit(0).cast("long"),
+                    lambda t, p: t + p["at_risk_count"]).alias("at_risk"))
+
+
+# --- keyword universe, batches, captures ---------------------------------------------
+
+SEEDS = f"""v_seeds AS (
+  SELECT initcap_name AS keyword, min(p_partkey) AS pos FROM (
+    SELECT p_partkey, upper(p_name[1]) || p_name[2:] AS initcap_name FROM part) GROUP BY 1
+  UNION ALL SELECT 'GROCERY', 1000000000),
+v_universe AS (
+  SELECT lower(trim(keyword)) AS key, arg_min(keyword, (source, pos)) AS keyword FROM (
+    SELECT 0 AS source, pos, keyword FROM v_seeds UNION ALL
+    SELECT DISTINCT 1, 0, {v.CATEGORY_SQL} FROM part)
+  GROUP BY 1 ORDER BY 1 LIMIT 100)"""
+
+
+def universe(spark, sf):
+    """Seeds: part names and one shouted category; products: the catalog."""
+    part = v.table(spark, sf, "part")
+    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
+    named = part.groupBy(name.alias("keyword")).agg(F.min("p_partkey").alias("pos"))
+    shouted = part.agg(F.lit("GROCERY").alias("keyword"),
+                       F.lit(1000000000).cast("long").alias("pos"))
+    categories = part.select(v.category().alias("category"))
+    return trends.keyword_universe(named.unionByName(shouted), categories)
+
+
+ANCHOR = """v_anchor AS (
+  SELECT coalesce((SELECT keyword FROM (
+      SELECT keyword, row_number() OVER (ORDER BY interest_avg, keyword) AS rn,
+        count(*) OVER () AS n FROM v_signals
+      WHERE interest_avg > 0 AND keyword IN (SELECT keyword FROM v_universe)
+        AND window_start = (SELECT max(window_start) FROM v_signals
+          WHERE interest_avg > 0 AND keyword IN (SELECT keyword FROM v_universe)))
+    WHERE rn = (n - 1) // 2 + 1),
+    (SELECT arg_min(keyword, key) FROM v_universe)) AS anchor)"""
+BATCHES = """v_batches AS (
+  SELECT ((rn - 1) // 4)::INT AS batch, ((rn - 1) % 4 + 1)::INT AS slot, keyword FROM (
+    SELECT keyword, row_number() OVER (ORDER BY key) AS rn FROM v_universe
+    WHERE keyword <> (SELECT anchor FROM v_anchor))
+  UNION ALL
+  SELECT DISTINCT ((rn - 1) // 4)::INT, 0, (SELECT anchor FROM v_anchor) FROM (
+    SELECT row_number() OVER (ORDER BY key) AS rn FROM v_universe
+    WHERE keyword <> (SELECT anchor FROM v_anchor)))"""
+_BATCHES = [*_SIGNALS, SEEDS, ANCHOR, BATCHES]
+
+
+@query("keyword_universe", with_(SEEDS, select="SELECT key, keyword FROM v_universe"))
+def keyword_universe(spark, sf):
+    return universe(spark, sf)
+
+
+@query("batch_anchor", with_(*_SIGNALS, SEEDS, ANCHOR, select="SELECT anchor FROM v_anchor"))
+def batch_anchor(spark, sf):
+    return trends.pick_anchor(signals(spark, sf), universe(spark, sf))
+
+
+def batches(spark, sf):
+    """At most a hundred rows, read by several branches of a capture."""
+    u = cut_lineage(universe(spark, sf))
+    return cut_lineage(trends.batches(u, trends.pick_anchor(signals(spark, sf), u)))
+
+
+@query("keyword_batches", with_(*_BATCHES, select="SELECT * FROM v_batches"))
+def keyword_batches(spark, sf):
+    return batches(spark, sf)
+
+
+# A payload per batch: one entry per week, each value scaled so that the batch
+# peaks at 100. Mondays on the first of a month are unreadable, even batches
+# leave the query name out.
+READINGS = f"""v_read AS (
+  SELECT kw, week, {half_even_sql('avg(q)')} AS value FROM (
+    SELECT upper(p_name[1]) || p_name[2:] AS kw, date_trunc('week', l_shipdate)::DATE AS week,
+      l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey
+    UNION ALL
+    SELECT CASE WHEN {v.CATEGORY_SQL} = 'grocery' THEN 'GROCERY' ELSE {v.CATEGORY_SQL} END,
+      date_trunc('week', l_shipdate)::DATE, l_quantity
+    FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2),
+v_scaled AS (
+  SELECT batch, slot, keyword, week, value * 100.0::DOUBLE
+    / max(value) OVER (PARTITION BY batch) AS value
+  FROM v_batches JOIN v_read ON keyword = kw),
+v_seen AS (SELECT * FROM v_scaled WHERE day(week) <> 1)"""
+
+
+def captures(spark, sf):
+    part = v.table(spark, sf, "part")
+    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
+    kind = F.when(v.category() == "grocery", "GROCERY").otherwise(v.category())
+    terms = part.select(F.col("p_partkey").alias("l_partkey"),
+                        F.explode(F.array(name, kind)).alias("keyword"))
+    week = F.date_trunc("week", "l_shipdate").cast("date")
+    read = (v.table(spark, sf, "lineitem")
+            .groupBy("l_partkey", week.alias("week"))
+            .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"),
+                 F.count("l_quantity").alias("n"))
+            .join(terms, "l_partkey").groupBy("keyword", "week")
+            .agg(num.half_even(F.sum("q").cast("double") / F.sum("n")).alias("value")))
+    b = batches(spark, sf)
+    peaks = b.join(read, "keyword").groupBy("batch").agg(F.max("value").alias("peak"))
+    weeks = read.select("week").distinct()
+    slots = b.join(peaks, "batch").withColumn("one", F.lit(1))
+    grid = slots.join(weeks.withColumn("one", F.lit(1)), "one").join(
+        read, ["keyword", "week"], "left")
+    scaled = (F.col("value") * 100.0 / F.col("peak")).cast("string")
+    shown = F.when((F.dayofmonth("week") == 1) | F.col("value").isNull(), "N/A").otherwise(scaled)
+    stamp = (F.unix_date("week").cast("long") * 86400).cast("string")
+    entry = F.struct("slot", F.when(F.col("batch") % 2 == 1, F.col("keyword")).alias("query"),
+                     shown.alias("extracted_value"))
+    # at most five terms a batch and one entry a week
+    lines = grid.groupBy("batch", "week", stamp.alias("timestamp")).agg(
+        F.array_sort(F.collect_list(entry)).alias("values"))
+    docs = lines.groupBy("batch").agg(F.array_sort(F.collect_list(
+        F.struct("week", "timestamp", "values"))).alias("timeline_data"))
+    asked = b.groupBy("batch").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("slot", "keyword"))),
+                    lambda x: x["keyword"]).alias("keywords"))
+    payload = F.to_json(F.struct(F.struct("timeline_data").alias("interest_over_time")))
+    return docs.join(asked, "batch").select(
+        F.lit(1).alias("capture"), F.get("keywords", F.lit(0)).alias("anchor"), "batch",
+        F.lit(v.COMPUTED_AT).alias("captured_at"), "keywords", payload.alias("payload"))
+
+
+@query("parsed_timeseries", with_(*_BATCHES, READINGS, select="""
+SELECT batch, keyword, week::VARCHAR AS date, round(value, 6) AS value FROM v_seen"""))
+def parsed_timeseries(spark, sf):
+    parsed = trends.parse_timeseries(captures(spark, sf))
+    return parsed.select("batch", "keyword", F.explode("series").alias("p")).select(
+        "batch", "keyword", "p.date", F.round("p.value", 6).alias("value"))
+
+
+RESCALED = """v_mean AS (
+  SELECT batch, avg(value) AS mean FROM v_seen WHERE slot = 0 GROUP BY 1),
+v_rescaled AS (
+  SELECT s.batch, s.keyword, s.week, s.value * (SELECT mean FROM v_mean ORDER BY batch LIMIT 1)
+    / m.mean AS value
+  FROM v_seen s JOIN v_mean m ON s.batch = m.batch
+  WHERE s.slot > 0 OR s.batch = (SELECT min(batch) FROM v_mean))"""
+
+
+@query("rescaled_series", with_(*_BATCHES, READINGS, RESCALED, select="""
+SELECT batch, keyword, week::VARCHAR AS date, round(value, 6) AS value FROM v_rescaled"""))
+def rescaled_series(spark, sf):
+    parsed = trends.parse_timeseries(captures(spark, sf))
+    rows = trends.rescale(cut_lineage(
+        parsed.select("capture", "anchor", "batch", "keyword", "series")))
+    return rows.select("batch", "keyword", F.explode("series").alias("p")).select(
+        "batch", "keyword", "p.date", F.round("p.value", 6).alias("value"))
+
+
+def snapshots(spark, sf):
+    """One snapshot per series and capture, a mean value per day."""
+    days = v.points(spark, sf).groupBy(
+        "keyword", "geo", "timeframe", "captured_at", "d").agg(
+        num.half_even(num.exact_mean("value")).alias("value"))
+    s = days.groupBy("keyword", "geo", "timeframe", "captured_at").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("d").cast("string").alias("date"),
+                                             "value"))).alias("series"))
+    return trends.as_snapshots(s, "captured")
+
+
+SNAPSHOTS = f"""v_days AS (
+  SELECT keyword, geo, timeframe, captured_at, d, {half_even_sql('avg(value)')} AS value
+  FROM v_points GROUP BY ALL),
+v_snapshots AS (
+  SELECT keyword, geo, timeframe, captured_at, count(*) AS days, sum(value) AS total,
+    'trend_snapshot|' || keyword || '|' || geo || '|' || timeframe || '|'
+      || captured_at[1:10] AS natural_key
+  FROM v_days GROUP BY ALL)"""
+
+
+@query("newest_captures", with_(v.POINTS, SNAPSHOTS, select=f"""
+SELECT id, keyword, geo, captured_at, days FROM (
+  SELECT *, {uuid_sql(vocab.SIGNAL_NAMESPACE, 'natural_key')} AS id FROM v_snapshots)
+ORDER BY captured_at DESC, id LIMIT 20"""))
+def newest_captures(spark, sf):
+    rows = sig.newest_captures(snapshots(spark, sf), v.TIMEFRAME, 20)
+    return rows.select("id", "keyword", "geo", "captured_at",
+                       F.size("series").cast("long").alias("days"))
+
+
+@query("snapshot_upsert", with_(v.POINTS, SNAPSHOTS, select=f"""
+SELECT {uuid_sql(vocab.SIGNAL_NAMESPACE, 'natural_key')} AS id, keyword, geo,
+  captured_at[1:10] AS captured_date, days FROM v_snapshots"""))
+def snapshot_upsert(spark, sf):
+    """Checked as captured, dated afterwards, stored over its own older copy."""
+    valid = contracts.valid_rows(snapshots(spark, sf), contracts.snapshot())
+    dated = valid.withColumn("captured_date", F.substring("captured_at", 1, 10))
+    older = dated.withColumn("series", F.slice("series", 1, 1))
+    rows = upsert.replace_upsert(older, dated, ["keyword", "geo", "timeframe", "captured_date"])
+    return rows.select("id", "keyword", "geo", "captured_date",
+                       F.size("series").cast("long").alias("days"))
+
+
+@query("signal_upsert", with_(*_SIGNALS, select="""
+SELECT keyword, geo, window_start, interest_avg FROM v_signals"""))
+def signal_upsert(spark, sf):
+    """Storing a run twice leaves one row per key."""
+    s = signals(spark, sf).select("id", "keyword", "geo", "timeframe", "window_start",
+                                  "window_end", "interest_avg")
+    rows = upsert.replace_upsert(s, s, ["keyword", "geo", "timeframe", "window_start",
+                                        "window_end"])
+    return rows.select("keyword", "geo", "window_start", "interest_avg")
+
+
+# --- discovery payloads -------------------------------------------------------------
+
+def discoveries(spark, sf):
+    """One payload per document: its sentences as the rising list."""
+    d = v.table(spark, sf, "documents").select("doc_id", "text")
+    queries = F.filter(F.transform(F.split("text", r"[.!?\n]+"),
+                                   lambda s: F.trim(s)), lambda s: s != "")
+
+    def item(q, i):
+        k = (F.col("doc_id") + i) % 5
+        growth = ((F.col("doc_id") * 7 + i * 13) % 900 + 50).cast("string")
+        return F.struct(
+            q.alias("query"),
+            F.when(k == 0, "Breakout").when(k == 1, F.concat(F.lit("+"), growth, F.lit("%")))
+            .when(k == 2, "+1.200 %").when(k == 3, "Aumento puntual").otherwise("+50%")
+            .alias("value"),
+            F.when(k == 4, "N/A").otherwise(growth).alias("extracted_value"))
+    doc = F.struct(F.struct(F.transform(queries, item).alias("rising")).alias("related_queries"))
+    return d.select("doc_id", F.regexp_extract("text", r"^\s*([^\s]+)", 1).alias("parent_keyword"),
+                    F.lit("ES-MD").alias("geo"), F.lit("").alias("gprop"),
+                    F.lit(v.COMPUTED_AT).alias("captured_at"), F.to_json(doc).alias("payload"))
+
+
+DISCOVERED = rf"""v_lists AS (
+  SELECT doc_id, regexp_extract(text, '^\s*([^\s]+)', 1) AS parent_keyword,
+    [trim(s, ' ') FOR s IN string_split_regex(text, '[.!?\n]+') IF trim(s, ' ') <> ''] AS qs
+  FROM documents),
+v_disc AS (
+  SELECT doc_id, parent_keyword, i - 1 AS pos, qs[i] AS query, (doc_id + i - 1) % 5 AS k,
+    ((doc_id * 7 + (i - 1) * 13) % 900 + 50)::DOUBLE AS g
+  FROM (SELECT *, unnest(range(1, len(qs) + 1)) AS i FROM v_lists)),
+v_parsed AS (
+  SELECT doc_id, parent_keyword, pos, query, CASE WHEN k IN (1, 2) THEN g END AS growth_pct,
+    k NOT IN (1, 2) AS is_breakout FROM v_disc)"""
+
+
+@query("parsed_rising", with_(DISCOVERED, select="""
+SELECT doc_id, parent_keyword, pos, query, growth_pct, is_breakout FROM v_parsed"""))
+def parsed_rising(spark, sf):
+    return trends.parse_rising(discoveries(spark, sf)).select(
+        "doc_id", "parent_keyword", F.col("pos").cast("long").alias("pos"), "query",
+        "growth_pct", "is_breakout")
+
+
+_RISING_KEY = "parent_keyword || '|' || query || '|ES-MD||2002-01-01'"
+
+
+@query("rising_rows", with_(DISCOVERED, select=f"""
+SELECT {uuid_sql(vocab.RISING_NAMESPACE, _RISING_KEY)} AS id, parent_keyword, query,
+  growth_pct, is_breakout, '2002-01-01' AS captured_date
+FROM v_parsed QUALIFY row_number() OVER (PARTITION BY parent_keyword, query
+  ORDER BY doc_id, pos) = 1"""))
+def rising_rows(spark, sf):
+    parsed = trends.parse_rising(discoveries(spark, sf)).withColumn(
+        "pos", F.struct("doc_id", "pos"))
+    return trends.rising_rows(parsed).select(
+        "id", "parent_keyword", "query", "growth_pct", "is_breakout", "captured_date")
+
+
+@query("run_coverage", with_(DISCOVERED, select="""
+SELECT count(*) AS parents, sum(CASE WHEN s IN (0, 3) THEN n ELSE 0 END)::BIGINT AS fetched,
+  sum(CASE WHEN s = 0 THEN n ELSE 0 END)::BIGINT AS stored, count(*) FILTER (s = 1) AS empty,
+  count(*) FILTER (s = 2) AS failed, count(*) FILTER (s = 3) AS store_failed
+FROM (SELECT parent_keyword, count(*) AS n,
+        CASE WHEN length(parent_keyword) % 7 IN (1, 2, 3) THEN length(parent_keyword) % 7
+        ELSE 0 END AS s FROM v_parsed GROUP BY 1)"""))
+def run_coverage(spark, sf):
+    found = trends.parse_rising(discoveries(spark, sf)).groupBy(
+        F.col("parent_keyword").alias("parent")).agg(F.count(F.lit(1)).alias("rows"))
+    how = F.length("parent") % 7
+    return trends.run_coverage(found.withColumn(
+        "status", F.when(how == 1, "empty").when(how == 2, "failed")
+        .when(how == 3, "store_failed").otherwise("stored")))
+
+
+@query("demand_chain", with_(*_BATCHES, READINGS, RESCALED, select="""
+SELECT keyword, count(DISTINCT date_trunc('week', week)) AS weeks FROM v_rescaled
+GROUP BY keyword"""))
+def demand_chain(spark, sf):
+    """Payloads to signals through the whole chain, counted per keyword."""
+    run = demand_plan.run(
+        seeds=universe(spark, sf).select(F.lit(0).alias("pos"), "keyword"),
+        products=v.products(spark, sf), prior_signals=signals(spark, sf),
+        captures=cut_lineage(captures(spark, sf)), discoveries=discoveries(spark, sf), geo="ES-MD",
+        timeframe=v.TIMEFRAME, provider="captured", as_of=v.AS_OF,
+        computed_at=v.COMPUTED_AT)
+    return run.signals.groupBy("keyword").agg(F.count(F.lit(1)).alias("weeks"))
