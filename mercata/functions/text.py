@@ -23,6 +23,15 @@ def col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body):
+    """`body(value)` with the value computed once.
+
+    Columns that others are built from are copied into each of them when a
+    filter is pushed down; a bound variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(values):
     """A literal array<string>."""
     return F.array(*[F.lit(v) for v in values])

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text, vocab
+from ..session import cut_lineage
 
 GRAM = 4
 
@@ -15,19 +16,20 @@ def _grams(c, size):
     return F.array_distinct(F.coalesce(cut, F.array().cast("array<string>")))
 
 
-def _substring_join(texts, needles, on):
+def _substring_join(texts, needles, on, key):
     """Pairs with the same `on` where `needle` occurs in `haystack`.
 
     A needle is filed under its first four letters (all of a shorter one) and
-    meets only the texts that hold them; the exact test is part of the join.
+    proposed to the texts that hold them; only then is the whole text fetched
+    by its `key` and searched.
     """
-    gram = F.explode(F.concat(*[_grams(F.col("haystack"), n)
-                                for n in range(1, GRAM + 1)]))
-    t = texts.withColumn("_gram", gram)
-    n = needles.filter(F.length("needle") > 0).withColumn(
+    grams = F.explode(F.concat(*[_grams(F.col("haystack"), n)
+                                 for n in range(1, GRAM + 1)]))
+    filed = needles.filter(F.length("needle") > 0).withColumn(
         "_gram", F.substring("needle", 1, GRAM))
-    met = t.join(n, [*on, "_gram"])
-    return met.filter(F.instr("haystack", F.col("needle")) > 0).drop("_gram")
+    proposed = texts.select(*on, key, grams.alias("_gram")).join(filed, [*on, "_gram"])
+    met = proposed.drop("_gram").join(texts, [*on, key])
+    return met.filter(F.instr("haystack", F.col("needle")) > 0)
 
 
 def suggestions(turns: DataFrame, products: DataFrame,
@@ -45,9 +47,9 @@ def suggestions(turns: DataFrame, products: DataFrame,
             F.coalesce("tags", F.array().cast("array<string>")), " ")))
     replies = turns.select("turn_id", "store_id", text.fold("reply").alias("haystack"))
     names = p.select("store_id", F.col("_name").alias("needle")).distinct()
-    said = _substring_join(replies, names, ["store_id"]).select(
+    said = cut_lineage(_substring_join(replies, names, ["store_id"], "turn_id").select(
         "turn_id", "store_id", F.col("needle").alias("_name"),
-        F.instr("haystack", F.col("needle")).alias("_at"))
+        F.instr("haystack", F.col("needle")).alias("_at")))
     listed = F.struct("name", "product_id")
     # the first few products of every distinct text are all that can be shown
     lead = W.partitionBy("store_id", "_name").orderBy(listed)
@@ -62,9 +64,10 @@ def suggestions(turns: DataFrame, products: DataFrame,
     asked = quiet.select("turn_id", "store_id", F.explode(F.array_distinct(
         text.unicode_words(text.fold("message"), GRAM))).alias("needle"))
     stocked = p.filter(F.col("qty") > 0)
-    hays = stocked.select("store_id", F.col("_hay").alias("haystack")).distinct()
+    hays = stocked.select("store_id", F.col("_hay").alias("haystack"),
+                          F.xxhash64("_hay").alias("_text")).distinct()
     words = asked.select("store_id", "needle").distinct()
-    found = _substring_join(hays, words, ["store_id"])
+    found = _substring_join(hays, words, ["store_id"], "_text")
     hits = (asked.join(found, ["store_id", "needle"])
             .groupBy("turn_id", "store_id", F.col("haystack").alias("_hay"))
             .agg(F.count(F.lit(1)).alias("_hits")))

@@ -84,9 +84,11 @@ def resolve_centres(searches, gazetteer, default=vocab.DEFAULT_CENTRE):
 
 def match_barrio(c, barrios=vocab.BARRIOS):
     """Canonical barrio of a free text: exact, else first one named in it."""
-    folded = F.trim(text.fold(c))
     listed = F.array(*[F.struct(text.fold(F.lit(b)).alias("f"),
                                 F.lit(b).alias("b")) for b in barrios])
-    exact = F.get(F.filter(listed, lambda x: x["f"] == folded), F.lit(0))["b"]
-    named = F.get(F.filter(listed, lambda x: F.contains(folded, x["f"])), F.lit(0))["b"]
-    return F.coalesce(exact, named)
+
+    def named_in(folded):
+        exact = F.filter(listed, lambda x: x["f"] == folded)
+        named = F.filter(listed, lambda x: F.contains(folded, x["f"]))
+        return F.coalesce(F.get(exact, F.lit(0))["b"], F.get(named, F.lit(0))["b"])
+    return text.let(F.trim(text.fold(c)), named_in)
