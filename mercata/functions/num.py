@@ -19,9 +19,12 @@ def half_even(c, places=2) -> Column:
 
 
 def exact_mean(c) -> Column:
-    """Mean over a decimal sum: the same in any order, so also after a retry."""
-    total = F.sum(col(c).cast("decimal(38,18)")).cast("double")
-    return total / F.count(col(c))
+    """Nearest double to the true mean of the values as written.
+
+    Sum and division are decimal, so neither the order of the rows nor a
+    retried task can move a mean across a rounding edge.
+    """
+    return (F.sum(col(c).cast("decimal(38,18)")) / F.count(col(c))).cast("double")
 
 
 def number(c) -> Column:

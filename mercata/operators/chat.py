@@ -9,11 +9,9 @@ GRAM = 4
 
 
 def _grams(c, size):
-    """Distinct substrings of one length; none when the text is shorter."""
-    n = F.length(c)
-    starts = F.when(n >= size, F.sequence(F.lit(1), n - F.lit(size - 1)))
-    cut = F.transform(starts, lambda i: F.substring(c, i, F.lit(size)))
-    return F.array_distinct(F.coalesce(cut, F.array().cast("array<string>")))
+    """Distinct substrings of one length, in one pass over the text."""
+    every = F.lit("(?s)(?=(.{%d}))" % size)
+    return F.array_distinct(F.regexp_extract_all(c, every, 1))
 
 
 def _substring_join(texts, needles, on, key):

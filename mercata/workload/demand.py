@@ -7,7 +7,7 @@ from ..operators import analytics, contracts, recommend, signals as sig, trends,
 from ..plans import demand as demand_plan
 from ..session import cut_lineage
 from . import views as v
-from .registry import half_even_sql, query, sql_list, with_
+from .registry import half_even_sql, mean_sql, query, sql_list, with_
 
 
 def uuid_sql(namespace, name):
@@ -22,7 +22,7 @@ def uuid_sql(namespace, name):
 
 WEEKLY = f"""v_capture AS (
   SELECT keyword, geo, timeframe, date_trunc('week', d)::DATE AS window_start, capture_id,
-    captured_at, avg(value) AS mean FROM v_points GROUP BY ALL),
+    captured_at, {mean_sql('value')} AS mean FROM v_points GROUP BY ALL),
 v_weekly AS (
   SELECT keyword, geo, timeframe, window_start, window_start + 6 AS window_end,
     {half_even_sql('mean')} AS interest_avg, capture_id FROM v_capture
@@ -414,7 +414,7 @@ def snapshots(spark, sf):
 
 
 SNAPSHOTS = f"""v_days AS (
-  SELECT keyword, geo, timeframe, captured_at, d, {half_even_sql('avg(value)')} AS value
+  SELECT keyword, geo, timeframe, captured_at, d, {half_even_sql(mean_sql('value'))} AS value
   FROM v_points GROUP BY ALL),
 v_snapshots AS (
   SELECT keyword, geo, timeframe, captured_at, count(*) AS days, sum(value) AS total,

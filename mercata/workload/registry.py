@@ -31,3 +31,8 @@ def half_even_sql(x, places=2):
 
 def sql_list(values):
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def mean_sql(x):
+    """Nearest double to the mean of values with at most two decimals."""
+    return f"(sum(round({x} * 100)::HUGEINT)::DOUBLE / (100.0::DOUBLE * count(*)))"

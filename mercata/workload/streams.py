@@ -12,7 +12,7 @@ from ..operators import contracts
 from ..session import shared_dir
 from ..streaming import signals as signal_stream, stock as stock_stream
 from . import demand, views as v
-from .registry import half_even_sql, query, with_
+from .registry import half_even_sql, mean_sql, query, with_
 from .supply import LEVELS
 
 
@@ -94,7 +94,7 @@ def log_and_feed(spark, sf):
 @query("live_weekly_means", f"""
 WITH w AS (
   SELECT event_type, date_trunc('week', ts)::DATE AS window_start,
-    {half_even_sql('sum(value::DECIMAL(38,18))::DOUBLE / count(*)')} AS interest_avg,
+    {half_even_sql(mean_sql('value'))} AS interest_avg,
     count(*) AS points FROM events GROUP BY 1, 2)
 SELECT * FROM w WHERE window_start + 7 <= (SELECT max(ts) FROM events) - INTERVAL 7 DAY""")
 def live_weekly_means(spark, sf):
@@ -109,7 +109,7 @@ def live_weekly_means(spark, sf):
 
 SNAPSHOT_POINTS = f"""v_points AS (
   SELECT keyword, geo, timeframe, capture_id, captured_at, d,
-    {half_even_sql('avg(value)')} AS value FROM v_points0 GROUP BY ALL)"""
+    {half_even_sql(mean_sql('value'))} AS value FROM v_points0 GROUP BY ALL)"""
 
 
 @query("live_signals", with_(
