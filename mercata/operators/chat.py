@@ -14,15 +14,14 @@ def _grams(c, size):
     return F.array_distinct(F.regexp_extract_all(c, every, 1))
 
 
-def _substring_join(texts, needles, on, key):
+def _substring_join(texts, needles, on, key, sizes=(GRAM,)):
     """Pairs with the same `on` where `needle` occurs in `haystack`.
 
     A needle is filed under its first four letters (all of a shorter one) and
     proposed to the texts that hold them; only then is the whole text fetched
-    by its `key` and searched.
+    by its `key` and searched. `sizes` are the lengths filed under.
     """
-    grams = F.explode(F.concat(*[_grams(F.col("haystack"), n)
-                                 for n in range(1, GRAM + 1)]))
+    grams = F.explode(F.concat(*[_grams(F.col("haystack"), n) for n in sizes]))
     filed = needles.filter(F.length("needle") > 0).withColumn(
         "_gram", F.substring("needle", 1, GRAM))
     proposed = texts.select(*on, key, grams.alias("_gram")).join(filed, [*on, "_gram"])
@@ -45,7 +44,10 @@ def suggestions(turns: DataFrame, products: DataFrame,
             F.coalesce("tags", F.array().cast("array<string>")), " ")))
     replies = turns.select("turn_id", "store_id", text.fold("reply").alias("haystack"))
     names = p.select("store_id", F.col("_name").alias("needle")).distinct()
-    said = cut_lineage(_substring_join(replies, names, ["store_id"], "turn_id").select(
+    lengths = names.select(F.least(F.length("needle"), F.lit(GRAM)).alias("n")).distinct()
+    sizes = sorted({row["n"] for row in lengths.collect()} - {0}) or [GRAM]
+    said = cut_lineage(_substring_join(
+        replies, names, ["store_id"], "turn_id", sizes).select(
         "turn_id", "store_id", F.col("needle").alias("_name"),
         F.instr("haystack", F.col("needle")).alias("_at")))
     listed = F.struct("name", "product_id")

@@ -23,6 +23,16 @@ def get_session(app="mercata", master=None, **conf):
     return builder.getOrCreate()
 
 
+def spread(df):
+    """Rows over all cores when the input came in fewer tasks than that.
+
+    For few unsplittable files of long texts. A table of many files is read in
+    more tasks than there are cores and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _LOCAL = []
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import num, vocab
 from ..operators import analytics, contracts, recommend, signals as sig, trends, upsert
 from ..plans import demand as demand_plan
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import views as v
 from .registry import half_even_sql, mean_sql, query, sql_list, with_
 
@@ -461,7 +461,7 @@ def signal_upsert(spark, sf):
 
 def discoveries(spark, sf):
     """One payload per document: its sentences as the rising list."""
-    d = v.table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(v.table(spark, sf, "documents").select("doc_id", "text"))
     queries = F.filter(F.transform(F.split("text", r"[.!?\n]+"),
                                    lambda s: F.trim(s)), lambda s: s != "")
 

@@ -7,6 +7,7 @@ the SQL twin of a query.
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..session import spread
 
 TYPE_CATEGORY = {"STANDARD": "pharmacy", "ECONOMY": "grocery", "MEDIUM": "hardware",
                  "PROMO": "electronics", "LARGE": "stationery", "SMALL": "grocery"}
@@ -227,7 +228,7 @@ def rising(spark, sf):
     """Discovered queries: every sentence of every document, and every part
     worded the way shoppers do. The parent of a sentence is the first word of
     its document, of a part its colour and kind reversed or as named."""
-    d = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text", "n_chars"))
     d = d.withColumn("parent_keyword", F.regexp_extract("text", r"^\s*([^\s]+)", 1))
     d = d.select("doc_id", "n_chars", "parent_keyword",
                  F.posexplode(F.split("text", r"[.!?\n]+")).alias("pos", "query"))
