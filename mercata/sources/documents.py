@@ -24,9 +24,12 @@ def read_osm(spark, path):
     return docs.select(F.explode("elements").alias("e")).select("e.*")
 
 
-def read_shop_cache(spark, path):
-    """Cached shop records; every row is relabelled as cached."""
-    rows = spark.read.schema(schemas.SHOPS).option("multiLine", True).json(path)
+def read_shop_cache(spark, path, one_document=False):
+    """Cached shop records; every row is relabelled as cached.
+
+    Lines as `write_shop_cache` writes them, or one JSON array per file.
+    """
+    rows = spark.read.schema(schemas.SHOPS).option("multiLine", one_document).json(path)
     return rows.withColumn("source", F.lit("cache"))
 
 
