@@ -352,10 +352,9 @@ def captures(spark, sf):
             .agg(num.half_even(F.sum("q").cast("double") / F.sum("n")).alias("value")))
     b = batches(spark, sf)
     peaks = b.join(read, "keyword").groupBy("batch").agg(F.max("value").alias("peak"))
-    weeks = read.select("week").distinct()
-    slots = b.join(peaks, "batch").withColumn("one", F.lit(1))
-    grid = slots.join(weeks.withColumn("one", F.lit(1)), "one").join(
-        read, ["keyword", "week"], "left")
+    weeks = read.agg(F.array_sort(F.collect_set("week")).alias("weeks")).scalar()
+    slots = b.join(peaks, "batch").withColumn("week", F.explode(weeks))
+    grid = slots.join(read, ["keyword", "week"], "left")
     scaled = (F.col("value") * 100.0 / F.col("peak")).cast("string")
     shown = F.when((F.dayofmonth("week") == 1) | F.col("value").isNull(), "N/A").otherwise(scaled)
     stamp = (F.unix_date("week").cast("long") * 86400).cast("string")

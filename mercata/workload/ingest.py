@@ -92,13 +92,14 @@ def shop_records(spark, sf):
 
 
 def known(spark, sf):
-    """Shops stored earlier: the even ones, under an old name, with a region."""
-    r = records(spark, sf).filter(F.col("osm_id") % 2 == 0)
+    """Shops stored earlier: those with an address, under an old name, with a
+    region."""
+    r = records(spark, sf).filter(F.col("address").isNotNull())
     return r.withColumns({"name": F.lit("old name"), "source": F.lit("cache"),
                           "region_id": F.lit("sol")})
 
 
-@query("new_shops", with_(OSM, select="SELECT shop_id FROM v_records WHERE osm_id % 2 = 1"))
+@query("new_shops", with_(OSM, select="SELECT shop_id FROM v_records WHERE address IS NULL"))
 def new_shops(spark, sf):
     _, fresh = shop_plan.ingest_shops(
         documents.osm_elements(osm_payloads(spark, sf)), known(spark, sf),
@@ -306,21 +307,30 @@ def missing_skus(spark, sf):
 
 # --- upserts and contracts --------------------------------------------------------
 
-@query("inventory_upsert", with_(v.INVENTORY, select="""
-SELECT shop_id, sku, CASE WHEN sku % 3 = 0 OR sku % 5 = 0 THEN price END AS price,
-  CASE WHEN sku % 5 = 0 THEN qty + 1 WHEN sku % 3 = 0 THEN qty END AS qty,
-  CASE WHEN sku % 10 = 0 THEN 'dummyjson' WHEN sku % 3 = 0 THEN 'stored' ELSE 'template' END
-    AS source,
-  CASE WHEN sku % 3 = 0 THEN 4.5 END::DOUBLE AS rating
-FROM v_inventory WHERE sku % 3 = 0 OR sku % 5 = 0"""))
+@query("inventory_upsert", with_("""v_side AS (
+  SELECT l_suppkey AS shop_id, l_partkey AS sku, l_linestatus AS side,
+    max(l_extendedprice) AS price, sum(l_quantity)::INT % 13 AS qty
+  FROM lineitem GROUP BY 1, 2, 3),
+v_old AS (SELECT * FROM v_side WHERE side = 'F'),
+v_new AS (SELECT * FROM v_side WHERE side = 'O')""", select="""
+SELECT coalesce(n.shop_id, o.shop_id) AS shop_id, coalesce(n.sku, o.sku) AS sku,
+  coalesce(n.price, o.price) AS price, coalesce(n.qty, o.qty) AS qty,
+  CASE WHEN n.price > 50000 THEN 'dummyjson' WHEN o.sku IS NOT NULL THEN 'stored'
+    ELSE 'template' END AS source,
+  CASE WHEN o.sku IS NOT NULL THEN 4.5 END::DOUBLE AS rating
+FROM v_old o FULL JOIN v_new n ON o.shop_id = n.shop_id AND o.sku = n.sku"""))
 def inventory_upsert(spark, sf):
-    """Thirds are stored, fifths come in; only tenths carry a source."""
-    rows = v.inventory(spark, sf).select("shop_id", "sku", "price", "qty")
-    stored = rows.filter("sku % 3 = 0").withColumns(
-        {"source": F.lit("stored"), "rating": F.lit(4.5)})
-    incoming = rows.filter("sku % 5 = 0").withColumns({
-        "qty": F.col("qty") + 1, "source": F.lit("dummyjson"),
-        "carries": F.when(F.col("sku") % 10 == 0, F.array(F.lit("source")))
+    """Finished lines are stored, open ones come in; dear ones carry a source."""
+    def side(status):
+        rows = v.table(spark, sf, "lineitem").filter(F.col("l_linestatus") == status)
+        return rows.groupBy(F.col("l_suppkey").alias("shop_id"),
+                            F.col("l_partkey").alias("sku")).agg(
+            F.max("l_extendedprice").alias("price"),
+            (F.sum("l_quantity").cast("int") % 13).alias("qty"))
+    stored = side("F").withColumns({"source": F.lit("stored"), "rating": F.lit(4.5)})
+    incoming = side("O").withColumns({
+        "source": F.lit("dummyjson"),
+        "carries": F.when(F.col("price") > 50000, F.array(F.lit("source")))
         .otherwise(F.array().cast("array<string>"))})
     return upsert.merge_upsert(stored, incoming, ["shop_id", "sku"], ["source", "rating"],
                                {"source": "template"})
@@ -388,11 +398,13 @@ def readable_stock(spark, sf):
 
 
 @query("named_parts", """
-SELECT p_partkey, p_name FROM part WHERE p_size % 5 <> 0""")
+SELECT p_partkey, p_name FROM part WHERE p_retailprice >= 910 AND p_brand <> 'Brand#3'""")
 def named_parts(spark, sf):
     """Blank and null names are dropped; columns are named on read."""
     v.table(spark, sf, "part")
-    rows = tables.read_table(spark, f"{sf}/part.parquet", ["p_partkey", "p_name", "p_size"])
-    name = F.when(F.col("p_size") % 10 == 0, "  ").when(F.col("p_size") % 5 != 0, F.col("p_name"))
+    rows = tables.read_table(spark, f"{sf}/part.parquet", ["p_partkey", "p_name", "p_brand",
+                                                             "p_retailprice"])
+    name = F.when(F.col("p_retailprice") < 910, "  ").when(
+        F.col("p_brand") != "Brand#3", F.col("p_name"))
     return filters.drop_blank(rows.withColumn("p_name", name), "p_name").select(
         "p_partkey", "p_name")
