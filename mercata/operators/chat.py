@@ -64,10 +64,14 @@ def suggestions(turns: DataFrame, products: DataFrame,
     asked = quiet.select("turn_id", "store_id", F.explode(F.array_distinct(
         text.unicode_words(text.fold("message"), GRAM))).alias("needle"))
     stocked = p.filter(F.col("qty") > 0)
-    hays = stocked.select("store_id", F.col("_hay").alias("haystack"),
+    # chains sell the same products: a text is searched once for all stores
+    hays = stocked.select(F.col("_hay").alias("haystack"),
                           F.xxhash64("_hay").alias("_text")).distinct()
-    words = asked.select("store_id", "needle").distinct()
-    found = _substring_join(hays, words, ["store_id"], "_text")
+    words = asked.select("needle").distinct()
+    pairs = _substring_join(hays, words, [], "_text").select("needle", "haystack")
+    sold = stocked.select("store_id", F.col("_hay").alias("haystack")).distinct()
+    found = sold.join(asked.select("store_id").distinct(), "store_id", "left_semi").join(
+        pairs, "haystack")
     hits = (asked.join(found, ["store_id", "needle"])
             .groupBy("turn_id", "store_id", F.col("haystack").alias("_hay"))
             .agg(F.count(F.lit(1)).alias("_hits")))
