@@ -100,3 +100,10 @@ def test_history_and_digest(spark):
     d = chat.store_digest(p, 3).first()
     assert d["digest"] == ("- p1 — 1.5€ (stock: 1)\n- p3 — 1.5€ (stock: 1)\n"
                            "- p0 — 1.5€ (stock: 0)\n…y 2 artículos más")
+
+
+def test_interpreted(spark):
+    from mercata.plans import semantic
+    df = spark.createDataFrame([("pan", "Sol"), ("pan", None)], "item string, barrio string")
+    got = [r["t"] for r in df.select(semantic.interpreted("item", "barrio").alias("t")).collect()]
+    assert got == ["pan near Sol", "pan anywhere in Madrid"]

@@ -187,3 +187,25 @@ def test_universe_anchor_and_batches(spark):
                    1: ["k03", "k05", "k06", "k07", "k08"], 2: ["k03", "k09", "k10"]}
     alone = trends.batches(names.filter("key = 'k03'"), anchor).collect()
     assert [(r["batch"], r["keyword"]) for r in alone] == [(0, "k03")]
+
+
+def test_signals_and_recommendations_meet_their_contracts(spark):
+    from mercata.operators import contracts
+    uid = "11111111-1111-1111-1111-111111111111"
+    p = points(spark, {"pan": [10, 20, 30], "leche": [5, 5, 5]}, capture=uid)
+    s = sig.compute_signals(p, spark.createDataFrame([("Pan",), ("leche",)], ["category"]), "t")
+    assert contracts.valid_rows(s, contracts.signal()).count() == s.count() == 6
+    products = spark.createDataFrame([("Pan", uid, 4), ("leche", uid, 1)],
+                                     ["category", "store_id", "qty"])
+    r = recommend.build(s, products, "t")
+    assert contracts.valid_rows(r, contracts.recommendation()).count() == r.count() == 6
+    assert recommend.of_store(r, uid, 4).count() == 4
+
+
+def test_a_repeated_run_changes_nothing(spark):
+    from mercata.operators import upsert
+    s = signals_of(spark, points(spark, {"k": [1, 2, 3]})).values()
+    df = spark.createDataFrame([(r["id"], r["keyword"], str(r["window_start"])) for r in s],
+                               ["id", "keyword", "window_start"])
+    twice = upsert.replace_upsert(df, df, ["keyword", "window_start"])
+    assert sorted(map(str, twice.select(df.columns).collect())) == sorted(map(str, df.collect()))

@@ -335,3 +335,36 @@ def test_inbox_and_log(spark, tmp_path):
     for _ in range(2):
         tables.append_events(e, str(tmp_path / "log"))
     assert tables.read_event_log(spark, str(tmp_path / "log")).count() == 2
+
+
+def test_documents_are_written_in_line_order(spark, tmp_path):
+    run = run_search(spark, [(1, "leche", None, None), (2, "azafrán", None, None)])
+    lines = geojson.documents(run.results, run.searches.withColumn(
+        "generated_at", F.lit("now")), 2.0).orderBy(F.col("line").desc())
+    geojson.write_documents(lines, str(tmp_path / "maps"))
+    for qid, n in ((1, 2), (2, 0)):
+        parts = list((tmp_path / "maps" / f"qid={qid}").glob("part-*"))
+        assert len(parts) == 1
+        assert len(json.loads(parts[0].read_text())["features"]) == n
+
+
+def test_regions_with_their_shops(spark):
+    from mercata.plans import shops as shop_plan
+    shops = spark.createDataFrame(SHOPS, ["shop_id", "lat", "lng", "categories", "name"])
+    regions = spark.createDataFrame([("sol", "Sol", 40.4168, -3.7038), ("far", "Afar", 10.0, 0.0)],
+                                    ["region_id", "name", "lat", "lng"])
+    assigned, counted = shop_plan.regions(shops, regions)
+    assert [(r["name"], r["shop_count"]) for r in counted.collect()] == [("Afar", 0), ("Sol", 2)]
+    assert assigned.filter("region_id is null").count() == 2
+
+
+def test_a_crowded_cell_is_joined_whole(spark):
+    rng = random.Random(4)
+    hot = [(i, 40.4 + rng.uniform(0, 1e-4), -3.7) for i in range(900)]
+    cold = [(900 + i, 40.2 + rng.uniform(0, 0.5), -3.7) for i in range(100)]
+    centres = spark.createDataFrame([(i, 40.4, -3.7) for i in range(20)], ["qid", "lat", "lng"])
+    shops = spark.createDataFrame(hot + cold, ["shop_id", "lat", "lng"])
+    want = 20 * sum(km(40.4, -3.7, a, b) <= 1.0 for _, a, b in hot + cold)
+    for splits in (1, 8):
+        met = places.radius_join(centres, shops, 1.0, splits=splits)
+        assert met.count() == met.select("qid", "shop_id").distinct().count() == want
