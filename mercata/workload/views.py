@@ -178,23 +178,13 @@ QUERIES = """v_queries AS (
   JOIN nation ON c_nationkey = n_nationkey)"""
 
 
-def events(spark, sf):
+def as_movements(df):
     """Stock movements; the log names shops by their full id."""
     i, kind = F.col("event_id"), F.col("event_type")
     delta = (F.when(kind == "purchase", -(1 + i % 5)).when(kind == "signup", 5 + i % 16)
              .when(kind == "error", 8 + i % 18))
     name = (F.when(kind == "purchase", "sale").when(kind == "signup", "restock")
             .when(kind == "error", "new_item"))
-    return as_movements(table(spark, sf, "events"), name, delta)
-
-
-def as_movements(df, name=None, delta=None):
-    i, kind = F.col("event_id"), F.col("event_type")
-    if name is None:
-        delta = (F.when(kind == "purchase", -(1 + i % 5)).when(kind == "signup", 5 + i % 16)
-                 .when(kind == "error", 8 + i % 18))
-        name = (F.when(kind == "purchase", "sale").when(kind == "signup", "restock")
-                .when(kind == "error", "new_item"))
     return df.filter(kind.isin("purchase", "signup", "error")).select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("osm:node:"), (F.col("user_id") % 7).cast("string")).alias("shop_id"),
@@ -202,6 +192,10 @@ def as_movements(df, name=None, delta=None):
         name.alias("type"), delta.cast("long").alias("delta"))
 
 
+def events(spark, sf):
+    return as_movements(table(spark, sf, "events"))
+
+
 EVENTS = """v_events AS (
   SELECT event_id, ts, 'osm:node:' || (user_id % 7)::VARCHAR AS shop_id,
     'PHA-' || lpad(user_id::VARCHAR, 4, '0') AS sku,
