@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -61,3 +62,27 @@ def cut_lineage(df):
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
     return df.checkpoint()
+
+
+_SHIPPED = set()
+
+
+def ship(spark):
+    """Send this package to the workers, once per application.
+
+    Functions that run in workers refer to it by module; the workers of a cluster
+    do not share the driver's path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="mercata-code-"), "mercata-code.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, files in os.walk(package):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)
