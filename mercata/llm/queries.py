@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import automata, suffixes
+from . import automata, counts, frames, hilbert, suffixes
 
 QUERIES, ORACLE = {}, {}
 
@@ -36,3 +36,28 @@ def op7(spark, sf):
     rows = suffixes.remove_repeated_bytes(documents(spark, sf), window=50)
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def vocabulary():
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op6_packing")
+def op6(spark, sf):
+    rows = hilbert.pack(documents(spark, sf), vocabulary(), end_id=1, sequence_tokens=2048)
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                       "sequence_id", "offset")
+
+
+@query("op8_token_files")
+def op8(spark, sf):
+    folder = frames.new_folder(spark)
+    frames.write_tokens(documents(spark, sf), folder, vocabulary(), end_id=2)
+    return frames.read_tokens(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op9_token_counts")
+def op9(spark, sf):
+    return counts.token_counts(documents(spark, sf), vocabulary(), limit=2048)
