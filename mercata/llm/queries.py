@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import automata, counts, frames, hilbert, suffixes
+from . import automata, counts, frames, hilbert, sketch, suffixes
 
 QUERIES, ORACLE = {}, {}
 
@@ -61,3 +61,8 @@ def op8(spark, sf):
 @query("op9_token_counts")
 def op9(spark, sf):
     return counts.token_counts(documents(spark, sf), vocabulary(), limit=2048)
+
+
+@query("op3_near_dedup")
+def op3(spark, sf):
+    return sketch.near_duplicates(documents(spark, sf), percent=75, size=5)
