@@ -76,6 +76,10 @@ class WordUnit(repeats.Unit):
         spots = words(offsets, data)
         return word_units(data, spots), spots.offsets, spots
 
+    def bounds(self, offsets, data):
+        spots = words(offsets, data)
+        return spots.offsets, spots
+
     def cut(self, data, spots, first, last):
         return b" ".join(data[spots.start[first]:spots.end[last + self.length - 1]].split())
 

@@ -8,6 +8,8 @@ also occurs elsewhere. The work goes through four shuffles, each partitioned by
    half, so an anchor that a third of all documents share arrives once per chunk.
 2. Anchors are grouped; a chunk is told which of its anchors occur elsewhere, or twice
    in it. All occurrences of a repeated window have the same anchor, so nothing is lost.
+   It is also told which of its texts are exact copies of a smaller doc_id's: they lose
+   every window and need not send anything.
 3. The chunk sends the text around such anchors, equal contexts once, to the shard of
    the anchor. An anchor that is in many chunks (HOT_CHUNKS) is not sent to one shard:
    its windows travel one by one, by their own hash, again once per chunk.
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .arrays import anchored_runs, range_hashes, running, slices
@@ -32,11 +35,13 @@ LAST_ID = (1 << 63) - 1  # stands for a null id: after all others
 
 BLOCK_BYTES = 4 << 20
 
-ANCHORS = "anchor long, chunk int, many int"
-ANSWERS = "chunk int, anchor long, hot boolean"
-CONTEXTS = ("shard int, chunk int, low long, high long, many boolean, alone boolean, "
-            "context binary")
+# An anchor travels as 48 bits of its hash, its answer as 32: a false match only sends a
+# context in vain. `place` is the chunk and two flags.
+ANCHORS = "anchor long, place int"
+ANSWERS = "chunk int, anchor int, hot boolean, text_id long, low long"
+CONTEXTS = "shard int, place int, low long, more long, context binary"
 MARKS = "chunk int, content long, first int, last int, low long"
+COPY = -2  # `first` of a mark that stands for a whole text
 
 
 def chunked(docs, id_col, text_col, with_rest=False):
@@ -46,8 +51,21 @@ def chunked(docs, id_col, text_col, with_rest=False):
     columns = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")]
     if with_rest:
         columns.append(F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("rest"))
-    rows = docs.select(*columns)
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    rows = docs.select(*columns).withColumn("text_id", F.xxhash64("text"))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_id"), F.lit(chunks)).cast("int"))
+
+
+def copies(docs):
+    """chunk, text_id, low: texts that stand in several rows, and their smallest doc_id.
+
+    Texts are equal by 128 bits of hash; only one row per chunk and text is shuffled.
+    """
+    rows = docs.select("chunk", "text_id", F.xxhash64(F.lit(1), "text").alias("check"),
+                       F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"))
+    held = rows.groupBy("text_id", "check", "chunk").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    same = Window.partitionBy("text_id", "check")
+    return held.select("chunk", "text_id", F.min("low").over(same).alias("low"),
+                       F.sum("n").over(same).alias("n")).where("n > 1").drop("n")
 
 
 def ids_of(table):
@@ -78,8 +96,19 @@ class Unit:
         """The text that windows first..last cover, the same for equal contents."""
         raise NotImplementedError
 
+    def bounds(self, offsets, data):
+        """(first unit of each document, word bounds or None), without hashing."""
+        raise NotImplementedError
+
+    def whole(self, table):
+        """As `with_marks` gives them: all windows of every document."""
+        for _, offsets, data in slices(table.column("text")):
+            where, spots = self.bounds(offsets, data)
+            long = np.flatnonzero(np.diff(where) >= self.length)
+            yield offsets, data, spots, where, where[long], where[long + 1] - self.length
+
     def runs_in(self, table):
-        """(ids, data, word bounds, units, first units, runs) for each slice of a chunk."""
+        """(ids, offsets, data, word bounds, units, first units, runs) for each slice."""
         ids = ids_of(table)
         for row, offsets, data in slices(table.column("text")):
             hashes, where, spots = self.units(offsets, data)
@@ -112,10 +141,9 @@ def anchors(docs, unit, between_documents):
         for ids, _, _, _, _, _, runs in unit.runs_in(table):
             found.append(runs.anchor)
             owners.append(ids[runs.doc])
-        keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        keys = np.concatenate(found) >> np.uint64(16) if found else np.zeros(0, np.uint64)
         if not len(keys):
-            return pa.table({"anchor": pa.array([], pa.int64()), "chunk": pa.array([], pa.int32()),
-                             "many": pa.array([], pa.int32())})
+            return pa.table({"anchor": pa.array([], pa.int64()), "place": pa.array([], pa.int32())})
         order, first = _grouped(keys)
         if between_documents:
             owner = np.concatenate(owners)[order]
@@ -123,9 +151,7 @@ def anchors(docs, unit, between_documents):
         else:
             many = np.diff(np.append(first, len(keys))) > 1
         chunk = table.column("chunk")[0].as_py()
-        return pa.table({"anchor": _long(keys[order][first]),
-                         "chunk": np.full(len(first), chunk, np.int32),
-                         "many": many.astype(np.int32)})
+        return pa.table({"anchor": _long(keys[order][first]), "place": (many + chunk * 2).astype(np.int32)})
     return docs.groupBy("chunk").applyInArrow(run, ANCHORS)
 
 
@@ -136,47 +162,74 @@ def repeated_anchors(found, hot_chunks):
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        keys, chunk, many = (_flat(table, c) for c in ("anchor", "chunk", "many"))
+        keys, place = _flat(table, "anchor"), _flat(table, "place")
         order, first = _grouped(keys)
         size = np.diff(np.append(first, len(keys)))
-        keep = (size > 1) | (np.maximum.reduceat(many[order], first) > 0)
+        keep = (size > 1) | (np.maximum.reduceat(place[order] & 1, first) > 0)
         keep, hot = np.repeat(keep, size), np.repeat(size >= hot_chunks, size)
-        yield pa.RecordBatch.from_pydict({"chunk": chunk[order][keep], "anchor": keys[order][keep],
-                                          "hot": pa.array(hot[keep])})
+        for at in np.array_split(np.flatnonzero(keep), 1 + keep.sum() // (1 << 16)):
+            yield pa.RecordBatch.from_pydict({
+                "chunk": place[order[at]] >> 1, "anchor": (keys[order[at]] >> 16).astype(np.uint32).view(np.int32),
+                "hot": pa.array(hot[at]), "text_id": pa.nulls(len(at), pa.int64()),
+                "low": pa.nulls(len(at), pa.int64())})
     return found.repartition("anchor").mapInArrow(run, ANSWERS)
 
 
+class Copies:
+    """Texts of a chunk that have copies, from the answers it got."""
+
+    def __init__(self, text_id, low):
+        self.low = dict(zip(text_id.tolist(), low.tolist(), strict=True))
+
+    def split(self, table):
+        """(rows to work on, whether the row's text has copies, rows a smaller doc_id repeats)"""
+        low = np.array([self.low.get(t, LAST_ID) for t in table.column("text_id").to_pylist()], np.int64)
+        known = np.array([t in self.low for t in table.column("text_id").to_pylist()], bool)
+        later = known & (low < ids_of(table))
+        return table.filter(pa.array(~later)), known[~later], table.filter(pa.array(later))
+
+
 def contexts(docs, repeated, unit):
-    """The text around repeated anchors, equal texts once per chunk."""
+    """The text around repeated anchors, equal texts once per chunk.
+
+    Of documents with the same text only the smallest doc_id sends anything.
+    """
     def run(key, table, answers):
-        rows = {c: [] for c in ("shard", "low", "high", "many", "alone", "context")}
-        wanted = _flat(answers, "anchor").view(np.uint64)
+        rows = {c: [] for c in ("shard", "place", "low", "more", "context")}
+        told = answers.column("text_id").is_valid().combine_chunks()
+        same = answers.filter(told)
+        answers = answers.filter(pc.invert(told))
+        table, copied, _ = Copies(_flat(same, "text_id"), _flat(same, "low")).split(table)
+        wanted = _flat(answers, "anchor").view(np.uint32)
         order = np.argsort(wanted)
         wanted, hot = wanted[order], _flat(answers, "hot")[order]
-        seen = {}
+        seen, row = {}, 0
         for ids, offsets, data, spots, _, _, runs in unit.runs_in(table) if len(wanted) else ():
+            twice = copied[row:row + len(ids)]
+            row += len(ids)
             if not len(runs.doc):
                 continue
-            place = np.minimum(np.searchsorted(wanted, runs.anchor), len(wanted) - 1)
-            at = np.flatnonzero(wanted[place] == runs.anchor)
+            short = (runs.anchor >> np.uint64(32)).astype(np.uint32)
+            place = np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)
+            at = np.flatnonzero(wanted[place] == short)
             raw = data.tobytes()
-            fields = (runs.first, runs.last, ids[runs.doc], runs.anchor >> np.uint64(33))
-            for first, last, owner, shard, crowded in zip(
+            fields = (runs.first, runs.last, ids[runs.doc], runs.anchor >> np.uint64(33), twice[runs.doc])
+            for first, last, owner, shard, many, crowded in zip(
                     *(f[at].tolist() for f in fields), hot[place[at]].tolist(), strict=True):
                 for a, b in [(s, s) for s in range(first, last + 1)] if crowded else [(first, last)]:
                     text = unit.cut(raw, spots, a, b)
                     known = seen.get((text, crowded))
                     if known is None:
-                        seen[text, crowded] = [hash_of(text) if crowded else shard, owner, owner, False]
+                        seen[text, crowded] = [hash_of(text) if crowded else shard, owner, owner, many]
                     else:
                         known[1], known[2], known[3] = min(known[1], owner), max(known[2], owner), True
+        chunk = key[0].as_py()
         for (text, crowded), (shard, low, high, many) in seen.items():
-            for column, value in zip(rows.values(), (shard, low, high, many, crowded, text), strict=True):
+            values = (shard, chunk * 4 + many * 2 + crowded, low, high - low, text)
+            for column, value in zip(rows.values(), values, strict=True):
                 column.append(value)
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-        out = {c: pa.array(v, kind) for (c, v), kind in zip(rows.items(), kinds, strict=True)}
-        chunk = np.full(len(seen), key[0].as_py(), np.int32)
-        return pa.table({"shard": out.pop("shard"), "chunk": chunk, **out})
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(rows.items(), kinds, strict=True)})
     return docs.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(run, CONTEXTS)
 
 
@@ -211,12 +264,13 @@ def answered(found, unit, decide):
 
     def block(table):
         context = pa.concat_arrays(table.column("context").chunks)
-        row, first, last, low = decide(_flat(table, "shard"), context, _flat(table, "low"), _flat(table, "many"))
-        told = low < _flat(table, "high")[row]
+        own, place = _flat(table, "low"), _flat(table, "place")
+        row, first, last, low = decide(_flat(table, "shard"), context, own, (place & 2) > 0)
+        told = low < (own + _flat(table, "more"))[row]
         row, first, last, low = row[told], first[told], last[told], low[told]
         content = unit.contents(context)[row]
-        first = np.where(_flat(table, "alone")[row], -1, first)
-        chunk = _flat(table, "chunk")[row]
+        first = np.where(place[row] & 1, -1, first)
+        chunk = place[row] >> 2
         for at in range(0, len(row), 1 << 16):
             part = slice(at, at + (1 << 16))
             yield pa.RecordBatch.from_pydict({
@@ -230,6 +284,9 @@ class Marks:
     """The answers a chunk got, to be looked up by content."""
 
     def __init__(self, table):
+        whole = pc.equal(table.column("first"), COPY)
+        same, table = table.filter(whole), table.filter(pc.invert(whole))
+        self.copies = Copies(_flat(same, "content"), _flat(same, "low"))
         content = _flat(table, "content").view(np.uint64)
         order = np.argsort(content, kind="stable")
         first = _flat(table, "first").astype(np.int64)[order]
@@ -272,21 +329,24 @@ class Marks:
 
 
 def with_marks(docs, marks, unit, finish, schema):
-    """`finish(table, one (first, last) pair of arrays and slice per slice)` per chunk."""
+    """`finish(table, parts)` for each chunk; a part is a slice (offsets, data, word
+    bounds, first units) with the (first, last) starts of its repeated windows."""
     def run(key, table, answers):
-        if not table.num_rows:  # answers without documents cannot occur, empty sides can
-            return finish(table, [])
         known = Marks(answers)
-        found = []
-        for part in unit.runs_in(table):
-            ids, offsets, data, spots, hashes, where, runs = part
-            found.append((offsets, data, spots, where, *known.windows(unit, ids, hashes, where, runs)))
-        return finish(table, found)
+        table, _, same = known.copies.split(table)
+        found = ((offsets, data, spots, where, *known.windows(unit, ids, hashes, where, runs))
+                 for ids, offsets, data, spots, hashes, where, runs in unit.runs_in(table))
+        return pa.concat_tables([finish(table, found), finish(same, unit.whole(same))])
     return docs.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def repeated_windows(docs, unit, decide, finish, schema, between_documents, hot_chunks=HOT_CHUNKS):
     """The whole job; see the text at the top. `docs` come from `chunked`."""
-    found = anchors(docs, unit, between_documents)
-    around = contexts(docs, repeated_anchors(found, hot_chunks), unit)
-    return with_marks(docs, answered(around, unit, decide), unit, finish, schema)
+    same = copies(docs)
+    repeated = repeated_anchors(anchors(docs, unit, between_documents), hot_chunks)
+    repeated = repeated.unionByName(same.select(
+        "chunk", F.lit(0).alias("anchor"), F.lit(False).alias("hot"), "text_id", "low"))
+    marks = answered(contexts(docs, repeated, unit), unit, decide)
+    marks = marks.unionByName(same.select(
+        "chunk", F.col("text_id").alias("content"), F.lit(COPY).alias("first"), F.lit(0).alias("last"), "low"))
+    return with_marks(docs, marks, unit, finish, schema)

@@ -87,6 +87,9 @@ class ByteUnit(repeats.Unit):
     def units(self, offsets, data):
         return byte_units(data), offsets, None
 
+    def bounds(self, offsets, data):
+        return offsets, None
+
     def cut(self, data, spots, first, last):
         return data[first:last + self.length]
 
@@ -119,7 +122,7 @@ def decide_by_sorting(length):
 
 
 def remove_repeated_bytes(docs, window=50, id_col="doc_id", text_col="text", anchor_bytes=20,
-                          hot_chunks=repeats.HOT_CHUNKS, keep_columns=False):
+                          hot_chunks=repeats.HOT_CHUNKS, keep_columns=False, as_text=False):
     """Remove every byte that a window also found in a smaller doc_id covers.
 
     Texts are UTF-8 bytes, a window is `window` consecutive bytes of one document, all
@@ -129,13 +132,15 @@ def remove_repeated_bytes(docs, window=50, id_col="doc_id", text_col="text", anc
 
     Returns doc_id, n_bytes, n_removed, kept (the remaining bytes) and spans (removed
     byte runs, in order, maximal), one row per input row; with `keep_columns` also the
-    struct `rest` of the other input columns. A null or empty text is no bytes; a null
+    struct `rest` of the other input columns; with `as_text` kept is a string, without
+    the characters that a cut has left incomplete. A null or empty text is no bytes; a null
     doc_id counts as larger than all others; rows with the same doc_id never remove each
     other's bytes; an empty table gives no rows.
     """
     unit = ByteUnit(window, min(anchor_bytes, window))
     rows = repeats.chunked(docs, id_col, text_col, keep_columns)
-    schema = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>"
+    schema = ("doc_id long, n_bytes long, n_removed long, "
+              f"kept {'string' if as_text else 'binary'}, spans array<struct<start:long,end:long>>")
     if keep_columns:
         schema += f", rest {rows.schema['rest'].dataType.simpleString()}"
 
@@ -157,11 +162,11 @@ def remove_repeated_bytes(docs, window=50, id_col="doc_id", text_col="text", anc
                 size = int(offsets[i + 1] - offsets[i])
                 n_bytes.append(size)
                 n_removed.append(size - len(text))
-                kept.append(text)
+                kept.append(text.decode("utf-8", "ignore") if as_text else text)
                 spans.append([{"start": s - int(offsets[i]), "end": e - int(offsets[i])} for s, e in own])
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         out = {"doc_id": table.column("doc_id"), "n_bytes": pa.array(n_bytes, pa.int64()),
-               "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()),
+               "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string() if as_text else pa.binary()),
                "spans": pa.array(spans, span)}
         if keep_columns:
             out["rest"] = table.column("rest")
