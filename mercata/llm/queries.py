@@ -1,27 +1,57 @@
-"""The registered queries: each operator over its whole table, with its SQL twin."""
+"""The registered queries: each operator over its whole table.
+
+None has a SQL twin: the results need tokenizers, learned models, sorted suffixes or
+transitive links. tests/llm compares them with brute force.
+"""
 
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import automata, counts, frames, hilbert, sketch, suffixes
+from . import automata, counts, frames, hilbert, language, neighbours, rules, sketch, suffixes, tiling
 
 QUERIES, ORACLE = {}, {}
 
 
-def query(name, sql=None):
+def query(name):
     def add(fn):
         def run(spark, sf):
             ship(spark)
             return fn(spark, sf)
         QUERIES[name] = run
-        if sql is not None:
-            ORACLE[name] = sql
         return run
     return add
 
 
+def table(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
 def documents(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return table(spark, sf, "documents")
+
+
+def vocabulary():
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def fold(column, folds):
+    """crc32 of the id as text, modulo `folds`."""
+    return F.crc32(column.cast("string").cast("binary")) % folds
+
+
+def language_model(docs):
+    """Learned on folds 0 and 1 of four, calibrated on fold 3; fold 2 is held out."""
+    part = fold(docs.doc_id, 4)
+    return language.train(docs, part.isin(0, 1), part == 3)
+
+
+@query("op1_language_id")
+def op1(spark, sf):
+    docs = documents(spark, sf)
+    found = language.identify(docs, language_model(docs))
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+                        "lang_pred", "score", "rejected")
 
 
 @query("op2_substring_dedup")
@@ -31,16 +61,24 @@ def op2(spark, sf):
                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-@query("op7_suffix_array_dedup")
-def op7(spark, sf):
-    rows = suffixes.remove_repeated_bytes(documents(spark, sf), window=50)
-    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-                       F.sha2("kept", 256).alias("kept_sha256"))
+@query("op3_near_dedup")
+def op3(spark, sf):
+    return sketch.near_duplicates(documents(spark, sf), percent=75, size=5)
 
 
-def vocabulary():
-    import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+@query("op4_quality_rules")
+def op4(spark, sf):
+    docs = documents(spark, sf)
+    judged = rules.judge(docs, rules.learn(docs, table(spark, sf, "labels")))
+    return judged.select("doc_id", *[F.col("stats")[c].alias(c) for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+
+
+@query("op5_decontamination")
+def op5(spark, sf):
+    found = tiling.contaminated(documents(spark, sf), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item_tokens", "n_matched", "coverage",
+                        F.size("tiles").alias("n_tiles"))
 
 
 @query("op6_packing")
@@ -50,6 +88,13 @@ def op6(spark, sf):
                        "sequence_id", "offset")
 
 
+@query("op7_suffix_array_dedup")
+def op7(spark, sf):
+    rows = suffixes.remove_repeated_bytes(documents(spark, sf), window=50)
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op8_token_files")
 def op8(spark, sf):
     folder = frames.new_folder(spark)
@@ -63,6 +108,9 @@ def op9(spark, sf):
     return counts.token_counts(documents(spark, sf), vocabulary(), limit=2048)
 
 
-@query("op3_near_dedup")
-def op3(spark, sf):
-    return sketch.near_duplicates(documents(spark, sf), percent=75, size=5)
+@query("op10_quality_classifier")
+def op10(spark, sf):
+    docs, labels = documents(spark, sf), table(spark, sf, "labels")
+    voters = neighbours.train(docs, labels, fold(labels.doc_id, 5) != 0)
+    scored = neighbours.score(docs, voters, cut=0.3)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
