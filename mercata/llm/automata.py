@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import StructType
 
 from . import repeats
 from .arrays import union_ranges, words, word_units
@@ -148,8 +149,9 @@ def remove_repeated_words(docs, window=35, id_col="doc_id", text_col="text", anc
     unit = WordUnit(window, min(anchor_words, window))
     rows = repeats.chunked(docs, id_col, text_col, keep_columns)
     schema = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
+    schema = StructType.fromDDL(schema)
     if keep_columns:
-        schema += f", rest {rows.schema['rest'].dataType.simpleString()}"
+        schema = schema.add("rest", rows.schema["rest"].dataType)
 
     def finish(table, parts):
         n_words, n_removed, kept, spans = [], [], [], []

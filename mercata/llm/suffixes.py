@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import StructType
 
 from . import repeats
 from .arrays import byte_units, union_ranges
@@ -141,8 +142,9 @@ def remove_repeated_bytes(docs, window=50, id_col="doc_id", text_col="text", anc
     rows = repeats.chunked(docs, id_col, text_col, keep_columns)
     schema = ("doc_id long, n_bytes long, n_removed long, "
               f"kept {'string' if as_text else 'binary'}, spans array<struct<start:long,end:long>>")
+    schema = StructType.fromDDL(schema)
     if keep_columns:
-        schema += f", rest {rows.schema['rest'].dataType.simpleString()}"
+        schema = schema.add("rest", rows.schema["rest"].dataType)
 
     def finish(table, parts):
         n_bytes, n_removed, kept, spans = [], [], [], []
