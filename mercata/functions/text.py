@@ -1,22 +1,62 @@
 """Folding, tokens and keys over text columns."""
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column, functions as F
 
 
-def _fold_table():
-    """Letters whose canonical decomposition is one base plus accents."""
-    marked, plain = [], []
-    for cp in range(0x80, 0x2000):
-        parts = unicodedata.normalize("NFD", chr(cp))
-        if len(parts) > 1 and all(unicodedata.combining(c) for c in parts[1:]):
-            marked.append(chr(cp))
-            plain.append(parts[0])
-    return "".join(marked), "".join(plain)
+# White space at the ends of a text, in any script.
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+          "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
-_MARKED, _PLAIN = _fold_table()
+def _fold_tables():
+    """From the Unicode decomposition rules, for all code points:
+
+    canonical: letter -> base letter, where only accents come off;
+    compatible: the same by compatibility, one letter each;
+    longer: compatibility forms of several letters;
+    accents: marks that have a combining class.
+    """
+    canonical, compatible, longer, accents = {}, {}, {}, []
+    for cp in range(0x80, sys.maxunicode + 1):
+        c = chr(cp)
+        if unicodedata.combining(c):
+            accents.append(cp)
+        elif unicodedata.decomposition(c):
+            bare = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+            if len(bare) == 1 and bare != c:
+                canonical[c] = bare
+            bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+            if len(bare) == 1 and bare != c:
+                compatible[c] = bare
+            elif bare and bare != c and len(bare) != 1 and not 0xAC00 <= cp <= 0xD7A3:
+                longer[c] = bare
+    return canonical, compatible, longer, accents
+
+
+_CANONICAL, _COMPATIBLE, _LONGER, _ACCENTS = _fold_tables()
+
+
+def _regex_class(points):
+    ranges = []
+    for p in sorted(points):
+        if ranges and ranges[-1][1] == p - 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+_ACCENT_CLASS = _regex_class(_ACCENTS)
+_LONGER_CLASS = _regex_class(map(ord, _LONGER))
+
+
+def _has(c, table, points):
+    """`c` has a character of a large class; most texts are ruled out by one range."""
+    first = min(points)
+    return c.rlike(f"[\\x{{{first:X}}}-\\x{{10FFFF}}]") & c.rlike(table)
 
 
 def col(c):
@@ -37,10 +77,33 @@ def words(values):
     return F.array(*[F.lit(v) for v in values])
 
 
+def strip(c) -> Column:
+    """Without white space at the ends, in any script."""
+    return F.trim(col(c), F.lit(SPACES))
+
+
+def _without_accents(c, table):
+    plain = F.translate(c, "".join(table), "".join(table.values()))
+    return let(plain, lambda t: F.when(_has(t, _ACCENT_CLASS, _ACCENTS), F.regexp_replace(
+        t, _ACCENT_CLASS + "+", "")).otherwise(t))
+
+
 def fold(c) -> Column:
-    """Lower case without accents; loose combining marks are dropped too."""
-    plain = F.translate(F.lower(col(c)), _MARKED, _PLAIN)
-    return F.regexp_replace(plain, r"\p{Mn}+", "")
+    """Lower case without accents, canonically decomposed; loose accents go too.
+
+    Marks without a combining class are part of their script and stay.
+    """
+    return _without_accents(F.lower(col(c)), _CANONICAL)
+
+
+def fold_compatible(c) -> Column:
+    """As `fold`, with compatibility forms (ligatures, full width, circled) spelled out."""
+    plain = _without_accents(F.lower(col(c)), _COMPATIBLE)
+
+    def spelled(t):
+        pairs = F.create_map(*[F.lit(x) for kv in _LONGER.items() for x in kv])
+        return F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.element_at(pairs, x), x)), "")
+    return let(plain, lambda t: F.when(_has(t, _LONGER_CLASS, map(ord, _LONGER)), spelled(t)).otherwise(t))
 
 
 def tokens(c) -> Column:
@@ -61,7 +124,7 @@ def unicode_words(c, at_least=1) -> Column:
 
 def keyword_key(c) -> Column:
     """The one casing rule of the demand side: strip and lower."""
-    return F.lower(F.regexp_replace(col(c).cast("string"), r"^\s+|\s+$", ""))
+    return F.lower(strip(col(c).cast("string")))
 
 
 def slug(c) -> Column:

@@ -130,11 +130,9 @@ MEDIUM_WEEKS, MEDIUM_INTEREST = 4, 10.0
 STABLE_WEEKS = 3
 DISCOVERY_TOP_N = 10
 DISCOVERY_MIN_INTEREST = 1.0
-UNIVERSE_LIMIT = 100
 KEYWORDS_PER_BATCH = 4
 TOP_MOVERS = 20
 STOCK_OUT_QTY = 2
-PRODUCTS_CAP = 5000
 SIGNAL_NAMESPACE = "4ee47505-4a32-5e02-bc8a-d6fb147fa272"
 RISING_NAMESPACE = "6f1c9b02-6b1d-5a4e-9d4b-2f0f2c9a7e31"
 CAVEAT = "Basado en interés de búsqueda en Madrid, no en compras reales."
@@ -146,7 +144,7 @@ HEADLINES = {
 RECOMMENDATION_BODY = "Tienes %d productos de esta categoría en stock."
 CONFIDENCE_ORDER = ["low", "medium", "high"]
 # A growth label is a number only when it reads as a percentage.
-GROWTH_PATTERN = r"(?U)^[+-]?[\d.,\s  ]*\d[\d.,\s  ]*%$"
+GROWTH_PATTERN = "(?U)^[+-]?[\\d.,\\s\u00a0\u202f]*\\d[\\d.,\\s\u00a0\u202f]*%$"
 
 # --- relevance of discovered queries (fixed values) -------------------------------
 RETAIL_WORDS = ["comprar", "precio", "barato", "oferta", "rebajas", "tienda",

@@ -28,14 +28,16 @@ def weakest(confidence):
     return F.get(text.words(vocab.CONFIDENCE_ORDER), low)
 
 
-def census(rows_read, cap=vocab.PRODUCTS_CAP):
-    """`high` only if the read stayed under its cap; exactly the cap is `low`."""
+def census(rows_read, cap=None):
+    """`low` if a capped read came back full, so rows may be missing; else `high`."""
+    if cap is None:
+        return F.lit("high")
     return F.when(rows_read < cap, "high").otherwise("low")
 
 
 def category_mix(products):
     """Products and share per category."""
-    named = products.withColumn("category", F.trim("category")).filter(
+    named = products.withColumn("category", text.strip("category")).filter(
         F.col("category") != "")
     counts = named.groupBy("category").agg(F.count(F.lit(1)).alias("product_count"))
     total = named.agg(F.count(F.lit(1)).cast("double")).scalar()
@@ -46,7 +48,7 @@ def category_mix(products):
 def stock_out_risk(products):
     """Share of readable SKUs at or under the threshold, per category."""
     qty = num.whole_number("qty")
-    rows = (products.select(F.trim("category").alias("category"), qty.alias("_q"))
+    rows = (products.select(text.strip("category").alias("category"), qty.alias("_q"))
             .filter((F.col("category") != "") & F.col("_q").isNotNull()))
     out = rows.groupBy("category").agg(
         F.count_if(F.col("_q") <= vocab.STOCK_OUT_QTY).alias("at_risk_count"),
@@ -65,11 +67,14 @@ def _document_points(points, order, fields):
                                   lambda x: x["p"]).alias("points"))
 
 
-def dashboard(signals, products, timeframe, generated_at, cap=vocab.PRODUCTS_CAP):
-    """One JSON document with the three labelled segments."""
+def dashboard(signals, products, timeframe, generated_at, cap=None):
+    """One JSON document with the three labelled segments.
+
+    `cap` is the row limit under which `products` was read, if there was one.
+    """
     current = latest_window(signals.filter(F.col("timeframe") == timeframe))
     movers = top_movers(current)
-    read = census(products.agg(F.count(F.lit(1))).scalar(), cap)
+    read = census(products.agg(F.count(F.lit(1))).scalar() if cap else None, cap)
     m = (movers.agg(weakest("confidence").alias("mc")))
     mp = _document_points(
         movers, ["rank", (-F.unix_date("window_end")).alias("o"), "keyword"],

@@ -39,10 +39,10 @@ def suggestions(turns: DataFrame, products: DataFrame,
     number of message words (4+ letters) found in name or tags. Products of a
     store with equal text are looked up once.
     """
-    p = products.withColumn("_name", text.fold("name")).withColumn(
+    p = products.withColumn("_name", text.fold_compatible("name")).withColumn(
         "_hay", F.concat("_name", F.lit(" "), F.array_join(
             F.coalesce("tags", F.array().cast("array<string>")), " ")))
-    replies = turns.select("turn_id", "store_id", text.fold("reply").alias("haystack"))
+    replies = turns.select("turn_id", "store_id", text.fold_compatible("reply").alias("haystack"))
     names = p.select("store_id", F.col("_name").alias("needle")).distinct()
     lengths = names.select(F.least(F.length("needle"), F.lit(GRAM)).alias("n")).distinct()
     sizes = sorted({row["n"] for row in lengths.collect()} - {0}) or [GRAM]
@@ -62,7 +62,7 @@ def suggestions(turns: DataFrame, products: DataFrame,
 
     quiet = turns.join(said.select("turn_id").distinct(), "turn_id", "left_anti")
     asked = quiet.select("turn_id", "store_id", F.explode(F.array_distinct(
-        text.unicode_words(text.fold("message"), GRAM))).alias("needle"))
+        text.unicode_words(text.fold_compatible("message"), GRAM))).alias("needle"))
     stocked = p.filter(F.col("qty") > 0)
     # chains sell the same products: a text is searched once for all stores
     hays = stocked.select(F.col("_hay").alias("haystack"),

@@ -35,7 +35,7 @@ def whole_word_match(keywords, *fields, fold=False):
     """
     if fold:
         found = text.tokens(F.concat_ws(" ", *fields))
-        wanted = F.transform(text.col(keywords), text.fold)
+        wanted = F.transform(text.col(keywords), text.fold_compatible)
     else:
         found = text.ascii_tokens(*fields)
         wanted = F.transform(text.col(keywords), F.lower)
@@ -48,7 +48,7 @@ def inside_city(df, lat="lat", lng="lng"):
 
 
 def drop_blank(df, column):
-    return df.filter(F.trim(F.col(column).cast("string")) != "")
+    return df.filter(text.strip(F.col(column).cast("string")) != "")
 
 
 def closed_windows(signals, as_of):

@@ -21,7 +21,7 @@ def address_of(tags):
     """`street number, postcode city`; null when nothing is known."""
     def tag(name):
         return F.nullif(F.element_at(tags, f"addr:{name}"), F.lit(""))
-    street = F.when(tag("street").isNotNull(), F.trim(
+    street = F.when(tag("street").isNotNull(), text.strip(
         F.concat_ws(" ", tag("street"), tag("housenumber"))))
     town = F.nullif(F.concat_ws(" ", tag("postcode"), tag("city")), F.lit(""))
     return F.nullif(F.concat_ws(", ", street, town), F.lit(""))

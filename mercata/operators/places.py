@@ -58,7 +58,7 @@ def resolve_centres(searches, gazetteer, default=vocab.DEFAULT_CENTRE):
     never falls back to the default.
     """
     places = (gazetteer
-              .select(text.fold(F.trim("name")).alias("_place"), "name",
+              .select(text.fold_compatible(text.strip("name")).alias("_place"), "name",
                       F.col("lat").alias("_glat"), F.col("lng").alias("_glng"))
               .groupBy("_place")
               .agg(F.min(F.struct("name", "_glat", "_glng")).alias("_g"))
@@ -66,7 +66,7 @@ def resolve_centres(searches, gazetteer, default=vocab.DEFAULT_CENTRE):
     given = F.col("lat").isNotNull() & F.col("lng").isNotNull()
     named = F.length(F.col("location_text")) > 0
     s = searches.withColumn("_place", F.when(
-        ~given & named, text.fold(F.trim("location_text"))))
+        ~given & named, text.fold_compatible(text.strip("location_text"))))
     s = s.join(places, "_place", "left")
     how = (F.when(given, "coordinates")
            .when(F.col("_glat").isNotNull(), "gazetteer")
@@ -84,11 +84,11 @@ def resolve_centres(searches, gazetteer, default=vocab.DEFAULT_CENTRE):
 
 def match_barrio(c, barrios=vocab.BARRIOS):
     """Canonical barrio of a free text: exact, else first one named in it."""
-    listed = F.array(*[F.struct(text.fold(F.lit(b)).alias("f"),
+    listed = F.array(*[F.struct(text.fold_compatible(F.lit(b)).alias("f"),
                                 F.lit(b).alias("b")) for b in barrios])
 
     def named_in(folded):
         exact = F.filter(listed, lambda x: x["f"] == folded)
         named = F.filter(listed, lambda x: F.contains(folded, x["f"]))
         return F.coalesce(F.get(exact, F.lit(0))["b"], F.get(named, F.lit(0))["b"])
-    return text.let(F.trim(text.fold(c)), named_in)
+    return text.let(text.strip(text.fold_compatible(c)), named_in)

@@ -134,14 +134,26 @@ def discovery_parents(signals, as_of, top_n=vocab.DISCOVERY_TOP_N,
     return best.orderBy(F.col("delta_pct").desc(), "keyword").limit(max(top_n, 0))
 
 
-def list_signals(signals, order="rank", limit=100, **filters):
+def list_signals(signals, order="rank", limit=None, after=None, **filters):
+    """Filtered signals in a total order; `after` holds the order values of the last
+    row of the page before (`order`, window_start, geo, keyword, id)."""
     from .filters import equal_where_given
     if order not in ("rank", "window_start"):
         raise ValueError(f"unsupported order: {order}")
     rows = equal_where_given(signals, **filters)
-    return rows.orderBy(order, "window_start", "geo", "keyword").limit(limit)
+    keys = list(dict.fromkeys([order, "window_start", "geo", "keyword", "id"]))
+    if after is not None:
+        rows = rows.filter(F.struct(*keys) > F.struct(*[
+            F.lit(x).cast(rows.schema[k].dataType).alias(k) for k, x in zip(keys, after, strict=True)]))
+    rows = rows.orderBy(*keys)
+    return rows if limit is None else rows.limit(limit)
 
 
-def newest_captures(snapshots, timeframe, limit=100):
+def newest_captures(snapshots, timeframe, limit=None, before=None):
+    """Newest first; `before` is (captured_at, id) of the last row of the page before."""
     rows = snapshots.filter(F.col("timeframe") == timeframe)
-    return rows.orderBy(F.col("captured_at").desc(), "id").limit(limit)
+    if before is not None:
+        at, last = before
+        rows = rows.filter((F.col("captured_at") < at) | ((F.col("captured_at") == at) & (F.col("id") > last)))
+    rows = rows.orderBy(F.col("captured_at").desc(), "id")
+    return rows if limit is None else rows.limit(limit)

@@ -30,10 +30,10 @@ def _carried_in(scanned, opening):
     b = last.select(*KEY, "_bucket", (F.col("_l._run") > 0).alias("_reset"),
                     F.col("_l._s").alias("_s"), F.col("_l._m").alias("_m"))
     if opening is None:
-        b = b.withColumn("_open", F.lit(0).cast("long"))
+        b = b.withColumn("_open", F.lit(None).cast("long"))
     else:
         b = b.join(opening.select(*KEY, F.col("qty").cast("long").alias("_open")),
-                   KEY, "left").fillna({"_open": 0})
+                   KEY, "left")
     # an era starts with a bucket that resets, hence with a known closing level
     key = W.partitionBy(*KEY).orderBy("_bucket")
     b = b.withColumn("_era", F.sum(F.col("_reset").cast("int")).over(key))
@@ -46,7 +46,8 @@ def _carried_in(scanned, opening):
     low = F.when(~F.col("_reset"), F.col("_sum") - F.col("_step") + F.col("_m"))
     b = b.withColumn("_low", low).withColumn("_low", F.min("_low").over(era))
     start = F.when(F.col("_era") > 0, F.col("_known")).otherwise(F.col("_open"))
-    b = b.withColumn("_close", F.col("_sum") + F.greatest(start, -F.col("_low")))
+    b = b.withColumn("_close", F.col("_sum") + F.when(
+        start.isNotNull(), F.greatest(start, -F.col("_low"))))
     return b.select(*KEY, "_bucket", F.coalesce(
         F.lag("_close").over(key), F.col("_open")).alias("_in"))
 
@@ -54,14 +55,15 @@ def _carried_in(scanned, opening):
 def running_levels(events: DataFrame, opening=None, bucket="day") -> DataFrame:
     """`qty_now` after every event of `shop_id, sku, ts, event_id, type, delta`.
 
-    `opening` holds earlier levels (`shop_id, sku, qty`); missing means zero.
+    `opening` holds earlier levels (`shop_id, sku, qty`). Events of a key that neither
+    has one nor was put in stock before change nothing and are left out.
     """
     e = events.select(*KEY, "ts", "event_id", "type", F.col("delta").cast("long")
                       .alias("delta"))
     scanned = _in_buckets(e, bucket)
     carried = _carried_in(scanned, opening)
     start = F.when(F.col("_run") == 0, F.col("_in")).otherwise(F.lit(0))
-    return (scanned.join(carried, [*KEY, "_bucket"])
+    return (scanned.join(carried, [*KEY, "_bucket"]).filter(start.isNotNull())
             .withColumn("qty_now", F.col("_s") + F.greatest(start, -F.col("_m")))
             .drop("_bucket", "_run", "_s", "_m", "_in"))
 

@@ -1,7 +1,5 @@
 """Exact cosine search over product embeddings."""
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import num, text, vocab
@@ -11,6 +9,13 @@ def norm(v):
     return F.sqrt(F.aggregate(text.col(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def usable(v, size=None):
+    """A vector that has a direction: no null entry, not all zero, of the given length."""
+    v = text.col(v).cast("array<double>")
+    ok = ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
+    return F.coalesce(ok if size is None else ok & (F.size(v) == size), F.lit(False))
+
+
 def normalise(v):
     """Unit length; a zero vector stays as it is."""
     v = text.col(v).cast("array<double>")
@@ -19,14 +24,18 @@ def normalise(v):
 
 
 def cosine(a, b):
+    """Null for a zero vector, which has no direction."""
     a, b = text.col(a).cast("array<double>"), text.col(b).cast("array<double>")
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return dot / (norm(a) * norm(b))
+    return F.try_divide(dot, norm(a) * norm(b))
 
 
 def match_products(products: DataFrame, query, k=20, neighbourhood=None):
-    """The k products closest to one query vector."""
-    rows = products.filter(F.col("embedding").isNotNull())
+    """The k products closest to one query vector.
+
+    Products without a usable vector of the query's length take no part.
+    """
+    rows = products.filter(usable("embedding", len(query)))
     if neighbourhood is not None:
         rows = rows.filter(F.col("neighbourhood") == neighbourhood)
     vector = F.array(*[F.lit(float(x)) for x in query])
@@ -34,59 +43,75 @@ def match_products(products: DataFrame, query, k=20, neighbourhood=None):
     return scored.orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
-def _matrix(column):
-    lists = column.combine_chunks()
-    flat = np.asarray(lists.flatten(), dtype=np.float64)
-    m = flat.reshape(len(lists), -1)
-    length = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(length == 0, np.nan, length)
-
-
 def _block_top(k):
-    """Best k products of one block for each query of one block."""
-    def run(queries: pa.Table, products: pa.Table) -> pa.Table:
-        out = {"qid": [], "id": [], "similarity": []}
+    """Best k products of one block for each query of one block.
+
+    The function carries what it needs, so workers do not import this package.
+    """
+    def unit(column):
+        import numpy as np
+        flat = np.asarray(column.combine_chunks().flatten(), dtype=np.float64)
+        m = flat.reshape(len(column), -1)
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def run(queries, products):
+        import numpy as np
+        import pyarrow as pa
+        kinds = {"qid": queries.schema.field("qid").type, "id": products.schema.field("id").type,
+                 "similarity": pa.float64()}
+        out = {name: [] for name in kinds}
         if queries.num_rows and products.num_rows:
-            sims = _matrix(queries["vector"]) @ _matrix(products["embedding"]).T
-            scope = np.array(queries["scope"].to_pylist(), dtype=object)
-            where = np.array(products["scope"].to_pylist(), dtype=object)
-            ids = np.asarray(products["id"])
+            products = products.sort_by("id")  # equal scores: the smaller id first
+            # the last digits of a product depend on its place in the block
+            sims = np.round(unit(queries["vector"]) @ unit(products["embedding"]).T, 12)
+            ids = products["id"].combine_chunks()
             for i, qid in enumerate(queries["qid"].to_pylist()):
-                row = np.round(sims[i], 9)
-                fit = np.flatnonzero(~np.isnan(row) if scope[i] is None
-                                     else (where == scope[i]) & ~np.isnan(row))
-                best = fit[np.lexsort((ids[fit], -row[fit]))[:k]]
+                best = np.argsort(-sims[i], kind="stable")[:k]
                 out["qid"] += [qid] * len(best)
-                out["id"] += ids[best].tolist()
-                out["similarity"] += row[best].tolist()
-        return pa.table({"qid": pa.array(out["qid"], pa.int64()),
-                         "id": pa.array(out["id"], pa.int64()),
-                         "similarity": pa.array(out["similarity"], pa.float64())})
+                out["id"] += ids.take(pa.array(best)).to_pylist()
+                out["similarity"] += sims[i][best].tolist()
+        return pa.table({name: pa.array(values, kinds[name]) for name, values in out.items()})
     return run
 
 
 def top_k(products: DataFrame, queries: DataFrame, k=vocab.SEARCH_CANDIDATES, *,
-          product_rows=50_000, query_rows=2_000) -> DataFrame:
+          product_blocks=None, query_blocks=1) -> DataFrame:
     """The k closest products of every query: `qid, id, similarity, pos`.
 
-    Products: `id, embedding, scope`; queries: `qid, vector, scope` (null scope
-    searches everything). Both sides are hashed into blocks of bounded size; a
-    task holds one block of each, so memory does not grow with either table
-    and no label or neighbourhood can make a block hot. Every block gives at
-    most k rows per query.
+    Products: `id, embedding, scope`; queries: `qid, vector, scope` (null scope searches
+    everything). Ids may have any type that sorts. A query meets only the products of its
+    scope, and products that no query asks about are left out before they move. The
+    products of a scope are hashed into blocks, one for each shuffle partition
+    unless `product_blocks` says otherwise, and stand still; the queries, a stated set,
+    are copied to the blocks of their scope, in `query_blocks` parts where they are many.
+    Every block gives at most k rows per query. Equal to 12 digits is a tie, which goes
+    to the smaller id.
+    Vectors that are null, all zero or hold a null, and pairs of unequal length, give no row.
     """
-    p = products.filter(F.col("embedding").isNotNull())
-    p_blocks = max(1, -(-p.count() // product_rows))
-    q_blocks = max(1, -(-queries.count() // query_rows))
-
-    def spread(df, key, own, other, own_name, other_name):
-        return (df.withColumn(own_name, F.pmod(F.xxhash64(key), F.lit(own)).cast("int"))
-                .withColumn(other_name, F.explode(F.sequence(
-                    F.lit(0), F.lit(other - 1)))))
-    p = spread(p.select("id", "embedding", "scope"), "id", p_blocks, q_blocks, "pb", "qb")
-    q = spread(queries.select("qid", "vector", "scope"), "qid", q_blocks, p_blocks, "qb", "pb")
-    near = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInArrow(
-        _block_top(k), "qid long, id long, similarity double")
+    spark = products.sparkSession
+    blocks = product_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q = queries.filter(usable("vector")).withColumn("size", F.size("vector")).select(
+        "qid", F.col("vector").cast("array<double>").alias("vector"), "size",
+        F.pmod(F.xxhash64("qid"), F.lit(query_blocks)).cast("int").alias("qb"), "scope",
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("pb"))
+    p = products.filter(usable("embedding")).withColumn("size", F.size("embedding")).select(
+        "id", F.col("embedding").cast("array<double>").alias("embedding"), "size", "scope",
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("pb"))
+    part = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb")
+    scoped = p.filter(F.col("scope").isNotNull()).select("*", F.lit(False).alias("all"))
+    # everything is copied once more only for queries without a scope
+    p = scoped.unionByName(p.withColumns({"scope": F.lit(None).cast(p.schema["scope"].dataType),
+                                          "all": F.lit(True)}))
+    p = p.select("*", part)
+    keys = ["all", "scope", "size", "pb", "qb"]
+    q = q.withColumn("all", F.col("scope").isNull())
+    asked = q.select("all", F.col("scope").alias("_scope"), F.col("size").alias("_size")).distinct()
+    p = p.join(asked.withColumnRenamed("all", "_all"), (p["all"] == F.col("_all"))
+               & p["scope"].eqNullSafe(F.col("_scope")) & (p["size"] == F.col("_size")), "left_semi")
+    id_type = products.schema["id"].dataType.simpleString()
+    qid_type = queries.schema["qid"].dataType.simpleString()
+    near = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(
+        _block_top(k), f"qid {qid_type}, id {id_type}, similarity double")
     order = W.partitionBy("qid").orderBy(F.col("similarity").desc(), "id")
     return near.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
 
@@ -98,9 +123,9 @@ def rerank(candidates: DataFrame, results=vocab.SEARCH_RESULTS) -> DataFrame:
     Tags are compared as stored, names folded. Ties keep similarity order.
     """
     c = candidates.withColumns({
-        "_item": text.fold(F.coalesce("item_name", F.lit(""))),
-        "_name": text.fold("name"),
-        "_brand": text.fold(F.coalesce("brand_hint", F.lit("")))})
+        "_item": text.fold_compatible(F.coalesce("item_name", F.lit(""))),
+        "_name": text.fold_compatible("name"),
+        "_brand": text.fold_compatible(F.coalesce("brand_hint", F.lit("")))})
     c = c.withColumn("_hay", F.concat("_name", F.lit(" "), F.array_join(
         F.coalesce("tags", F.array().cast("array<string>")), " ")))
     c = c.withColumn("_tokens", F.array_distinct(text.unicode_words("_item", 3)))

@@ -1,6 +1,7 @@
 """Session defaults and the shared folder for checkpoints and tables."""
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -25,16 +26,6 @@ def get_session(app="mercata", master=None, **conf):
     return builder.getOrCreate()
 
 
-def spread(df):
-    """Rows over all cores when the input came in fewer tasks than that.
-
-    For few unsplittable files of long texts. A table of many files is read in
-    more tasks than there are cores and passes through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 _LOCAL = []
 
 
@@ -45,7 +36,7 @@ def shared_dir(spark, name):
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="mercata-"))

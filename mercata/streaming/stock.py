@@ -1,9 +1,13 @@
 """Stock events as a stream: shaped, checked, scoped, and kept as levels."""
 
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import contracts, filters, stock
 
+LEVELS = "shop_id string, sku string, qty long, batch long"
+
 
 def run_available(writer, checkpoint):
     """Process what is there and stop; a rerun continues from the checkpoint."""
@@ -37,22 +41,45 @@ def write_log_and_feed(events, log, feed_path, checkpoint):
 
 def current_levels(spark, path):
     """Newest level of every (shop, sku)."""
-    log = spark.read.schema("shop_id string, sku string, qty long, batch long").parquet(path)
+    log = spark.read.schema(LEVELS).parquet(path)
     return log.groupBy(*stock.KEY).agg(F.max_by("qty", "batch").alias("qty"))
 
 
+def exists(spark, path):
+    """Whether a path holds anything, in any file system Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def first_batch(spark, path, checkpoint):
+    """Number of a checkpoint's first batch in a table: after all that it found there.
+
+    Kept beside the table, so a restart of the same checkpoint goes on as before.
+    """
+    note = f"{path}/_first/{hashlib.sha256(checkpoint.encode()).hexdigest()}"
+    if not exists(spark, note):
+        found = None
+        if exists(spark, path):
+            found = spark.read.schema(LEVELS).parquet(path).agg(F.max("batch")).first()[0]
+        spark.range(1).select(F.lit(0 if found is None else found + 1).cast("long").alias("n")).write.parquet(note)
+    return spark.read.parquet(note).first()["n"]
+
+
 def write_levels(events, path, checkpoint):
     """Appends the new levels of the touched keys batch by batch.
 
-    A batch reads only levels of earlier batches and overwrites its own
-    folder, so repeating it after a failure changes nothing.
+    A batch reads the levels that are there, of earlier batches or from before the
+    checkpoint, and overwrites only its own folder, so repeating it changes nothing.
     """
-    def apply(batch, batch_id):
+    base = first_batch(events.sparkSession, path, checkpoint)
+
+    def apply(batch, number):
         spark = batch.sparkSession
+        batch_id = base + number
         opening = None
         if batch_id > 0:
             log = spark.read.schema(
-                "shop_id string, sku string, qty long, batch long").parquet(path)
+                LEVELS).parquet(path)
             touched = batch.select(*stock.KEY).distinct()
             opening = (log.filter(F.col("batch") < batch_id)
                        .join(touched, stock.KEY, "left_semi")

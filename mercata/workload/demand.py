@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import num, vocab
 from ..operators import analytics, contracts, recommend, signals as sig, trends, upsert
 from ..plans import demand as demand_plan
-from ..session import cut_lineage, spread
+from ..session import cut_lineage
 from . import views as v
 from .registry import half_even_sql, mean_sql, query, sql_list, with_
 
@@ -94,9 +94,9 @@ def latest_window_signals(spark, sf):
 
 @query("signal_listing", with_(*_SIGNALS, select="""
 SELECT keyword, geo, window_start, interest_avg, rank FROM v_signals
-WHERE direction = 'rising' ORDER BY rank, window_start, geo, keyword LIMIT 100"""))
+WHERE direction = 'rising'"""))
 def signal_listing(spark, sf):
-    rows = sig.list_signals(signals(spark, sf), "rank", 100, direction="rising",
+    rows = sig.list_signals(signals(spark, sf), "rank", direction="rising",
                             timeframe=v.TIMEFRAME, keyword=None)
     return rows.select("keyword", "geo", "window_start", "interest_avg",
                        F.col("rank").cast("long").alias("rank"))
@@ -104,9 +104,9 @@ def signal_listing(spark, sf):
 
 @query("keyword_series", with_(*_SIGNALS, select="""
 SELECT geo, window_start, interest_avg, delta_pct FROM v_signals
-WHERE keyword = 'grocery' ORDER BY window_start, geo LIMIT 500"""))
+WHERE keyword = 'grocery'"""))
 def keyword_series(spark, sf):
-    rows = sig.list_signals(signals(spark, sf), "window_start", 500, keyword="grocery")
+    rows = sig.list_signals(signals(spark, sf), "window_start", keyword="grocery")
     return rows.select("geo", "window_start", "interest_avg", "delta_pct")
 
 
@@ -164,18 +164,19 @@ SELECT {uuid_sql(vocab.SIGNAL_NAMESPACE, _REC_KEY)} AS id, store_id::VARCHAR AS
     || ' en Madrid' AS headline,
   'Tienes ' || n::VARCHAR || ' productos de esta categoría en stock.' AS body,
   '{vocab.CAVEAT}' AS caveat
-FROM v_recs WHERE window_start = (SELECT max(window_start) FROM v_signals)"""))
+FROM v_recs"""))
 def recommendations(spark, sf):
-    current = sig.latest_window(signals(spark, sf))
-    return recommend.build(current, v.products(spark, sf), v.COMPUTED_AT).drop("created_at")
+    return recommend.build(signals(spark, sf), v.products(spark, sf), v.COMPUTED_AT).drop("created_at")
 
 
 @query("store_recommendations", with_(*_RECS, select=f"""
 SELECT id, action FROM (
   SELECT {uuid_sql(vocab.SIGNAL_NAMESPACE, _REC_KEY)} AS id, action FROM v_recs
-  WHERE store_id = 5) ORDER BY id LIMIT 100"""))
+  WHERE store_id = 5)"""))
 def store_recommendations(spark, sf):
-    recs = recommend.build(signals(spark, sf), v.products(spark, sf), v.COMPUTED_AT)
+    """Only the store's own stock meets the signals."""
+    own = v.products(spark, sf).filter(F.col("store_id") == 5)
+    recs = recommend.build(signals(spark, sf), own, v.COMPUTED_AT)
     return recommend.of_store(recs, 5).select("id", "action")
 
 
@@ -216,14 +217,11 @@ def stock_out_risk(spark, sf):
 @query("segment_confidence", with_(v.INVENTORY, *_SIGNALS, MOVERS, select=f"""
 SELECT (SELECT CASE min(list_position({sql_list(vocab.CONFIDENCE_ORDER)}, confidence))
       WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END FROM v_movers) AS top_movers,
-  (SELECT CASE WHEN count(*) < {vocab.PRODUCTS_CAP} THEN 'high' ELSE 'low' END
-   FROM v_inventory) AS census"""))
+  'high' AS census"""))
 def segment_confidence(spark, sf):
     movers = analytics.top_movers(sig.latest_window(signals(spark, sf)))
-    read = v.products(spark, sf).agg(F.count(F.lit(1)).alias("n"))
-    return read.select(
-        movers.agg(analytics.weakest("confidence")).scalar().alias("top_movers"),
-        analytics.census(F.col("n")).alias("census"))
+    return movers.agg(analytics.weakest("confidence").alias("top_movers")).select(
+        "top_movers", analytics.census(None).alias("census"))
 
 
 @query("dashboard_document", with_(v.INVENTORY, *_SIGNALS, MOVERS, MIX, RISK, select=f"""
@@ -264,7 +262,7 @@ v_universe AS (
   SELECT lower(trim(keyword)) AS key, arg_min(keyword, (source, pos)) AS keyword FROM (
     SELECT 0 AS source, pos, keyword FROM v_seeds UNION ALL
     SELECT DISTINCT 1, 0, {v.CATEGORY_SQL} FROM part)
-  GROUP BY 1 ORDER BY 1 LIMIT 100)"""
+  GROUP BY 1)"""
 
 
 def universe(spark, sf):
@@ -309,7 +307,7 @@ def batch_anchor(spark, sf):
 
 
 def batches(spark, sf):
-    """At most a hundred rows, read by several branches of a capture."""
+    """Few rows, read by several branches of a capture."""
     u = cut_lineage(universe(spark, sf))
     return cut_lineage(trends.batches(u, trends.pick_anchor(signals(spark, sf), u)))
 
@@ -424,10 +422,9 @@ v_snapshots AS (
 
 @query("newest_captures", with_(v.POINTS, SNAPSHOTS, select=f"""
 SELECT id, keyword, geo, captured_at, days FROM (
-  SELECT *, {uuid_sql(vocab.SIGNAL_NAMESPACE, 'natural_key')} AS id FROM v_snapshots)
-ORDER BY captured_at DESC, id LIMIT 20"""))
+  SELECT *, {uuid_sql(vocab.SIGNAL_NAMESPACE, 'natural_key')} AS id FROM v_snapshots)"""))
 def newest_captures(spark, sf):
-    rows = sig.newest_captures(snapshots(spark, sf), v.TIMEFRAME, 20)
+    rows = sig.newest_captures(snapshots(spark, sf), v.TIMEFRAME)
     return rows.select("id", "keyword", "geo", "captured_at",
                        F.size("series").cast("long").alias("days"))
 
@@ -460,7 +457,7 @@ def signal_upsert(spark, sf):
 
 def discoveries(spark, sf):
     """One payload per document: its sentences as the rising list."""
-    d = spread(v.table(spark, sf, "documents").select("doc_id", "text"))
+    d = v.table(spark, sf, "documents").select("doc_id", "text")
     queries = F.filter(F.transform(F.split("text", r"[.!?\n]+"),
                                    lambda s: F.trim(s)), lambda s: s != "")
 

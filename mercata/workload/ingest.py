@@ -295,13 +295,17 @@ def catalog_variants(spark, sf):
 @query("missing_skus", with_(v.SHOPS, v.INVENTORY, select=f"""
 SELECT s.shop_id, p_partkey AS sku, p_name AS name
 FROM v_shops s JOIN part ON {v.CATEGORY_SQL} = s.categories[1]
-WHERE NOT EXISTS (SELECT 1 FROM v_inventory i WHERE i.shop_id = s.shop_id
-  AND i.sku = p_partkey)"""))
+WHERE s.shop_id IN (SELECT user_id % 7 FROM events WHERE event_type = 'error')
+  AND NOT EXISTS (SELECT 1 FROM v_inventory i WHERE i.shop_id = s.shop_id
+    AND i.sku = p_partkey)"""))
 def missing_skus(spark, sf):
+    """For the shops that put new items in stock."""
+    asked = v.table(spark, sf, "events").filter("event_type = 'error'").select(
+        (F.col("user_id") % 7).alias("shop_id"))
     parts = v.table(spark, sf, "part").select(
         F.col("p_partkey").alias("sku"), F.col("p_name").alias("name"),
         v.category().alias("category"))
-    return catalog.missing_skus(v.shops(spark, sf), v.inventory(spark, sf), parts).select(
+    return catalog.missing_skus(asked, v.shops(spark, sf), v.inventory(spark, sf), parts).select(
         "shop_id", "sku", "name")
 
 

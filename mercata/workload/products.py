@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..operators import chat, listing, picks, places, vector
 from ..plans import semantic
-from ..session import cut_lineage, spread
+from ..session import cut_lineage
 from . import views as v
 from .registry import half_even_sql, query, sql_list, with_
 
 # --- vectors --------------------------------------------------------------------
 
-COSINE = "round(list_cosine_similarity(a.e, b.e), 9)"
+COSINE = "round(list_cosine_similarity(a.e, b.e), 12)"
 VECTORS = """v_vec AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings)"""
 
 
@@ -183,7 +183,7 @@ def barrio_matches(spark, sf):
     named = F.element_at(names, (d % 24 + 1).cast("int"))
     said = F.when(d % 3 == 0, F.upper(named)).when(
         d % 3 == 1, F.concat_ws(" ", "text", named)).otherwise(F.col("text"))
-    rows = spread(v.table(spark, sf, "documents").select("doc_id", "text")).select(
+    rows = v.table(spark, sf, "documents").select("doc_id", "text").select(
         "doc_id", said.alias("said"))
     return rows.select("doc_id", places.match_barrio("said").alias("barrio"))
 
@@ -224,7 +224,7 @@ v_guess AS (
 
 
 def chat_turns(spark, sf):
-    c = spread(v.table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    c = v.table(spark, sf, "conversations").select("conv_id", "turn", "text")
     p = v.table(spark, sf, "part").select("p_partkey", "p_name")
     n = v.table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("n")).scalar()
     m = p.agg(F.count(F.lit(1)).alias("m")).scalar()

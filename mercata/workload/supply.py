@@ -378,7 +378,7 @@ v_sum AS (
   FROM v_seg),
 v_levels AS (
   SELECT *, (s - least(min(s) OVER (PARTITION BY shop_id, sku, seg ORDER BY ts, event_id),
-    0))::BIGINT AS qty_now FROM v_sum)"""
+    0))::BIGINT AS qty_now FROM v_sum WHERE seg > 0)"""
 
 
 @query("running_stock", with_(v.EVENTS, LEVELS, select="""

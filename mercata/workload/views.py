@@ -7,7 +7,6 @@ the SQL twin of a query.
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..session import spread
 
 TYPE_CATEGORY = {"STANDARD": "pharmacy", "ECONOMY": "grocery", "MEDIUM": "hardware",
                  "PROMO": "electronics", "LARGE": "stationery", "SMALL": "grocery"}
@@ -181,11 +180,10 @@ QUERIES = """v_queries AS (
 def as_movements(df):
     """Stock movements; the log names shops by their full id."""
     i, kind = F.col("event_id"), F.col("event_type")
-    delta = (F.when(kind == "purchase", -(1 + i % 5)).when(kind == "signup", 5 + i % 16)
-             .when(kind == "error", 8 + i % 18))
-    name = (F.when(kind == "purchase", "sale").when(kind == "signup", "restock")
-            .when(kind == "error", "new_item"))
-    return df.filter(kind.isin("purchase", "signup", "error")).select(
+    sold, added = kind.isin("purchase", "view"), kind.isin("signup", "click")
+    delta = F.when(sold, -(1 + i % 5)).when(added, 5 + i % 16).otherwise(8 + i % 18)
+    name = F.when(sold, "sale").when(added, "restock").otherwise("new_item")
+    return df.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("osm:node:"), (F.col("user_id") % 7).cast("string")).alias("shop_id"),
         F.concat(F.lit("PHA-"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("sku"),
@@ -199,11 +197,12 @@ def events(spark, sf):
 EVENTS = """v_events AS (
   SELECT event_id, ts, 'osm:node:' || (user_id % 7)::VARCHAR AS shop_id,
     'PHA-' || lpad(user_id::VARCHAR, 4, '0') AS sku,
-    CASE event_type WHEN 'purchase' THEN 'sale' WHEN 'signup' THEN 'restock'
-      ELSE 'new_item' END AS type,
-    CASE event_type WHEN 'purchase' THEN -(1 + event_id % 5)
-      WHEN 'signup' THEN 5 + event_id % 16 ELSE 8 + event_id % 18 END AS delta
-  FROM events WHERE event_type IN ('purchase', 'signup', 'error'))"""
+    CASE WHEN event_type IN ('purchase', 'view') THEN 'sale'
+      WHEN event_type IN ('signup', 'click') THEN 'restock' ELSE 'new_item' END AS type,
+    CASE WHEN event_type IN ('purchase', 'view') THEN -(1 + event_id % 5)
+      WHEN event_type IN ('signup', 'click') THEN 5 + event_id % 16
+      ELSE 8 + event_id % 18 END AS delta
+  FROM events)"""
 
 
 def known_shops(spark, sf):
@@ -222,7 +221,7 @@ def rising(spark, sf):
     """Discovered queries: every sentence of every document, and every part
     worded the way shoppers do. The parent of a sentence is the first word of
     its document, of a part its colour and kind reversed or as named."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "text", "n_chars"))
+    d = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
     d = d.withColumn("parent_keyword", F.regexp_extract("text", r"^\s*([^\s]+)", 1))
     d = d.select("doc_id", "n_chars", "parent_keyword",
                  F.posexplode(F.split("text", r"[.!?\n]+")).alias("pos", "query"))

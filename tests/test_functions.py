@@ -97,3 +97,29 @@ def test_intents(spark):
 def test_let_binds_once(spark):
     v = text.let(F.lit(3), lambda x: x * x + x)
     assert one(spark, v) == 12
+
+
+def test_strip_and_folds_follow_unicode(spark):
+    rows = [(" \tCafé\n　",), ("ﬁn ① Ａ ½",), ("हुआ",), ("é ṩ ῼ",), (None,), ("ṩ",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select(text.strip("t").alias("s"), text.fold("t").alias("f"), text.fold_compatible("t").alias("k"),
+                    text.keyword_key("t").alias("key")).collect()
+
+    def plain(t, form):
+        return "".join(c for c in unicodedata.normalize(form, t.lower()) if not unicodedata.combining(c))
+    for (t,), r in zip(rows, got, strict=True):
+        if t is None:
+            assert list(r) == [None] * 4
+            continue
+        assert r["s"] == t.strip() and r["key"] == t.strip().lower()
+        assert unicodedata.normalize("NFC", r["f"]) == unicodedata.normalize("NFC", plain(t, "NFD"))
+        assert r["k"] == plain(t, "NFKD").lower()
+
+
+def test_padding_of_any_kind_is_one_category(spark):
+    from mercata.operators import analytics, filters
+    df = spark.createDataFrame([("grocery", 1), ("\tgrocery\n", 5), (" grocery", 1), ("\n", 1)],
+                               "category string, qty int")
+    assert [tuple(r) for r in analytics.category_mix(df).collect()] == [("grocery", 100.0, 3)]
+    assert analytics.stock_out_risk(df).first()["total_count"] == 3
+    assert filters.drop_blank(df, "category").count() == 3

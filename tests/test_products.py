@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from mercata.operators import chat, picks, vector
 
 
-@pytest.mark.parametrize("rows", [10_000, 17])
-def test_top_k_equals_brute_force_in_any_blocking(spark, rows):
+@pytest.mark.parametrize("product_blocks,query_blocks", [(None, 1), (1, 1), (7, 3)])
+def test_top_k_equals_brute_force_in_any_blocking(spark, product_blocks, query_blocks):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(120, 8)).astype("float32").astype("float64")
     m[40] = m[3]
@@ -19,9 +19,9 @@ def test_top_k_equals_brute_force_in_any_blocking(spark, rows):
                                for i in range(30)],
                               "qid long, vector array<double>, scope string")
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-    sims = np.round(unit @ unit.T, 9)
+    sims = np.round(unit @ unit.T, 12)
     got = {}
-    for r in vector.top_k(p, q, 5, product_rows=rows, query_rows=rows).orderBy(
+    for r in vector.top_k(p, q, 5, product_blocks=product_blocks, query_blocks=query_blocks).orderBy(
             "qid", "pos").collect():
         got.setdefault(r["qid"], []).append(r["id"])
     for i in range(30):
@@ -32,6 +32,24 @@ def test_top_k_equals_brute_force_in_any_blocking(spark, rows):
     assert hits[0]["id"] == 7 and len(hits) == 3
 
 
+def test_top_k_takes_text_ids_and_odd_vectors(spark):
+    p = spark.createDataFrame([("b", [1.0, 0.0], "s"), ("a", [2.0, 0.0], "s"), ("zero", [0.0, 0.0], "s"),
+                               ("none", None, "s"), ("hole", [1.0, None], "s"), ("long", [1.0, 0.0, 0.0], "s"),
+                               ("far", [-1.0, 0.0], None)],
+                              "id string, embedding array<double>, scope string")
+    q = spark.createDataFrame([("q1", [1.0, 0.0], None), ("q2", [1.0, 0.0], "s"), ("q3", [0.0, 0.0], None),
+                               ("q4", [1.0], None), ("q5", None, "s")],
+                              "qid string, vector array<double>, scope string")
+    got = {}
+    for r in vector.top_k(p, q, 5).orderBy("qid", "pos").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    assert got == {"q1": ["a", "b", "far"], "q2": ["a", "b"]}
+    near = vector.match_products(p, [1.0, 0.0], 5).collect()
+    assert [r["id"] for r in near] == ["a", "b", "far"]
+    zero = p.filter("id = 'zero'").select(vector.cosine("embedding", F.array(F.lit(1.0), F.lit(0.0))).alias("c"))
+    assert zero.first()["c"] is None
+
+
 def test_zero_vector_stays(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], ["v"])
     assert [r["u"] for r in df.select(vector.normalise("v").alias("u")).collect()] == [

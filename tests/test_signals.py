@@ -112,8 +112,8 @@ def test_labels(spark):
     assert weak("high", None) == "low"
     assert weak() == "low"
     read = spark.createDataFrame([(4999,), (5000,)], ["n"]).select(
-        analytics.census(F.col("n")).alias("c")).collect()
-    assert [r["c"] for r in read] == ["high", "low"]
+        analytics.census(F.col("n"), 5000).alias("c"), analytics.census(F.col("n")).alias("d")).collect()
+    assert [(r["c"], r["d"]) for r in read] == [("high", "high"), ("low", "high")]
 
 
 def test_rescale_and_lost_batches(spark):

@@ -33,6 +33,15 @@ def test_levels_survive_a_restart_and_equal_the_batch(spark, tmp_path):
     batch = stock.closing_levels(spark.createDataFrame(rows, FIELDS))
     assert live == {(r["shop_id"], r["sku"]): r["qty"] for r in batch.collect()}
 
+    # a new checkpoint over the table that is there
+    later = str(tmp_path / "later")
+    new = events(60, 9, 9)
+    spark.createDataFrame(new, FIELDS).coalesce(1).write.parquet(later)
+    stock_stream.write_levels(spark.readStream.schema(FIELDS).parquet(later), out, str(tmp_path / "other"))
+    live = {(r[0], r[1]): r[2] for r in stock_stream.current_levels(spark, out).collect()}
+    batch = stock.closing_levels(spark.createDataFrame(rows + new, FIELDS))
+    assert live == {(r["shop_id"], r["sku"]): r["qty"] for r in batch.collect()}
+
 
 def test_log_and_feed_hold_the_same_events(spark, tmp_path):
     src = str(tmp_path / "src")

@@ -167,6 +167,8 @@ def brute_levels(events, opening):
     level, out = dict(opening), {}
     for shop, sku, ts, i, kind, delta in sorted(events, key=lambda e: (e[2], e[3])):
         k = (shop, sku)
+        if kind != "new_item" and k not in level:
+            continue
         level[k] = delta if kind == "new_item" else max(0, level.get(k, 0) + delta)
         out[i] = level[k]
     return out, level
