@@ -44,10 +44,12 @@ def suggestions(turns: DataFrame, products: DataFrame,
             F.coalesce("tags", F.array().cast("array<string>")), " ")))
     replies = turns.select("turn_id", "store_id", text.fold_compatible("reply").alias("haystack"))
     names = p.select("store_id", F.col("_name").alias("needle")).distinct()
-    lengths = names.select(F.least(F.length("needle"), F.lit(GRAM)).alias("n")).distinct()
-    sizes = sorted({row["n"] for row in lengths.collect()} - {0}) or [GRAM]
-    said = cut_lineage(_substring_join(
-        replies, names, ["store_id"], "turn_id", sizes).select(
+    short = names.filter(F.length("needle") < GRAM)
+    met = _substring_join(replies, names.filter(F.length("needle") >= GRAM), ["store_id"], "turn_id")
+    # few stores sell anything named so short: only their replies are cut that small
+    brief = replies.join(short.select("store_id").distinct(), "store_id", "left_semi")
+    met = met.unionByName(_substring_join(brief, short, ["store_id"], "turn_id", range(1, GRAM)))
+    said = cut_lineage(met.select(
         "turn_id", "store_id", F.col("needle").alias("_name"),
         F.instr("haystack", F.col("needle")).alias("_at")))
     listed = F.struct("name", "product_id")
@@ -70,8 +72,9 @@ def suggestions(turns: DataFrame, products: DataFrame,
     words = asked.select("needle").distinct()
     pairs = _substring_join(hays, words, [], "_text").select("needle", "haystack")
     sold = stocked.select("store_id", F.col("_hay").alias("haystack")).distinct()
-    found = sold.join(asked.select("store_id").distinct(), "store_id", "left_semi").join(
-        pairs, "haystack")
+    # what a store was asked meets its own texts only
+    found = asked.select("store_id", "needle").distinct().join(pairs, "needle").join(
+        sold, ["store_id", "haystack"])
     hits = (asked.join(found, ["store_id", "needle"])
             .groupBy("turn_id", "store_id", F.col("haystack").alias("_hay"))
             .agg(F.count(F.lit(1)).alias("_hits")))

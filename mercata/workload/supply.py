@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import intent, vocab
-from ..operators import filters, listing, places
+from ..operators import filters, listing, matching, places
 from ..plans import search as search_plan
 from ..sources import geojson
 from . import views as v
@@ -255,7 +255,7 @@ v_words AS (
   SELECT *, regexp_extract_all(lower(name || ' ' || category), '[a-z0-9]+') AS words
   FROM v_inventory WHERE qty > 0),
 v_cand AS (
-  SELECT q.*, s.shop_id, s.name AS shop_name, s.categories, s.address, s.lat, s.lng,
+  SELECT q.*, s.shop_id, s.name AS shop_name, s.categories, s.address, s.rating, s.lat, s.lng,
     {haversine_sql('q.clat', 'q.clng', 's.lat', 's.lng')} AS d
   FROM v_ready q JOIN v_shops s ON {haversine_sql('q.clat', 'q.clng', 's.lat', 's.lng')}
     <= {RADIUS} AND (len(q.hints) = 0 OR list_has_any(s.categories, q.hints))),
@@ -263,7 +263,7 @@ v_items AS (
   SELECT c.*, i.sku, i.name AS item_name, i.price, i.qty, i.category AS item_category
   FROM v_cand c JOIN v_words i ON i.shop_id = c.shop_id AND list_has_any(i.words, c.kws)),
 v_roll AS (
-  SELECT qid, raw_query, shop_id, shop_name, categories[1] AS category, address, lat, lng,
+  SELECT qid, raw_query, shop_id, shop_name, categories[1] AS category, address, rating, lat, lng,
     clat, clng, d, sum(qty)::BIGINT AS total_qty, count(*) AS item_count,
     min(price) AS price, arg_min(sku, (price, sku)) AS sku,
     arg_min(item_name, (price, sku)) AS item_name, arg_min(qty, (price, sku)) AS stock_qty
@@ -280,13 +280,13 @@ def run_search(spark, sf):
 
 
 @query("ranked_shops", with_(*_SEARCH, select="""
-SELECT qid, rank, shop_id, shop_name, category, address, round(d, 6) AS distance_km,
-  item_name, sku, price, stock_qty, total_qty, item_count FROM v_ranked"""))
+SELECT qid, rank, shop_id, shop_name, category, address, round(rating, 6) AS rating,
+  round(d, 6) AS distance_km, item_name, sku, price, stock_qty, total_qty, item_count FROM v_ranked"""))
 def ranked_shops(spark, sf):
     r = run_search(spark, sf).results
     return r.select("qid", F.col("rank").cast("long").alias("rank"), "shop_id", "shop_name",
-                    "category", "address", F.round("distance_km", 6).alias("distance_km"),
-                    "item_name", "sku", "price", "stock_qty", "total_qty", "item_count")
+                    "category", "address", F.round("rating", 6).alias("rating"),
+                    F.round("distance_km", 6).alias("distance_km"), "item_name", "sku", "price", "stock_qty", "total_qty", "item_count")
 
 
 @query("search_errors", with_(*_RESOLVED, select="""
@@ -310,11 +310,26 @@ SELECT qid, rank, shop_id, price, stock_qty,
   row_number() OVER (PARTITION BY qid ORDER BY price, rank) AS place
 FROM v_ranked WHERE category = 'grocery' AND stock_qty > 5"""))
 def cheapest_shops_first(spark, sf):
-    from pyspark.sql import Window as W
     kept = filters.result_facets(run_search(spark, sf).results, "grocery", True)
-    order = W.partitionBy("qid").orderBy("price", "rank")
-    return kept.select("qid", F.col("rank").cast("long").alias("rank"), "shop_id", "price",
-                       "stock_qty", F.row_number().over(order).cast("long").alias("place"))
+    return matching.with_place(kept, "price_asc").select(
+        "qid", F.col("rank").cast("long").alias("rank"), "shop_id", "price", "stock_qty",
+        F.col("place").cast("long").alias("place"))
+
+
+@query("shop_notifications", with_(*_SEARCH, select="""
+SELECT qid, shop_id, total_qty, string_agg(sku::VARCHAR, '|' ORDER BY price, sku) AS skus,
+  min(price) AS lowest
+FROM (SELECT i.qid, i.shop_id, i.sku, i.price, r.total_qty,
+    row_number() OVER (PARTITION BY i.qid, i.shop_id ORDER BY i.price, i.sku) AS n
+  FROM v_items i JOIN v_ranked r ON i.qid = r.qid AND i.shop_id = r.shop_id)
+WHERE n <= 5 GROUP BY qid, shop_id, total_qty"""))
+def shop_notifications(spark, sf):
+    """One inbox record per query and shop with its five cheapest items."""
+    rows = search_plan.inbox(run_search(spark, sf), 5)
+    return rows.select(
+        "qid", "shop_id", "total_qty",
+        F.array_join(F.transform("items", lambda i: i["sku"].cast("string")), "|").alias("skus"),
+        F.get("items", F.lit(0))["price"].alias("lowest"))
 
 
 @query("search_pages", with_(*_SEARCH, select="""

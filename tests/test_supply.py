@@ -100,13 +100,15 @@ def test_search_ranks_near_shops_with_stock(spark):
 
 def test_walking_distance_is_reported_but_not_tested(spark):
     shops = spark.createDataFrame(SHOPS, ["shop_id", "lat", "lng", "categories", "name"])
-    s = spark.createDataFrame([("w", [], 40.4168, -3.7038)],
-                              "want_id string, category_hints array<string>, lat double, "
-                              "lng double")
+    s = spark.createDataFrame([("w", ["x"], [], 40.4168, -3.7038)],
+                              "want_id string, keywords array<string>, category_hints array<string>, "
+                              "lat double, lng double")
+    stock = shops.select("shop_id", F.lit("1").alias("sku"), F.lit("x").alias("name"),
+                         F.lit("").alias("category"), F.lit(1.0).alias("price"), F.lit(1).alias("qty"))
     walk = spark.createDataFrame([(40.4168, -3.7038, "osm:node:3", 9.5)],
                                  ["lat", "lng", "shop_id", "walking_km"])
     got = {r["shop_id"]: (r["distance_type"], r["distance_km"])
-           for r in matching.candidate_shops(s, shops, 2.0, walk).collect()}
+           for r in matching.matched_shops(s, shops, stock, 2.0, walk).collect()}
     assert got["osm:node:3"] == ("walking", 9.5)
     assert got["osm:node:1"] == ("haversine", 0.0) and len(got) == 3
 
