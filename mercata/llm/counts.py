@@ -2,34 +2,28 @@
 
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
 
-from .tokens import batches_of, texts
-
-CACHED_WORDS = 400_000
-
-# Fixed: the split of the vocabulary file into pre-tokens, after its normalizer.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+from .tokens import WORD_END, Counter
 
 
 def whole_tokens(tokenizer):
     """Strings that the vocabulary proves to be one token when they stand alone.
 
     A vocabulary entry with a word end is a candidate. It is proven by encoding it: the
-    library must give exactly that one id, and must see it as one pre-token.
+    library must give exactly that one id.
     """
-    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-    ending = [(s, i) for s, i in vocabulary.items() if s.endswith("</w>")]
-    ids = [i for _, i in ending]
-    strings = []
     byte_of = _bytes_of_characters()
-    for s, _ in ending:
-        try:
-            strings.append(bytes(byte_of[c] for c in s[:-len("</w>")]).decode("utf-8"))
-        except (KeyError, UnicodeDecodeError):
-            strings.append("")  # part of a character: never a pre-token of its own
+    strings, ids = [], []
+    for entry, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        if entry.endswith(WORD_END):
+            try:
+                strings.append(bytes(byte_of[c] for c in entry[:-len(WORD_END)]).decode("utf-8"))
+                ids.append(i)
+            except (KeyError, UnicodeDecodeError):
+                pass  # part of a character: never a pre-token of its own
     encoded = tokenizer.encode_batch_fast(strings, add_special_tokens=False)
     return frozenset(s for s, i, e in zip(strings, ids, encoded, strict=True) if s and e.ids == [i])
 
@@ -42,81 +36,34 @@ def _bytes_of_characters():
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class WordCounter:
-    """Tokens of white-space separated words, in a vocabulary that drops white space."""
-
-    def __init__(self, path):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.normalize = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
-        self.whole = whole_tokens(self.tokenizer)
-        self.split = regex.compile(PRE_TOKENS).findall
-        self.merged, self.known = {}, {}
-
-    def _count(self, word):
-        """(tokens known without merging, pre-tokens that have to be merged)"""
-        text = word.decode("utf-8")
-        if any(s in text for s in self.special):  # matched before the split
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids), []
-        if text.isascii():
-            text = text.lower()
-        else:
-            text = self.normalize(text)
-        parts = [text] if text in self.whole and text.isalpha() else self.split(text)
-        rest = [p for p in parts if p not in self.whole]
-        return len(parts) - len(rest), rest
-
-    def learn(self, words):
-        if len(self.known) > CACHED_WORDS:
-            self.known, self.merged = {}, {}
-        counted = {w: self._count(w) for w in words}
-        rest = list({p for _, parts in counted.values() for p in parts if p not in self.merged})
-        encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        self.merged.update((p, len(e.ids)) for p, e in zip(rest, encoded, strict=True))
-        merged = self.merged
-        self.known.update((w, n + sum(merged[p] for p in parts)) for w, (n, parts) in counted.items())
-
-    def count(self, raw):
-        words = raw.split()
-        try:
-            return sum(map(self.known.__getitem__, words))
-        except KeyError:
-            fresh = set(words).difference(self.known)
-            if len(self.known) > CACHED_WORDS:
-                fresh = set(words)
-            self.learn(fresh)
-            return sum(map(self.known.__getitem__, words))
-
-
 _COUNTERS = {}
 
 
 def counter(path):
+    """One counter per worker and vocabulary."""
     if path not in _COUNTERS:
-        _COUNTERS[path] = WordCounter(path)
+        _COUNTERS[path] = Counter(path, whole_tokens)
     return _COUNTERS[path]
 
 
 def token_counts(docs, tokenizer_path, limit=2048, id_col="doc_id", text_col="text"):
     """Tokens of every whole text, without begin, end or other added tokens.
 
-    A word's pre-tokens that are proven to encode alone as one token are counted without
-    merging; only the rest goes through the library's merges, each distinct one once.
-    Map-only: no shuffle.
+    A pre-token that is proven to encode alone as one token is counted without merging;
+    only the rest goes through the library's merges, each distinct one once. Special
+    strings in a text count as the library counts them. Map-only: no shuffle.
 
-    Returns doc_id, n_bytes, n_tokens and over_limit, one row per input row. A null or empty text has 0 bytes and 0 tokens; a
-    null doc_id stays null; other columns are left out, so their names cannot clash.
+    Returns doc_id, n_bytes, n_tokens and over_limit, one row per input row. A null or
+    empty text has 0 bytes and 0 tokens; a null doc_id stays null; other columns are
+    left out, so their names cannot clash; an empty table gives no rows.
     """
     def run(batches):
-        count = counter(tokenizer_path).count
+        count = counter(tokenizer_path).count_tokens
         for batch in batches:
-            for part in batches_of(batch):
-                raw = texts(part.column(1))
-                tokens = [count(t) for t in raw]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column(0), "n_bytes": pa.array(map(len, raw), pa.int64()),
-                    "n_tokens": pa.array(tokens, pa.int64()),
-                    "over_limit": pa.array([n > limit for n in tokens], pa.bool_())})
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+            tokens = count(batch.column(1))
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0), "n_bytes": size, "n_tokens": pa.array(tokens.astype(np.int64)),
+                "over_limit": pa.array(tokens > limit)})
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

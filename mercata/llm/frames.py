@@ -9,7 +9,6 @@ file, the index from the last frame, and decompresses only frames it needs.
 
 import struct
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .tokens import batches_of, encoder, texts
+from .tokens import encoded
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -132,7 +131,7 @@ def write_tokens(docs, folder, tokenizer_path, end_id=2, id_col="doc_id", text_c
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        encode, writer = encoder(tokenizer_path).encode, None
+        writer = None
         system, base = fs.FileSystem.from_uri(folder)
         context = TaskContext.get()
         part = context.partitionId()
@@ -143,9 +142,9 @@ def write_tokens(docs, folder, tokenizer_path, end_id=2, id_col="doc_id", text_c
                 system.create_dir(base, recursive=True)
                 stream = system.open_output_stream(f"{base}/{own}")
                 writer = FrameWriter(stream, level, frame_ids)
-            for piece in batches_of(batch):
-                for doc_id, raw in zip(piece.column(0).to_pylist(), texts(piece.column(1)), strict=True):
-                    writer.add(doc_id, encode(raw) + end)
+            for part_of, found in encoded(batch, 1, tokenizer_path):
+                for doc_id, ids in zip(part_of.column(0).to_pylist(), found, strict=True):
+                    writer.add(doc_id, ids + end)
         if writer is None:
             return
         writer.close()
@@ -201,7 +200,3 @@ def _documents(rows):
 def new_folder(spark):
     """A folder for token files in the shared folder of the cluster."""
     return shared_dir(spark, f"tokens/{uuid.uuid4().hex}")
-
-
-def crc_of(ids):
-    return zlib.crc32(ids)

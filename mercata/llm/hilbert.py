@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from .arrays import slices, word_units, words
-from .tokens import batches_of, encoder, texts
+from .tokens import encoded
 
 BUCKETS = 1024  # hashed words of a document vector
 DIMENSIONS = 4
@@ -104,13 +104,12 @@ def pack(docs, tokenizer_path, end_id=1, sequence_tokens=2048, id_col="doc_id",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], ["doc_id", "text", "key"])
 
     def run(batches):
-        encode = encoder(tokenizer_path).encode
         base, made, filled = TaskContext.get().partitionId() << 33, 0, 0
         done, held = [], []  # pieces of whole sequences, of the one that is open
         for batch in batches:
-            for part in batches_of(batch):
-                for doc_id, raw in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-                    ids = encode(raw) + end
+            for part, found in encoded(batch, 1, tokenizer_path):
+                for doc_id, ids in zip(part.column(0).to_pylist(), found, strict=True):
+                    ids += end
                     total, start = len(ids) // 4, 0
                     while start < total:
                         n = min(total - start, sequence_tokens - filled)
