@@ -13,8 +13,10 @@ MAX_GRAMS = 100_000  # of a language that the model keeps, the most frequent
 MAX_LANGUAGES = 200  # with the most text
 CALIBRATION_ROWS = 2_000
 ALPHABET = 4096  # the uniform model below the unigrams
-SLICE = 4 << 20
+SLICE = 1 << 20  # bytes of text; the arrays over it take about 100 times as much
 CACHED_GRAMS = 400_000
+LOWERED_ROWS = 1024
+RANK_PARTS = 64
 SHORT = 3.0  # nats: how far the mean of one character may stray
 NONE = "und"
 
@@ -63,6 +65,13 @@ def letter_grams(offsets, data):
     return grams, starts
 
 
+def grams_of(column):
+    """(first row, packed 4-grams, first gram of each text) for slices of a column."""
+    for row in range(0, len(column), LOWERED_ROWS):
+        for at, offsets, data in slices(pc.utf8_lower(column.slice(row, LOWERED_ROWS)), SLICE):
+            yield row + at, *letter_grams(offsets, data)
+
+
 def _totals(keys, weights):
     """(distinct keys, sum of weights, number of entries)"""
     distinct, inverse = np.unique(keys, return_inverse=True)
@@ -127,7 +136,10 @@ class Scorer:
     def _scores(self, grams):
         if not self.models:
             return np.zeros((len(grams), 0))
-        known = np.isin(grams, self.keys, assume_unique=True)
+        known = np.zeros(len(grams), bool)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+            known = self.keys[place] == grams
         if not known.all():
             if len(self.keys) > CACHED_GRAMS:
                 self._forget()
@@ -142,8 +154,7 @@ class Scorer:
     def entropies(self, column):
         """(number of characters, nats per character in each language) of each text."""
         sizes, found = [], []
-        for _, offsets, data in slices(pc.utf8_lower(column), SLICE):
-            grams, starts = letter_grams(offsets, data)
+        for _, grams, starts in grams_of(column):
             size = np.diff(starts)
             total = np.zeros((len(size), len(self.models)))
             if len(grams):
@@ -213,21 +224,44 @@ class Model:
 
 def _gram_counts(texts):
     """lang, gram, n: each task adds up its own grams first."""
+    def added(parts):
+        keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        return [(distinct, np.bincount(inverse, n, len(distinct)).astype(np.int64))]
+
     def run(batches):
+        held = {}
         for batch in batches:
             names = batch.column(1).to_pylist()
-            for row, offsets, data in slices(pc.utf8_lower(batch.column(0)), SLICE):
-                grams, starts = letter_grams(offsets, data)
-                owner = np.array(names[row:row + len(offsets) - 1])
+            for row, grams, starts in grams_of(batch.column(0)):
+                owner = np.array(names[row:row + len(starts) - 1], object)
                 of_gram = np.repeat(np.arange(len(owner)), np.diff(starts))
-                for language in np.unique(owner):
-                    keys, n = np.unique(grams[(owner == language)[of_gram]], return_counts=True)
-                    yield pa.RecordBatch.from_pydict({
-                        "lang": pa.array([str(language)] * len(keys), pa.string()),
-                        "gram": pa.array(keys.view(np.int64)), "n": pa.array(n, pa.int64())})
+                for language in set(owner.tolist()):
+                    mine = held.setdefault(language, [])
+                    mine.append(np.unique(grams[(owner == language)[of_gram]], return_counts=True))
+                    if len(mine) > 8:
+                        held[language] = added(mine)
+        for language, parts in held.items():
+            (keys, n), = added(parts)
+            for at in range(0, len(keys), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_pydict({
+                    "lang": pa.array([language] * len(keys[part]), pa.string()),
+                    "gram": pa.array(keys[part].view(np.int64)), "n": pa.array(n[part])})
     return texts.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _most_frequent(counted, limit):
+    """At most `limit` grams of each language: first of each part of it, then of these."""
+    order = (F.desc("n"), "gram")
+    part = F.pmod(F.xxhash64("gram"), F.lit(RANK_PARTS))
+    inside = Window.partitionBy("lang", "part").orderBy(*order)
+    some = counted.withColumn("part", part).withColumn("rank", F.row_number().over(inside)) \
+        .where(F.col("rank") <= limit).drop("rank", "part")
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    return ranked.where(F.col("rank") <= limit).select("lang", "gram", "n")
+
+
 def train(docs, learn, calibrate, text_col="text", lang_col="lang", max_grams=MAX_GRAMS,
           max_languages=MAX_LANGUAGES, calibration_rows=CALIBRATION_ROWS):
     """Fit a Model on the rows where `learn` holds and calibrate it where `calibrate` does.
@@ -240,9 +274,7 @@ def train(docs, learn, calibrate, text_col="text", lang_col="lang", max_grams=MA
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"),
                        learn.alias("learn"), calibrate.alias("calibrate")).where("text IS NOT NULL AND lang IS NOT NULL")
     counted = _gram_counts(rows.where("learn").select("text", "lang"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))) \
-        .where(F.col("rank") <= max_grams)
-    table = ranked.select("lang", "gram", "n").toArrow()
+    table = _most_frequent(counted, max_grams).toArrow()
     names = np.array(table.column("lang").to_pylist(), object)
     grams = table.column("gram").to_numpy().view(np.uint64)
     n = table.column("n").to_numpy()
