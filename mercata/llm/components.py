@@ -29,6 +29,7 @@ def components(links, a, b):
     """
     edges = links.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b")) \
         .where("a < b").distinct()
+    edges = cut_lineage(edges)  # every round reads them several times
     before = None
     while True:
         edges = cut_lineage(_small_star(_large_star(edges).distinct()).distinct())

@@ -10,6 +10,7 @@ from .arrays import mix, range_hashes, running, slices, word_units, words
 from .components import components
 
 SHINGLE = 5
+BIT_WORDS = 32  # 64-bit words of a set's bit field
 BANDS, ROWS = 48, 4  # a link of similarity 0.75 is missed with probability 1.2e-8
 
 SKETCHES = "doc_id long, n_shingles long, set_id binary, bands array<long>"
@@ -96,20 +97,30 @@ def _sketched(docs, bands, rows, size):
 
 
 def _sets(texts, size):
-    """node, set_id and the whole shingle set."""
+    """node, set_id, the whole shingle set, and the set hashed into a small bit field.
+
+    `lost` is how many more elements the set has than bits that are on.
+    """
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = list(shingle_sets(part.column(1), size))
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                size_of = [len(s) for s in sets]
+                offsets = np.concatenate([[0], np.cumsum(size_of)])
                 values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                marks = np.zeros((len(sets), 64 * BIT_WORDS), np.uint8)
+                marks[np.repeat(np.arange(len(sets)), size_of), (values >> np.uint64(20)) % np.uint64(64 * BIT_WORDS)] = 1
+                bits = np.packbits(marks, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_pydict({
                     "node": part.column(0),
                     "set_id": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     "elements": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                                         pa.array(values.view(np.int64)))})
-    return texts.mapInArrow(run, "node long, set_id binary, elements array<long>")
+                                                         pa.array(values.view(np.int64))),
+                    "bits": pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(sets) + 1) * BIT_WORDS, pa.int32()), pa.array(bits.ravel())),
+                    "lost": pa.array(np.array(size_of, np.int64) - marks.sum(1, dtype=np.int64))})
+    return texts.mapInArrow(run, "node long, set_id binary, elements array<long>, bits array<long>, lost long")
 
 
 def _verified(pairs, sets, percent):
@@ -123,15 +134,39 @@ def _verified(pairs, sets, percent):
     return counted.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b")
 
 
+def _size_class(n):
+    """Sizes within about a tenth of each other; does not fall as sizes grow."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(1.1)))
+
+
+def _sized(open_, sets):
+    """`open_` with each node's set size, its class, and how many of its shingles a second
+    open node has: the most it can share with any other.
+
+    A node and its partner share at most the smaller `common` of the two. Near copies
+    that were changed too much to be linked hold too many shingles of their own, so no
+    set size is left for a partner and they are never paired.
+    """
+    held = sets.join(open_.select("node").distinct(), "node")
+    sizes = held.select("node", F.size("elements").cast("long").alias("n"), "bits", "lost")
+    lone = held.select("node", F.explode("elements").alias("element")) \
+        .groupBy("element").agg(F.count("*").alias("k"), F.min("node").alias("node")) \
+        .where("k = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    facts = sizes.join(lone, "node", "left").select(
+        "node", "n", "bits", "lost", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"),
+        _size_class(F.col("n")).alias("size_class"))
+    return cut_lineage(open_.join(facts, "node"))
+
+
 def near_duplicates(docs, percent=75, size=SHINGLE, bands=BANDS, rows=ROWS, id_col="doc_id", text_col="text"):
     """Groups of documents linked by a Jaccard similarity of `percent` or more.
 
     Sets hold the distinct `size`-word shingles of the text with A-Z in lower case.
     Documents with the same set become one node before anything is compared. Bands give
     candidates: each node is first verified, on full sets, against one other node of its
-    bands (the smallest), which settles large groups in one pass; then only pairs that
-    share a band and are still in different components are verified. Pairs inside a
-    component cannot change it, so they are never made. Links are grouped by alternating
+    bands (the smallest), which settles large groups in one pass. Then only pairs that
+    share a band, are still in different components and could share enough by a bound
+    are verified. Pairs inside a component cannot change it, so they are never made. Links are grouped by alternating
     large and small stars.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept
@@ -154,7 +189,7 @@ def near_duplicates(docs, percent=75, size=SHINGLE, bands=BANDS, rows=ROWS, id_c
     found = texts.join(wanted, texts.doc_id == wanted.node).select("node", "text")
     known = nodes.join(wanted, "node")
     sets = cut_lineage(_sets(found, size).join(known, ["node", "set_id"])
-                       .select("node", "elements").dropDuplicates(["node"]))
+                       .select("node", "elements", "bits", "lost").dropDuplicates(["node"]))
 
     first = members.groupBy("node").agg(F.min("low").alias("a")) \
         .where("a < node").select("a", F.col("node").alias("b"))
@@ -166,9 +201,22 @@ def near_duplicates(docs, percent=75, size=SHINGLE, bands=BANDS, rows=ROWS, id_c
         .groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")) \
         .where("kinds > 1").select("band", F.col("main.component").alias("main"))
     open_ = placed.join(mixed, "band")
-    few = open_.where("component != main").select("band", F.col("node").alias("x"), F.col("component").alias("cx"))
-    across = few.join(open_, "band").where(
-        "component != cx AND (component = main OR node < x)")
+    sized = _sized(open_, sets)
+    smallest = F.ceil(F.col("n") * percent / 100)
+    largest = F.least(F.floor(F.col("n") * 100 / percent),
+                      F.floor(F.col("common") * (100 + percent) / percent) - F.col("n"))
+    few = sized.where("component != main").where(smallest <= largest).select(
+        "band", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"),
+        F.col("common").alias("commonx"), F.col("bits").alias("bitsx"), F.col("lost").alias("lostx"),
+        F.explode(F.sequence(_size_class(smallest), _size_class(largest))).alias("size_class"))
+    common = F.least("common", "commonx")
+    # equal elements are equal bits; each set lost some elements to bits that were on
+    same_bits = F.zip_with("bits", "bitsx", lambda a, b: F.bit_count(a.bitwiseAND(b)))
+    alike = F.least("lost", "lostx") + F.aggregate(same_bits, F.lit(0), lambda a, b: a + b)
+    across = few.join(sized, ["band", "size_class"]).where(
+        (F.col("component") != F.col("cx")) & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("x")))
+        & (common * 100 >= (F.col("n") + F.col("nx") - common) * percent)
+        & (alike * 100 >= (F.col("n") + F.col("nx") - alike) * percent))
     across = across.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")) \
         .distinct().join(first, ["a", "b"], "left_anti")
     more = _verified(across, sets, percent)
