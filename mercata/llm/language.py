@@ -268,8 +268,8 @@ def train(docs, learn, calibrate, text_col="text", lang_col="lang", max_grams=MA
 
     All grams of all learning rows are counted; the model keeps the `max_grams` most
     frequent of each of at most `max_languages` languages, which bounds what is sent to
-    the workers. At most `calibration_rows` rows, the first by hash, are used to
-    calibrate. Rows with a null language or text are left out.
+    the workers. At most `calibration_rows` distinct texts, the first by hash, are used
+    to calibrate. Rows with a null language or text are left out.
     """
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"),
                        learn.alias("learn"), calibrate.alias("calibrate")).where("text IS NOT NULL AND lang IS NOT NULL")
@@ -282,8 +282,11 @@ def train(docs, learn, calibrate, text_col="text", lang_col="lang", max_grams=MA
     languages = sorted(sorted(sizes, key=lambda x: (-sizes[x], x))[:max_languages])
     model = Model(languages, [LanguageModel(grams[names == x], n[names == x]) for x in languages])
     if languages and calibration_rows:
-        some = rows.where("calibrate").select("text", "lang", F.xxhash64("text").alias("h")).orderBy("h", "lang") \
-            .limit(calibration_rows).select("text", "lang").toArrow()
+        hashed = rows.where("calibrate").select("text", "lang", F.xxhash64("text").alias("h"))
+        # only hashes are ordered; texts are fetched for the smallest of them
+        last = hashed.select("h").distinct().orderBy("h").limit(calibration_rows).agg(F.max("h")).first()[0]
+        some = hashed.where(F.col("h") <= F.lit(last)).groupBy("h", "lang").agg(F.min("text").alias("text")) \
+            .orderBy("h", "lang").limit(calibration_rows).select("text", "lang").toArrow()
         text = some.column("text").combine_chunks()
         text = pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) else text
         model.calibrate(some.column("lang").to_pylist(), *Scorer(model.models).entropies(text))
