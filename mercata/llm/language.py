@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 from .arrays import mix, slices
 
 ORDER = 4
-MAX_GRAMS = 100_000  # of a language that the model keeps, the most frequent
-MAX_LANGUAGES = 200  # with the most text
 CALIBRATION_ROWS = 2_000
 ALPHABET = 4096  # the uniform model below the unigrams
 SLICE = 1 << 20  # bytes of text; the arrays over it take about 100 times as much
-CACHED_GRAMS = 400_000
+SLICE_LANGUAGES = 64  # with more languages the slices shrink, as each has a score for every gram
+CACHED_SCORES = 1_600_000  # grams times languages
 LOWERED_ROWS = 1024
-RANK_PARTS = 64
 SHORT = 3.0  # nats: how far the mean of one character may stray
 NONE = "und"
 
@@ -65,10 +63,10 @@ def letter_grams(offsets, data):
     return grams, starts
 
 
-def grams_of(column):
+def grams_of(column, limit=SLICE):
     """(first row, packed 4-grams, first gram of each text) for slices of a column."""
     for row in range(0, len(column), LOWERED_ROWS):
-        for at, offsets, data in slices(pc.utf8_lower(column.slice(row, LOWERED_ROWS)), SLICE):
+        for at, offsets, data in slices(pc.utf8_lower(column.slice(row, LOWERED_ROWS)), limit):
             yield row + at, *letter_grams(offsets, data)
 
 
@@ -141,7 +139,7 @@ class Scorer:
             place = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
             known = self.keys[place] == grams
         if not known.all():
-            if len(self.keys) > CACHED_GRAMS:
+            if self.logs.size > CACHED_SCORES:
                 self._forget()
                 known[:] = False
             fresh = grams[~known]
@@ -154,7 +152,8 @@ class Scorer:
     def entropies(self, column):
         """(number of characters, nats per character in each language) of each text."""
         sizes, found = [], []
-        for _, grams, starts in grams_of(column):
+        limit = SLICE * SLICE_LANGUAGES // max(len(self.models), SLICE_LANGUAGES)
+        for _, grams, starts in grams_of(column, limit):
             size = np.diff(starts)
             total = np.zeros((len(size), len(self.models)))
             if len(grams):
@@ -251,36 +250,40 @@ def _gram_counts(texts):
     return texts.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _most_frequent(counted, limit):
-    """At most `limit` grams of each language: first of each part of it, then of these."""
-    order = (F.desc("n"), "gram")
-    part = F.pmod(F.xxhash64("gram"), F.lit(RANK_PARTS))
-    inside = Window.partitionBy("lang", "part").orderBy(*order)
-    some = counted.withColumn("part", part).withColumn("rank", F.row_number().over(inside)) \
-        .where(F.col("rank") <= limit).drop("rank", "part")
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    return ranked.where(F.col("rank") <= limit).select("lang", "gram", "n")
-
-
-def train(docs, learn, calibrate, text_col="text", lang_col="lang", max_grams=MAX_GRAMS,
-          max_languages=MAX_LANGUAGES, calibration_rows=CALIBRATION_ROWS):
+def _models(table):
+    """(languages, models) of all gram counts, in any order."""
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    if isinstance(lang, pa.ChunkedArray):
+        lang = pa.concat_arrays(lang.chunks) if lang.num_chunks else pa.array([], pa.string()).dictionary_encode()
+    names = lang.dictionary.to_pylist()
+    code = lang.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    ends = np.cumsum(np.bincount(code, minlength=len(names)))
+    grams = table.column("gram").to_numpy().view(np.uint64)[order]
+    n = table.column("n").to_numpy()[order]
+    own = {}
+    for name, end, size in zip(names, ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True):
+        part = slice(end - size, end)
+        by = np.argsort(grams[part])
+        own[name] = LanguageModel(grams[part][by], n[part][by])
+    languages = sorted(names)
+    return languages, [own[x] for x in languages]
+
+
+def train(docs, learn, calibrate, text_col="text", lang_col="lang",
+          calibration_rows=CALIBRATION_ROWS):
     """Fit a Model on the rows where `learn` holds and calibrate it where `calibrate` does.
 
-    All grams of all learning rows are counted; the model keeps the `max_grams` most
-    frequent of each of at most `max_languages` languages, which bounds what is sent to
-    the workers. At most `calibration_rows` distinct texts, the first by hash, are used
+    All grams of all learning rows are counted, and the models of all languages keep
+    every gram, so what the driver gathers and sends to the workers grows with the
+    number of distinct grams of the learning rows. At most `calibration_rows` distinct texts, the first by hash, are used
     to calibrate. Rows with a null language or text are left out.
     """
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"),
                        learn.alias("learn"), calibrate.alias("calibrate")).where("text IS NOT NULL AND lang IS NOT NULL")
     counted = _gram_counts(rows.where("learn").select("text", "lang"))
-    table = _most_frequent(counted, max_grams).toArrow()
-    names = np.array(table.column("lang").to_pylist(), object)
-    grams = table.column("gram").to_numpy().view(np.uint64)
-    n = table.column("n").to_numpy()
-    sizes = {name: n[names == name].sum() for name in set(names.tolist())}
-    languages = sorted(sorted(sizes, key=lambda x: (-sizes[x], x))[:max_languages])
-    model = Model(languages, [LanguageModel(grams[names == x], n[names == x]) for x in languages])
+    model = Model(*_models(counted.toArrow()))
+    languages = model.languages
     if languages and calibration_rows:
         hashed = rows.where("calibrate").select("text", "lang", F.xxhash64("text").alias("h"))
         # only hashes are ordered; texts are fetched for the smallest of them

@@ -65,6 +65,35 @@ def test_kneser_ney_sums_to_one():
     assert abs(np.exp(model.log_probabilities(keys)).sum() - 1) < 1e-9
 
 
+def test_model_keeps_all_grams_and_languages(spark):
+    ship(spark)
+    rng = np.random.default_rng(8)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    weight = 1 / np.arange(1, 301)
+    text = "".join(rng.choice(letters, 250_000, p=weight / weight.sum()))
+    parts = [text[i:i + 5000] for i in range(0, len(text), 5000)]
+    rows = [(i, t, "big") for i, t in enumerate(parts)] + [(1000 + i, "abc" * 3, f"l{i:03}") for i in range(205)]
+    made = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), F.lit(False))
+    assert made.languages == sorted({r[2] for r in rows})
+    padded = collections.Counter()
+    for t in parts:
+        line = "   " + t + " "
+        padded.update(line[i:i + 4] for i in range(len(line) - 3))
+    assert len(padded) > 100_000
+    keys = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in padded], np.uint64)
+    want = language.LanguageModel(keys, np.array(list(padded.values())))
+    got = made.models[made.languages.index("big")]
+    for mine, own in zip(got.orders, want.orders, strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(mine[::2], own[::2], strict=True))
+        assert all(np.allclose(x, y, rtol=1e-12) for x, y in zip(mine[1::2], own[1::2], strict=True))
+    once, twice = (sum(n == k for n in padded.values()) for k in (1, 2))
+    assert once / (once + 2 * twice) != pytest.approx(0.5)
+    total = sum(n for g, n in padded.items() if g[:3] == text[:3])
+    first = np.uint64(sum(ord(c) << 16 * (3 - i) for i, c in enumerate(text[:4])))
+    place = np.searchsorted(got.orders[3][0], language._hashed(np.array([first]), 4))[0]
+    assert got.orders[3][1][place] == pytest.approx((padded[text[:4]] - once / (once + 2 * twice)) / total)
+
+
 def test_nothing_to_learn_from(spark, docs):
     empty = spark.createDataFrame([], h.SCHEMA)
     model = language.train(empty, F.lit(True), F.lit(True))
