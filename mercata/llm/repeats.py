@@ -35,10 +35,11 @@ LAST_ID = (1 << 63) - 1  # stands for a null id: after all others
 
 BLOCK_BYTES = 4 << 20
 
-# An anchor travels as 48 bits of its hash, its answer as 32: a false match only sends a
-# context in vain. `place` is the chunk and two flags.
+# An anchor and its answer travel as the same 48 bits of its hash: anchors that agree in
+# them are one anchor to all chunks, so equal windows always go to the same kind of shard.
+# `place` is the chunk and two flags.
 ANCHORS = "anchor long, place int"
-ANSWERS = "chunk int, anchor int, hot boolean, text_id long, low long"
+ANSWERS = "chunk int, anchor long, hot boolean, text_id long, low long"
 CONTEXTS = "shard int, place int, low long, more long, context binary"
 MARKS = "chunk int, content long, first int, last int, low long"
 COPY = -2  # `first` of a mark that stands for a whole text
@@ -169,7 +170,7 @@ def repeated_anchors(found, hot_chunks):
         keep, hot = np.repeat(keep, size), np.repeat(size >= hot_chunks, size)
         for at in np.array_split(np.flatnonzero(keep), 1 + keep.sum() // (1 << 16)):
             yield pa.RecordBatch.from_pydict({
-                "chunk": place[order[at]] >> 1, "anchor": (keys[order[at]] >> 16).astype(np.uint32).view(np.int32),
+                "chunk": place[order[at]] >> 1, "anchor": keys[order[at]],
                 "hot": pa.array(hot[at]), "text_id": pa.nulls(len(at), pa.int64()),
                 "low": pa.nulls(len(at), pa.int64())})
     return found.repartition("anchor").mapInArrow(run, ANSWERS)
@@ -200,7 +201,7 @@ def contexts(docs, repeated, unit):
         same = answers.filter(told)
         answers = answers.filter(pc.invert(told))
         table, copied, _ = Copies(_flat(same, "text_id"), _flat(same, "low")).split(table)
-        wanted = _flat(answers, "anchor").view(np.uint32)
+        wanted = _flat(answers, "anchor").view(np.uint64)
         order = np.argsort(wanted)
         wanted, hot = wanted[order], _flat(answers, "hot")[order]
         seen, row = {}, 0
@@ -209,7 +210,7 @@ def contexts(docs, repeated, unit):
             row += len(ids)
             if not len(runs.doc):
                 continue
-            short = (runs.anchor >> np.uint64(32)).astype(np.uint32)
+            short = runs.anchor >> np.uint64(16)
             place = np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)
             at = np.flatnonzero(wanted[place] == short)
             raw = data.tobytes()
@@ -345,7 +346,7 @@ def repeated_windows(docs, unit, decide, finish, schema, between_documents, hot_
     same = copies(docs)
     repeated = repeated_anchors(anchors(docs, unit, between_documents), hot_chunks)
     repeated = repeated.unionByName(same.select(
-        "chunk", F.lit(0).alias("anchor"), F.lit(False).alias("hot"), "text_id", "low"))
+        "chunk", F.lit(0).cast("long").alias("anchor"), F.lit(False).alias("hot"), "text_id", "low"))
     marks = answered(contexts(docs, repeated, unit), unit, decide)
     marks = marks.unionByName(same.select(
         "chunk", F.col("text_id").alias("content"), F.lit(COPY).alias("first"), F.lit(0).alias("last"), "low"))

@@ -1,9 +1,12 @@
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mercata.llm import arrays, automata, suffixes
+from mercata.llm import arrays, automata, repeats, suffixes
 from mercata.session import ship
 
 from . import helpers as h
@@ -47,6 +50,44 @@ def test_test_table_equals_brute_force(spark, name):
         assert h.ordered(rows) == h.ordered(h.repeated_bytes(own, 50))
 
 
+@pytest.mark.parametrize("name", ["words", "bytes"])
+def test_anchors_with_equal_leading_bits(spark, name):
+    """Anchors in many chunks and in few that share their first 32 bits stay apart."""
+    ship(spark)
+    rng = random.Random(11)
+    hot = h.passage(rng, 200)
+    rows = []
+    for i in range(24):
+        pair = h.passage(rng, 45)
+        start = hot if i < 10 else h.passage(rng, 45)
+        rows += [(2 * i, f"{start} {h.passage(rng, 5)} {pair}"), (2 * i + 1, f"{h.passage(rng, 5)} {pair}")]
+    base, length, k, decide = ((automata.WordUnit, 35, 8, automata.decide_by_automaton(35)) if name == "words"
+                               else (suffixes.ByteUnit, 50, 20, suffixes.decide_by_sorting(50)))
+
+    class Short(base):
+        def runs_in(self, table):
+            for *parts, runs in super().runs_in(table):
+                yield *parts, runs._replace(anchor=runs.anchor >> np.uint64(48) << np.uint64(16))
+
+    def finish(table, parts):
+        removed = []
+        for _, _, _, where, first, last in parts:
+            start, end, doc = arrays.union_ranges(first, last + length, where)
+            removed += np.bincount(doc, end - start, len(where) - 1).astype(int).tolist()
+        return pa.table({"doc_id": table.column("doc_id"), "n_removed": pa.array(removed, pa.int64())})
+
+    docs = repeats.chunked(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    got = repeats.repeated_windows(docs, Short(length, k), decide, finish, "doc_id long, n_removed long",
+                                   between_documents=name == "bytes", hot_chunks=5)
+    want = {r[0]: r[2] for r in (h.repeated_words if name == "words" else h.repeated_bytes)(rows, length)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # shards in tasks of their own
+    try:
+        found = {r.doc_id: r.n_removed for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert found == want
+
+
 def test_other_columns_and_text_come_back(docs):
     got = suffixes.remove_repeated_bytes(docs, keep_columns=True, as_text=True).collect()
     assert len(got) == len(h.odd_documents())
