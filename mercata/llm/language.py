@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from .arrays import mix, slices
 
 ORDER = 4
-CALIBRATION_ROWS = 2_000
+CALIBRATION_ROWS = 2_000  # distinct texts of a language
+HASH_SHIFT = 52  # leaves 4096 buckets of hashes
 ALPHABET = 4096  # the uniform model below the unigrams
 SLICE = 1 << 20  # bytes of text; the arrays over it take about 100 times as much
 SLICE_LANGUAGES = 64  # with more languages the slices shrink, as each has a score for every gram
@@ -222,7 +223,10 @@ class Model:
 
 
 def _gram_counts(texts):
-    """lang, gram, n: each task adds up its own grams first."""
+    """lang, gram, n, n_all of (text, lang, learn): each task adds up its own grams first.
+
+    n is the count in the rows where `learn` holds, n_all in all rows.
+    """
     def added(parts):
         keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         distinct, inverse = np.unique(keys, return_inverse=True)
@@ -231,27 +235,31 @@ def _gram_counts(texts):
     def run(batches):
         held = {}
         for batch in batches:
-            names = batch.column(1).to_pylist()
+            names = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for row, grams, starts in grams_of(batch.column(0)):
-                owner = np.array(names[row:row + len(starts) - 1], object)
-                of_gram = np.repeat(np.arange(len(owner)), np.diff(starts))
-                for language in set(owner.tolist()):
-                    mine = held.setdefault(language, [])
-                    mine.append(np.unique(grams[(owner == language)[of_gram]], return_counts=True))
+                own = names[row:row + len(starts) - 1]
+                kinds = {kind: i for i, kind in enumerate(dict.fromkeys(own))}
+                of_gram = np.repeat(np.array([kinds[x] for x in own], np.int64), np.diff(starts))
+                for kind, i in kinds.items():
+                    mine = held.setdefault(kind, [])
+                    mine.append(np.unique(grams[of_gram == i], return_counts=True))
                     if len(mine) > 8:
-                        held[language] = added(mine)
-        for language, parts in held.items():
+                        held[kind] = added(mine)
+        for (language, learn), parts in held.items():
             (keys, n), = added(parts)
             for at in range(0, len(keys), 1 << 16):
                 part = slice(at, at + (1 << 16))
                 yield pa.RecordBatch.from_pydict({
                     "lang": pa.array([language] * len(keys[part]), pa.string()),
-                    "gram": pa.array(keys[part].view(np.int64)), "n": pa.array(n[part])})
-    return texts.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                    "gram": pa.array(keys[part].view(np.int64)), "n": pa.array(n[part] * learn),
+                    "n_all": pa.array(n[part])})
+    found = texts.mapInArrow(run, "lang string, gram long, n long, n_all long")
+    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
-def _models(table):
-    """(languages, models) of all gram counts, in any order."""
+def _models(table, count):
+    """(languages, models) of all gram counts in column `count`, in any order."""
+    table = table.filter(pc.greater(table.column(count), 0))
     lang = table.column("lang").combine_chunks().dictionary_encode()
     if isinstance(lang, pa.ChunkedArray):
         lang = pa.concat_arrays(lang.chunks) if lang.num_chunks else pa.array([], pa.string()).dictionary_encode()
@@ -260,7 +268,7 @@ def _models(table):
     order = np.argsort(code, kind="stable")
     ends = np.cumsum(np.bincount(code, minlength=len(names)))
     grams = table.column("gram").to_numpy().view(np.uint64)[order]
-    n = table.column("n").to_numpy()[order]
+    n = table.column(count).to_numpy()[order]
     own = {}
     for name, end, size in zip(names, ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True):
         part = slice(end - size, end)
@@ -274,26 +282,57 @@ def train(docs, learn, calibrate, text_col="text", lang_col="lang",
           calibration_rows=CALIBRATION_ROWS):
     """Fit a Model on the rows where `learn` holds and calibrate it where `calibrate` does.
 
-    All grams of all learning rows are counted, and the models of all languages keep
-    every gram, so what the driver gathers and sends to the workers grows with the
-    number of distinct grams of the learning rows. At most `calibration_rows` distinct texts, the first by hash, are used
-    to calibrate. Rows with a null language or text are left out.
+    The score and the limits are calibrated with models of the rows where `learn` holds
+    alone, on at most `calibration_rows` distinct texts of each language, the first by
+    hash; the models that are returned count the calibration rows too. All grams are
+    counted, and the models of all languages keep every gram, so what the driver gathers
+    and sends to the workers grows with their number. A language that only calibration
+    rows have is named too; its limit is the entropy of the uniform model. One without
+    calibration rows has a limit from the mean of the others. Rows with a null language
+    or text are left out.
     """
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"),
-                       learn.alias("learn"), calibrate.alias("calibrate")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counted = _gram_counts(rows.where("learn").select("text", "lang"))
-    model = Model(*_models(counted.toArrow()))
-    languages = model.languages
-    if languages and calibration_rows:
-        hashed = rows.where("calibrate").select("text", "lang", F.xxhash64("text").alias("h"))
-        # only hashes are ordered; texts are fetched for the smallest of them
-        last = hashed.select("h").distinct().orderBy("h").limit(calibration_rows).agg(F.max("h")).first()[0]
-        some = hashed.where(F.col("h") <= F.lit(last)).groupBy("h", "lang").agg(F.min("text").alias("text")) \
-            .orderBy("h", "lang").limit(calibration_rows).select("text", "lang").toArrow()
-        text = some.column("text").combine_chunks()
-        text = pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) else text
-        model.calibrate(some.column("lang").to_pylist(), *Scorer(model.models).entropies(text))
-    return model
+                       F.coalesce(learn, F.lit(False)).alias("learn"),
+                       F.coalesce(calibrate, F.lit(False)).alias("calibrate")) \
+        .where("text IS NOT NULL AND lang IS NOT NULL")
+    table = _gram_counts(rows.where("learn OR calibrate").select("text", "lang", "learn")).toArrow()
+    first, made = Model(*_models(table, "n")), Model(*_models(table, "n_all"))
+    if first.languages and calibration_rows:
+        found = _calibration(rows.where("calibrate"), first, calibration_rows).toArrow()
+        sizes = found.column("size").to_numpy()
+        entropies = found.column("entropies").combine_chunks()
+        entropies = (entropies.flatten() if len(found) else pa.array([], pa.float64())).to_numpy()
+        first.calibrate(found.column("lang").to_pylist(), sizes, entropies.reshape(len(sizes), len(first.languages)))
+        made.sharpness = first.sharpness
+        if first.limit is not None:
+            own = dict(zip(first.languages, first.limit.tolist(), strict=True))
+            made.limit = np.array([own.get(x, np.log(ALPHABET)) for x in made.languages])
+    return made
+
+
+def _calibration(rows, model, limit):
+    """lang, size and entropies of the first `limit` distinct texts of each language."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(shared.value.models)
+        for batch in batches:
+            sizes, entropies = scorer.entropies(batch.column(0))
+            yield pa.RecordBatch.from_pydict({
+                "lang": batch.column(1), "size": pa.array(sizes, pa.int64()),
+                "entropies": pa.array(list(entropies), pa.list_(pa.float64()))})
+    # only numbers of hashes are added up and ordered; texts are fetched for the smallest
+    hashed = rows.select("text", "lang", F.xxhash64("text").alias("h")).withColumn("bucket", F.shiftright("h", HASH_SHIFT))
+    size = hashed.select("lang", "bucket", "h").distinct().groupBy("lang", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = size.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))) \
+        .where(F.col("before") < limit).groupBy("lang").agg(F.max("bucket").alias("last")).collect()
+    bound = F.create_map([F.lit(x) for r in last for x in (r.lang, r["last"])]) if last else None
+    some = hashed.where(F.col("bucket") <= F.element_at(bound, F.col("lang")) if last else F.lit(False)) \
+        .groupBy("lang", "h").agg(F.min("text").alias("text"))
+    by = Window.partitionBy("lang").orderBy("h")
+    some = some.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+    return some.select("text", "lang").mapInArrow(run, "lang string, size long, entropies array<double>")
 
 
 def identify(docs, model, id_col="doc_id", text_col="text"):

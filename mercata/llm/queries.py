@@ -41,7 +41,8 @@ def fold(column, folds):
 
 
 def language_model(docs):
-    """Learned on folds 0 and 1 of four, calibrated on fold 3; fold 2 is held out."""
+    """Calibrated on fold 3 of four with models of folds 0 and 1, then learned on all three;
+    fold 2 is held out."""
     part = fold(docs.doc_id, 4)
     return language.train(docs, part.isin(0, 1), part == 3)
 

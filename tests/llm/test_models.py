@@ -94,6 +94,25 @@ def test_model_keeps_all_grams_and_languages(spark):
     assert got.orders[3][1][place] == pytest.approx((padded[text[:4]] - once / (once + 2 * twice)) / total)
 
 
+def test_calibration_rows_are_learned_and_spread_over_languages(spark):
+    ship(spark)
+    rng = np.random.default_rng(9)
+
+    def text(letters):
+        return "".join(rng.choice(list(letters + " "), 200))
+    rows = [(i, text("abcdefgh"), "common", i % 2) for i in range(400)]
+    rows += [(1000 + i, text("αβγδεζηθικλμνξοπρστυφχψω"), "rare", i % 2) for i in range(4)]
+    rows += [(2000, text("бгджз"), "late", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, part int")
+    made = language.train(docs, F.col("part") == 0, F.col("part") == 1, calibration_rows=5)
+    assert made.languages == ["common", "late", "rare"]
+    both = language.train(docs, F.lit(True), F.lit(False))
+    for mine, own in zip(made.models, both.models, strict=True):
+        assert all(np.array_equal(x, y) for a, b in zip(mine.orders, own.orders, strict=True) for x, y in zip(a, b, strict=True))
+    got = {r.doc_id: r for r in language.identify(docs, made).collect()}
+    assert all(got[r[0]].lang_pred == r[2] and not got[r[0]].rejected for r in rows)
+
+
 def test_nothing_to_learn_from(spark, docs):
     empty = spark.createDataFrame([], h.SCHEMA)
     model = language.train(empty, F.lit(True), F.lit(True))
