@@ -7,7 +7,7 @@ transitive links. tests/llm compares them with brute force.
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import automata, counts, frames, hilbert, language, neighbours, rules, sketch, suffixes, tiling
+from . import automata, counts, frames, hilbert, language, neighbours, rules, sketch, suffixes, tiling, whitening
 
 QUERIES, ORACLE = {}, {}
 
@@ -115,3 +115,9 @@ def op10(spark, sf):
     voters = neighbours.train(docs, labels, fold(labels.doc_id, 5) != 0)
     scored = neighbours.score(docs, voters, cut=0.3)
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf):
+    rows = whitening.whiten(table(spark, sf, "embeddings"), components=16)
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
