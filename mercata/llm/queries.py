@@ -1,13 +1,13 @@
 """The registered queries: each operator over its whole table.
 
-None has a SQL twin: the results need tokenizers, learned models, sorted suffixes or
-transitive links. tests/llm compares them with brute force.
+Ranked search has a SQL twin; the others need tokenizers, learned models, sorted suffixes
+or transitive links. tests/llm compares all of them with brute force.
 """
 
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import automata, counts, frames, hilbert, language, neighbours, rules, sketch, suffixes, tiling, whitening
+from . import automata, counts, frames, hilbert, language, neighbours, ranking, rules, sketch, suffixes, tiling, whitening
 
 QUERIES, ORACLE = {}, {}
 
@@ -117,6 +117,35 @@ def op10(spark, sf):
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query("op11_lexical_search")
+def op11(spark, sf):
+    return ranking.rank(documents(spark, sf), table(spark, sf, "benchmark"), top=50)
+
+
+ORACLE["op11_lexical_search"] = r"""
+WITH terms AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+postings AS (
+  SELECT kind, id, term, count(*) AS tf
+  FROM (SELECT kind, id, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM terms) GROUP BY ALL),
+lengths AS (SELECT id, sum(tf)::BIGINT AS n FROM postings WHERE kind = 'd' GROUP BY id),
+corpus AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM postings, corpus WHERE kind = 'd' GROUP BY term),
+scored AS (
+  SELECT i.id AS item_id, p.id AS doc_id,
+         sum(w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM postings i JOIN weights USING (term) JOIN postings p USING (term) JOIN lengths ON lengths.id = p.id, corpus
+  WHERE i.kind = 'i' AND p.kind = 'd' GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank
+  FROM scored WHERE score > 0) WHERE rank <= 50
+"""
+
+
 @query("op13_embedding_whitening")
 def op13(spark, sf):
     rows = whitening.whiten(table(spark, sf, "embeddings"), components=16)
