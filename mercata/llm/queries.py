@@ -7,7 +7,7 @@ or transitive links. tests/llm compares all of them with brute force.
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import automata, counts, frames, hilbert, language, neighbours, ranking, rules, sketch, suffixes, tiling, whitening
+from . import automata, counts, frames, hilbert, language, neighbours, ranking, rules, sanitise, sketch, suffixes, tiling, whitening
 
 QUERIES, ORACLE = {}, {}
 
@@ -146,6 +146,16 @@ SELECT item_id, rank, doc_id, score FROM (
 """
 
 
+@query("op12_pii_sanitisation")
+def op12(spark, sf):
+    rows = sanitise.sanitise(documents(spark, sf))
+    kinds = F.transform("base", lambda s: s["kind"])
+    return rows.select("doc_id", *[(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}")
+                                   for k in sanitise.PATTERNS],
+                       F.sha2(sanitise.span_list("base").cast("binary"), 256).alias("base_sha256"),
+                       sanitise.span_list("spans").alias("spans"))
+
+
 @query("op13_embedding_whitening")
 def op13(spark, sf):
     rows = whitening.whiten(table(spark, sf, "embeddings"), components=16)
