@@ -1,5 +1,6 @@
 """Folding, tokens and keys over text columns."""
 
+import json
 import sys
 import unicodedata
 
@@ -88,22 +89,41 @@ def _without_accents(c, table):
         t, _ACCENT_CLASS + "+", "")).otherwise(t))
 
 
+def is_ascii(c) -> Column:
+    """As many bytes as characters: nothing to look up in the tables."""
+    return F.octet_length(c) == F.char_length(c)
+
+
+def _unless_ascii(c, folded):
+    """Plain lower case where that is all there is to do."""
+    c = col(c)
+    return F.when(is_ascii(c), F.lower(c)).otherwise(folded(F.lower(c)))
+
+
 def fold(c) -> Column:
     """Lower case without accents, canonically decomposed; loose accents go too.
 
     Marks without a combining class are part of their script and stay.
     """
-    return _without_accents(F.lower(col(c)), _CANONICAL)
+    return _unless_ascii(c, lambda t: _without_accents(t, _CANONICAL))
 
 
 def fold_compatible(c) -> Column:
     """As `fold`, with compatibility forms (ligatures, full width, circled) spelled out."""
-    plain = _without_accents(F.lower(col(c)), _COMPATIBLE)
-
     def spelled(t):
-        pairs = F.create_map(*[F.lit(x) for kv in _LONGER.items() for x in kv])
+        # one literal in the plan instead of thousands
+        pairs = F.from_json(F.lit(json.dumps(_LONGER)), "map<string,string>")
         return F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.element_at(pairs, x), x)), "")
-    return let(plain, lambda t: F.when(_has(t, _LONGER_CLASS, map(ord, _LONGER)), spelled(t)).otherwise(t))
+    def full(c):
+        return let(_without_accents(c, _COMPATIBLE), lambda t: F.when(
+            _has(t, _LONGER_CLASS, map(ord, _LONGER)), spelled(t)).otherwise(t))
+    return _unless_ascii(c, full)
+
+
+def folded_constant(value):
+    """What `fold_compatible` makes of a text that is known beforehand."""
+    spelled = "".join(_LONGER.get(x, x) for x in value.lower().translate(str.maketrans(_COMPATIBLE)))
+    return "".join(x for x in spelled if not unicodedata.combining(x))
 
 
 def tokens(c) -> Column:

@@ -5,28 +5,65 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import text, vocab
 from ..session import cut_lineage
 
-GRAM = 4
+WORD = 4  # letters of a message word that is looked for
+NEEDLES_TOGETHER = 50_000  # in one automaton
+TEXTS_TOGETHER = 20_000  # texts of one store in one task
 
 
-def _grams(c, size):
-    """Distinct substrings of one length, in one pass over the text."""
-    every = F.lit("(?s)(?=(.{%d}))" % size)
-    return F.array_distinct(F.regexp_extract_all(c, every, 1))
+def _searched(on, key):
+    """Streams the texts of a group past one automaton of its needles.
 
-
-def _substring_join(texts, needles, on, key, sizes=(GRAM,)):
-    """Pairs with the same `on` where `needle` occurs in `haystack`.
-
-    A needle is filed under its first four letters (all of a shorter one) and
-    proposed to the texts that hold them; only then is the whole text fetched
-    by its `key` and searched. `sizes` are the lengths filed under.
+    The function carries what it needs, so workers do not import this package.
+    """
+    def run(needles, texts):
+        import ahocorasick
+        import pyarrow as pa
+        out = {name: [] for name in [*on, key, "needle", "at"]}
+        if needles.num_rows and texts.num_rows:
+            automaton = ahocorasick.Automaton()
+            for needle in needles["needle"].to_pylist():
+                automaton.add_word(needle, needle)
+            automaton.make_automaton()
+            same = {name: texts[name][0].as_py() for name in on}
+            for name, text in zip(texts[key].to_pylist(), texts["haystack"].to_pylist(), strict=True):
+                first = {}
+                for end, needle in automaton.iter(text):
+                    first.setdefault(needle, end - len(needle) + 2)
+                for column in on:
+                    out[column] += [same[column]] * len(first)
+                out[key] += [name] * len(first)
+                out["needle"] += first
+                out["at"] += first.values()
+        kinds = {"needle": pa.string(), "at": pa.int32()}
+        return pa.table({name: pa.array(v, kinds.get(name) or texts.schema.field(name).type) for name, v in out.items()})
+    return run
+
+
+def occurrences(texts: DataFrame, needles: DataFrame, on, key) -> DataFrame:
+    """Every needle in every text with the same `on`: the keys, `key`, `needle`, `at`.
+
+    `at` is the first place, from 1. All needles of a group are looked for at once, by an
+    automaton past which its texts stream. Groups of many texts or many needles are dealt
+    into parts, each a task of its own, by measured counts; a text meets every needle of
+    its group in exactly one of them. Texts: `on`, `key`, `haystack`; needles: `on`,
+    `needle`; empty needles occur nowhere.
     """
-    grams = F.explode(F.concat(*[_grams(F.col("haystack"), n) for n in sizes]))
-    filed = needles.filter(F.length("needle") > 0).withColumn(
-        "_gram", F.substring("needle", 1, GRAM))
-    proposed = texts.select(*on, key, grams.alias("_gram")).join(filed, [*on, "_gram"])
-    met = proposed.drop("_gram").join(texts, [*on, key])
-    return met.filter(F.instr("haystack", F.col("needle")) > 0)
+    needles = needles.filter(F.length("needle") > 0).select(*on, "needle").distinct()
+    texts = texts.filter(F.col("haystack").isNotNull())
+    parts = texts.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / TEXTS_TOGETHER).alias("_parts"))
+    slices = needles.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / NEEDLES_TOGETHER).alias("_slices"))
+    sizes = parts.join(slices, on)
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    t = texts.join(sizes, on).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts"))).withColumn(
+        "_slice", every("_slices")).select(*on, "_part", "_slice", key, "haystack")
+    n = needles.join(sizes, on).withColumn("_slice", F.pmod(F.xxhash64("needle"), F.col("_slices"))).withColumn(
+        "_part", every("_parts")).select(*on, "_part", "_slice", "needle")
+    types = {f.name: f.dataType.simpleString() for f in texts.schema}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in [*on, key]] + ["needle string", "at int"])
+    by = [*on, "_part", "_slice"]
+    return n.groupBy(*by).cogroup(t.groupBy(*by)).applyInArrow(_searched(on, key), schema)
 
 
 def suggestions(turns: DataFrame, products: DataFrame,
@@ -43,15 +80,9 @@ def suggestions(turns: DataFrame, products: DataFrame,
         "_hay", F.concat("_name", F.lit(" "), F.array_join(
             F.coalesce("tags", F.array().cast("array<string>")), " ")))
     replies = turns.select("turn_id", "store_id", text.fold_compatible("reply").alias("haystack"))
-    names = p.select("store_id", F.col("_name").alias("needle")).distinct()
-    short = names.filter(F.length("needle") < GRAM)
-    met = _substring_join(replies, names.filter(F.length("needle") >= GRAM), ["store_id"], "turn_id")
-    # few stores sell anything named so short: only their replies are cut that small
-    brief = replies.join(short.select("store_id").distinct(), "store_id", "left_semi")
-    met = met.unionByName(_substring_join(brief, short, ["store_id"], "turn_id", range(1, GRAM)))
-    said = cut_lineage(met.select(
-        "turn_id", "store_id", F.col("needle").alias("_name"),
-        F.instr("haystack", F.col("needle")).alias("_at")))
+    names = p.select("store_id", F.col("_name").alias("needle"))
+    said = cut_lineage(occurrences(replies, names, ["store_id"], "turn_id")).select(
+        "turn_id", "store_id", F.col("needle").alias("_name"), F.col("at").alias("_at"))
     listed = F.struct("name", "product_id")
     # the first few products of every distinct text are all that can be shown
     lead = W.partitionBy("store_id", "_name").orderBy(listed)
@@ -64,19 +95,13 @@ def suggestions(turns: DataFrame, products: DataFrame,
 
     quiet = turns.join(said.select("turn_id").distinct(), "turn_id", "left_anti")
     asked = quiet.select("turn_id", "store_id", F.explode(F.array_distinct(
-        text.unicode_words(text.fold_compatible("message"), GRAM))).alias("needle"))
+        text.unicode_words(text.fold_compatible("message"), WORD))).alias("needle"))
     stocked = p.filter(F.col("qty") > 0)
-    # chains sell the same products: a text is searched once for all stores
-    hays = stocked.select(F.col("_hay").alias("haystack"),
-                          F.xxhash64("_hay").alias("_text")).distinct()
-    words = asked.select("needle").distinct()
-    pairs = _substring_join(hays, words, [], "_text").select("needle", "haystack")
-    sold = stocked.select("store_id", F.col("_hay").alias("haystack")).distinct()
-    # what a store was asked meets its own texts only
-    found = asked.select("store_id", "needle").distinct().join(pairs, "needle").join(
-        sold, ["store_id", "haystack"])
+    # what a store was asked meets its own texts only, equal ones once
+    sold = stocked.select("store_id", "_hay", F.col("_hay").alias("haystack")).distinct()
+    found = occurrences(sold, asked, ["store_id"], "_hay").select("store_id", "_hay", "needle")
     hits = (asked.join(found, ["store_id", "needle"])
-            .groupBy("turn_id", "store_id", F.col("haystack").alias("_hay"))
+            .groupBy("turn_id", "store_id", "_hay")
             .agg(F.count(F.lit(1)).alias("_hits")))
     lead = W.partitionBy("store_id", "_hay").orderBy(listed)
     by_hay = stocked.withColumn("_n", F.row_number().over(lead)).filter(F.col("_n") <= limit)

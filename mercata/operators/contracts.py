@@ -1,6 +1,6 @@
 """Row contracts: every rule that fails is named in `violations`."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions import num, text, vocab
 
@@ -169,13 +169,38 @@ def violations(rules):
     """Messages of the rules that do not hold; a null test does not hold."""
     return F.array_compact(F.array(*[
         F.when(ok, F.lit(None).cast("string")).otherwise(F.lit(message))
-        for message, ok in rules]))
+        for message, ok in rules]).cast("array<string>"))
 
 
 def check(df: DataFrame, rules) -> DataFrame:
     return df.withColumn("violations", violations(rules))
 
 
+def observed(df: DataFrame, rules, observation) -> DataFrame:
+    """`check`, counting rows, valid rows and breaches of each rule as the rows pass.
+
+    The counts are in `observation` when the first action on the result is done, without
+    another scan; rule i of the list is `rule_i`.
+    """
+    checked = check(df, rules)
+    counts = [F.count_if(F.array_contains("violations", message)).alias(f"rule_{i}")
+              for i, (message, _) in enumerate(rules)]
+    return checked.observe(observation, F.count(F.lit(1)).alias("rows"),
+                           F.count_if(F.size("violations") == 0).alias("valid"), *counts)
+
+
+def store_checked(df: DataFrame, rules, path):
+    """Writes valid rows under `valid=true` and the others, with what they break, under
+    `valid=false`, in one pass; returns `rule, rows`: all, valid, quarantined, each rule."""
+    seen = Observation()
+    (observed(df, rules, seen).withColumn("valid", F.size("violations") == 0)
+     .write.mode("overwrite").partitionBy("valid").parquet(path))
+    got = seen.get
+    report = [("rows", got["rows"]), ("valid", got["valid"]), ("quarantined", got["rows"] - got["valid"])]
+    report += [(message, got[f"rule_{i}"]) for i, (message, _) in enumerate(rules)]
+    return df.sparkSession.createDataFrame(report, "rule string, rows long")
+
+
 def valid_rows(df, rules):
     return check(df, rules).filter(F.size("violations") == 0).drop("violations")
 

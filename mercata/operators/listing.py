@@ -1,6 +1,6 @@
 """Joined listings, counts and pages."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .filters import equal_where_given, in_stock
 
@@ -17,6 +17,13 @@ def page(df: DataFrame, keys, number, size) -> DataFrame:
     return df.orderBy(*keys).offset((number - 1) * size).limit(size)
 
 
+def stores_by_rating(stores, group="neighbourhood", limit=None):
+    """Stores with their `place` in a group, best rated first, unrated last."""
+    order = W.partitionBy(group).orderBy(F.col("rating").desc_nulls_last(), "shop_id")
+    rows = stores.withColumn("place", F.row_number().over(order))
+    return rows if limit is None else rows.filter(F.col("place") <= limit)
+
+
 def page_after(df, keys, last, size):
     """The page that follows the key `last`: no depth cost, filter pushed down."""
     cond = F.lit(False)

@@ -51,40 +51,64 @@ def assignment_totals(assigned):
                         F.count_if(F.col("region_id").isNull()).alias("unassigned"))
 
 
-def resolve_centres(searches, gazetteer, default=vocab.DEFAULT_CENTRE):
+def _by_folded_name(places, lat, lng):
+    """One point per folded name, the first by name."""
+    return (places
+            .select(text.fold_compatible(text.strip("name")).alias("_place"), "name",
+                    F.col("lat").alias(lat), F.col("lng").alias(lng))
+            .groupBy("_place").agg(F.min(F.struct("name", lat, lng)).alias("_g"))
+            .select("_place", f"_g.{lat}", f"_g.{lng}"))
+
+
+def resolve_centres(searches, gazetteer, default=vocab.DEFAULT_CENTRE, regions=None, geocodes=None):
     """Coordinates, else the named place, else the default centre.
 
-    A name that is not in the gazetteer makes the search `incomplete`; it
-    never falls back to the default.
+    A search may carry, beside `lat, lng` and the place its text names (`location_text`):
+    `near`, a place that goes before the text's, also when it is empty; and `region_id`,
+    looked up in `regions`, which gives coordinates and goes with nothing else. A place is
+    looked up in the gazetteer, then in `geocodes` (`name, lat, lng`: what a geocoder has
+    answered before). A name that neither has makes the search `incomplete`; it never falls
+    back to the default. `conflict`: half a coordinate pair, or a region with coordinates or
+    `near`; `unknown_region`: a region that is not listed.
     """
-    places = (gazetteer
-              .select(text.fold_compatible(text.strip("name")).alias("_place"), "name",
-                      F.col("lat").alias("_glat"), F.col("lng").alias("_glng"))
-              .groupBy("_place")
-              .agg(F.min(F.struct("name", "_glat", "_glng")).alias("_g"))
-              .select("_place", "_g._glat", "_g._glng"))
-    given = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    named = F.length(F.col("location_text")) > 0
-    s = searches.withColumn("_place", F.when(
-        ~given & named, text.fold_compatible(text.strip("location_text"))))
-    s = s.join(places, "_place", "left")
-    how = (F.when(given, "coordinates")
-           .when(F.col("_glat").isNotNull(), "gazetteer")
-           .when(~F.coalesce(named, F.lit(False)), "default_center"))
-    lat = F.when(given, F.col("lat")).when(
-        how == "default_center", F.lit(default[0])).otherwise(F.col("_glat"))
-    lng = F.when(given, F.col("lng")).when(
-        how == "default_center", F.lit(default[1])).otherwise(F.col("_glng"))
+    def given(name, kind="string"):
+        return F.col(name) if name in searches.columns else F.lit(None).cast(kind)
+    s = searches.withColumns({"_near": given("near"), "_region": given("region_id")})
+    if regions is None:
+        s = s.withColumns({"_rlat": F.lit(None).cast("double"), "_rlng": F.lit(None).cast("double")})
+    else:
+        s = s.join(regions.select(F.col("region_id").alias("_region"), F.col("lat").alias("_rlat"),
+                                  F.col("lng").alias("_rlng")).dropDuplicates(["_region"]), "_region", "left")
+    pair = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    half = F.col("lat").isNotNull() != F.col("lng").isNotNull()
+    by_region = F.col("_region").isNotNull()
+    conflict = half | (by_region & (F.col("lat").isNotNull() | F.col("lng").isNotNull() | F.col("_near").isNotNull()))
+    place = F.coalesce("_near", "location_text")
+    named = F.coalesce(F.length(place) > 0, F.lit(False)) & ~by_region & ~pair
+    s = s.withColumn("_place", F.when(named, text.fold_compatible(text.strip(place))))
+    s = s.join(_by_folded_name(gazetteer, "_glat", "_glng"), "_place", "left")
+    if geocodes is None:
+        s = s.withColumns({"_nlat": F.lit(None).cast("double"), "_nlng": F.lit(None).cast("double")})
+    else:
+        s = s.join(_by_folded_name(geocodes, "_nlat", "_nlng"), "_place", "left")
+    status = (F.when(conflict, "conflict")
+              .when(by_region & F.col("_rlat").isNull(), "unknown_region")
+              .when(named & F.coalesce("_glat", "_nlat").isNull(), "incomplete").otherwise("ok"))
+    how = F.when(status != "ok", F.lit(None).cast("string")).when(by_region | pair, "coordinates").when(
+        F.col("_glat").isNotNull(), "gazetteer").when(F.col("_nlat").isNotNull(), "geocode").otherwise("default_center")
+
+    def point(c, at):
+        return F.when(by_region, F.col(f"_r{c}")).when(pair, F.col(c)).when(
+            how == "default_center", F.lit(at)).otherwise(F.coalesce(f"_g{c}", f"_n{c}"))
     rest = [c for c in searches.columns if c not in ("lat", "lng")]
-    return s.select(*rest, lat.alias("lat"), lng.alias("lng"),
-                    how.alias("resolved_from"),
-                    F.when(how.isNull(), "incomplete").otherwise("ok")
-                    .alias("centre_status"))
+    return s.select(*rest, F.when(status == "ok", point("lat", default[0])).alias("lat"),
+                    F.when(status == "ok", point("lng", default[1])).alias("lng"),
+                    how.alias("resolved_from"), status.alias("centre_status"))
 
 
 def match_barrio(c, barrios=vocab.BARRIOS):
     """Canonical barrio of a free text: exact, else first one named in it."""
-    listed = F.array(*[F.struct(text.fold_compatible(F.lit(b)).alias("f"),
+    listed = F.array(*[F.struct(F.lit(text.folded_constant(b)).alias("f"),
                                 F.lit(b).alias("b")) for b in barrios])
 
     def named_in(folded):

@@ -76,9 +76,9 @@ def closing_levels(events, opening=None, bucket="day"):
         *KEY, F.col("_l.qty_now").alias("qty"))
 
 
-def shape_events(events, shops):
-    """Raw events in published form with the region of their shop."""
+def shape_events(events, shops, keep=()):
+    """Raw events in published form with the region of their shop, and columns to `keep`."""
     regions = shops.select("shop_id", "region_id")
     return events.join(regions, "shop_id", "left").select(
         "type", "shop_id", F.col("shop").alias("shop_name"), "region_id", "sku",
-        "name", "qty_now", F.col("ts"), "sold", "added")
+        "name", "qty_now", F.col("ts"), "sold", "added", *keep)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import listing, vector
+from ..operators import listing, places, vector
 
 
 def search(queries, products, stores):
@@ -16,6 +16,13 @@ def search(queries, products, stores):
     return listing.with_store_facts(ranked, stores)
 
 
+def scoped(requests):
+    """Adds `scope`, the barrio of a request: the one asked for (`neighbourhood`), else the
+    one its text names (`location`); null, everywhere, if neither names a barrio."""
+    return requests.withColumn("scope", F.coalesce(
+        places.match_barrio("neighbourhood"), places.match_barrio("location")))
+
+
 def interpreted(item_name, barrio):
     return F.when(F.col(barrio).isNotNull(), F.concat(
         F.col(item_name), F.lit(" near "), F.col(barrio))).otherwise(

@@ -26,10 +26,10 @@ SNAPSHOTS = ("id string, keyword string, geo string, timeframe string, "
 # Numbers arrive as text: the payload promises no types.
 TIMESERIES_PAYLOAD = (
     "interest_over_time struct<timeline_data:array<struct<timestamp:string,"
-    "values:array<struct<query:string,extracted_value:string>>>>>")
+    "values:array<struct<query:string,extracted_value:string>>>>>, broken string")
 RISING_PAYLOAD = (
     "related_queries struct<rising:array<struct<query:string,value:string,"
-    "extracted_value:string>>>")
+    "extracted_value:string>>>, broken string")
 RAW_EVENTS = ("type string, shop_id string, shop string, sku string, "
               "name string, qty_now bigint, sold bigint, added bigint, "
               "ts double")

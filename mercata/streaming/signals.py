@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import num
-from ..operators import signals as sig
+from ..operators import signals as sig, upsert
+from ..sources import keyed
 from .stock import run_available
 
 
@@ -23,30 +24,44 @@ def write_weekly_means(points, key, path, checkpoint, lateness="7 days"):
                          .outputMode("append"), checkpoint)
 
 
-def _newest_snapshots(log):
-    """One row per snapshot id; a later capture of the day replaces it."""
-    fields = [c for c in log.columns if c not in ("id", "batch")]
-    best = log.groupBy("id").agg(F.max_by(
-        F.struct(*fields), F.struct("batch", "captured_at")).alias("_s"))
-    return best.select("id", "_s.*")
+SNAPSHOT_PARTS, SERIES_PARTS = "snapshots", "series"
 
 
-def write_signals(snapshots, path, checkpoint):
-    """Stores each batch of snapshots and recomputes the series it touches."""
+def _series_schema(snapshots):
+    """Schema of the stored series: what `with_movement` makes of snapshots."""
+    return sig.with_movement(sig.weekly_interest(sig.explode_snapshots(snapshots))).schema
+
+
+def write_signals(snapshots, path, checkpoint, parts=keyed.PARTS):
+    """Stores each batch of snapshots and recomputes the series it touches.
+
+    Snapshots and series lie in partitions by a hash of the series; a batch reads and
+    rewrites only the partitions it touches. A snapshot replaces the one with its id, so a
+    repeated batch writes the same.
+    """
+    spark = snapshots.sparkSession
+    columns = snapshots.schema
+    series = _series_schema(spark.createDataFrame([], columns))
+    where = {"parts": parts, "part_keys": sig.SERIES}
+
     def refresh(batch, batch_id):
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/snapshots/batch={batch_id}")
-        log = spark.read.parquet(f"{path}/snapshots").filter(F.col("batch") <= batch_id)
-        touched = batch.select(*sig.SERIES).distinct()
-        mine = _newest_snapshots(log.join(touched, sig.SERIES, "left_semi"))
-        moved = sig.with_movement(sig.weekly_interest(sig.explode_snapshots(mine)))
-        moved.write.mode("overwrite").parquet(f"{path}/series/batch={batch_id}")
+        batch.persist()
+        touched = keyed.upsert(batch, f"{path}/{SNAPSHOT_PARTS}", ["id"], lambda old, new: upsert.replace_upsert(
+            old, new, ["id"], order="captured_at"), columns, **where)
+        if touched:
+            changed = batch.select(*sig.SERIES).distinct()
+            stored = keyed.read(spark, f"{path}/{SNAPSHOT_PARTS}", columns, touched).drop(keyed.PART)
+            mine = stored.join(changed, sig.SERIES, "left_semi")
+            moved = sig.with_movement(sig.weekly_interest(sig.explode_snapshots(mine)))
+
+            def replaced(old, new):
+                return old.join(changed, sig.SERIES, "left_anti").unionByName(new)
+            keyed.upsert(moved, f"{path}/{SERIES_PARTS}", sig.SERIES, replaced, series, **where)
+        batch.unpersist()
     return run_available(snapshots.writeStream.foreachBatch(refresh), checkpoint)
 
 
 def current_signals(spark, path, categories, computed_at=None):
-    """Signals over the newest version of every series."""
-    rows = spark.read.parquet(f"{path}/series")
-    newest = rows.groupBy(*sig.SERIES).agg(F.max("batch").alias("batch"))
-    moved = rows.join(newest, [*sig.SERIES, "batch"], "left_semi").drop("batch")
-    return sig.finish_signals(moved, categories, computed_at)
+    """Signals over the stored series."""
+    stored = spark.read.parquet(f"{path}/{SERIES_PARTS}").drop(keyed.PART)
+    return sig.finish_signals(stored, categories, computed_at)

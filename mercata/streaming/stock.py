@@ -1,12 +1,17 @@
 """Stock events as a stream: shaped, checked, scoped, and kept as levels."""
 
-import hashlib
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
-from ..operators import contracts, filters, stock
+from ..operators import contracts, filters, stock, upsert
+from ..operators.numbering import numbered
+from ..session import ship
+from ..sources import keyed
 
-LEVELS = "shop_id string, sku string, qty long, batch long"
+LEVELS = "shop_id string, sku string, qty long"
 
 
 def run_available(writer, checkpoint):
@@ -17,9 +22,12 @@ def run_available(writer, checkpoint):
     return query
 
 
-def feed(events: DataFrame, shops: DataFrame, region=None) -> DataFrame:
-    """Published events with the region of their shop; invalid ones dropped."""
-    shaped = stock.shape_events(events, shops)
+def feed(events: DataFrame, shops: DataFrame, region=None, keep=()) -> DataFrame:
+    """Published events with the region of their shop; invalid ones dropped.
+
+    `keep` names further columns of the log to carry along.
+    """
+    shaped = stock.shape_events(events, shops, keep)
     return filters.region_scope(
         contracts.valid_rows(shaped, contracts.stock_event()), region)
 
@@ -29,9 +37,14 @@ def write_feed(events, path, checkpoint):
                          .option("path", path).outputMode("append"), checkpoint)
 
 
-def write_log_and_feed(events, log, feed_path, checkpoint):
-    """The same events in both sinks; a repeated batch overwrites itself."""
+def write_log_and_feed(events, log, feed_path, checkpoint, order=None):
+    """The same events in both sinks; a repeated batch overwrites itself.
+
+    With `order`, both carry each event's `place` in its batch by those columns.
+    """
     def both(batch, batch_id):
+        if order is not None:
+            batch = numbered(batch, *([order] if isinstance(order, str) else order), name="place")[0]
         batch.persist()
         batch.write.mode("overwrite").json(f"{log}/batch={batch_id}")
         batch.write.mode("overwrite").parquet(f"{feed_path}/batch={batch_id}")
@@ -39,51 +52,76 @@ def write_log_and_feed(events, log, feed_path, checkpoint):
     return run_available(events.writeStream.foreachBatch(both), checkpoint)
 
 
-def current_levels(spark, path):
-    """Newest level of every (shop, sku)."""
-    log = spark.read.schema(LEVELS).parquet(path)
-    return log.groupBy(*stock.KEY).agg(F.max_by("qty", "batch").alias("qty"))
+class LevelProcessor(StatefulProcessor):
+    """Keeps one number per (shop, sku): the level after the last event, floored at zero.
+
+    A key's events of one batch meet in one task, as columns; `maxFilesPerTrigger` bounds them.
+
+    Events of a batch are taken in (ts, event_id) order at once: with running sum S and its
+    minimum M since the last `new_item`, or since the level q before the batch, the level is
+    S + max(q, -M). A key that was never put in stock has no state and gives no row.
+    """
+
+    def init(self, handle):
+        self.level = handle.getValueState("level", "qty long")
 
+    def handleInitialState(self, key, initialState, timerValues):
+        self.level.update((int(initialState["qty"].iloc[0]),))
 
-def exists(spark, path):
-    """Whether a path holds anything, in any file system Spark reads."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    def handleInputRows(self, key, rows, timerValues):
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        delta = events["delta"].to_numpy(np.int64)
+        resets = np.flatnonzero(events["type"].to_numpy() == "new_item")
+        if len(resets):
+            delta, start = delta[resets[-1]:], 0
+        elif self.level.exists():
+            start = int(self.level.get()[0])
+        else:
+            return
+        sums = np.cumsum(delta)
+        qty = int(sums[-1] + max(start, -int(sums.min())))
+        self.level.update((qty,))
+        yield pd.DataFrame({"shop_id": [key[0]], "sku": [key[1]], "qty": [qty]})
 
+    def close(self):
+        pass
 
-def first_batch(spark, path, checkpoint):
-    """Number of a checkpoint's first batch in a table: after all that it found there.
 
-    Kept beside the table, so a restart of the same checkpoint goes on as before.
+def track_levels(events, opening=None):
+    """A stream of the new levels of the keys each batch touches.
+
+    `opening` (shop_id, sku, qty) seeds the state of a new checkpoint. A batch costs its own
+    events: the levels live in the state store.
     """
-    note = f"{path}/_first/{hashlib.sha256(checkpoint.encode()).hexdigest()}"
-    if not exists(spark, note):
-        found = None
-        if exists(spark, path):
-            found = spark.read.schema(LEVELS).parquet(path).agg(F.max("batch")).first()[0]
-        spark.range(1).select(F.lit(0 if found is None else found + 1).cast("long").alias("n")).write.parquet(note)
-    return spark.read.parquet(note).first()["n"]
+    e = events.select(*stock.KEY, "ts", "event_id", "type", F.col("delta").cast("long").alias("delta"))
+    seed = None if opening is None else opening.select(*stock.KEY, F.col("qty").cast("long").alias("qty")).groupBy(*stock.KEY)
+    return e.groupBy(*stock.KEY).transformWithStateInPandas(
+        LevelProcessor(), outputStructType=LEVELS, outputMode="Update", timeMode="None", initialState=seed)
+
+
+def current_levels(spark, path):
+    """Level of every (shop, sku)."""
+    return keyed.read(spark, path, StructType.fromDDL(LEVELS)).drop(keyed.PART)
 
 
-def write_levels(events, path, checkpoint):
-    """Appends the new levels of the touched keys batch by batch.
+def write_levels(events, path, checkpoint, parts=keyed.PARTS):
+    """Keeps the table of levels at `path` up to date, batch by batch.
 
-    A batch reads the levels that are there, of earlier batches or from before the
-    checkpoint, and overwrites only its own folder, so repeating it changes nothing.
+    New levels replace those of their keys in the partitions they touch; as they are levels
+    and not changes, repeating a batch writes the same. A new checkpoint starts from the
+    levels that the table holds.
     """
-    base = first_batch(events.sparkSession, path, checkpoint)
+    spark = events.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    opening = current_levels(spark, path) if keyed.exists(spark, path) else None
+    schema = StructType.fromDDL(LEVELS)
 
     def apply(batch, number):
-        spark = batch.sparkSession
-        batch_id = base + number
-        opening = None
-        if batch_id > 0:
-            log = spark.read.schema(
-                LEVELS).parquet(path)
-            touched = batch.select(*stock.KEY).distinct()
-            opening = (log.filter(F.col("batch") < batch_id)
-                       .join(touched, stock.KEY, "left_semi")
-                       .groupBy(*stock.KEY).agg(F.max_by("qty", "batch").alias("qty")))
-        closing = stock.closing_levels(batch, opening)
-        closing.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    return run_available(events.writeStream.foreachBatch(apply), checkpoint)
+        # computed once: the touched partitions are collected from it before it is merged
+        batch.persist()
+        keyed.upsert(batch, path, stock.KEY, lambda old, new: upsert.replace_upsert(old, new, stock.KEY), schema, parts)
+        batch.unpersist()
+    levels = track_levels(events, opening)
+    return run_available(levels.writeStream.outputMode("update").foreachBatch(apply), checkpoint)

@@ -1,11 +1,15 @@
 """Demand signals, recommendations, dashboard and trend captures."""
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions import num, vocab
+from ..functions import ids, num, vocab
 from ..operators import analytics, contracts, recommend, signals as sig, trends, upsert
 from ..plans import demand as demand_plan
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_dir
+from ..sources import keyed
 from . import views as v
 from .registry import half_even_sql, mean_sql, query, sql_list, with_
 
@@ -215,41 +219,58 @@ def stock_out_risk(spark, sf):
 
 
 @query("segment_confidence", with_(v.INVENTORY, *_SIGNALS, MOVERS, select=f"""
-SELECT (SELECT CASE min(list_position({sql_list(vocab.CONFIDENCE_ORDER)}, confidence))
+SELECT cap, (SELECT CASE min(list_position({sql_list(vocab.CONFIDENCE_ORDER)}, confidence))
       WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END FROM v_movers) AS top_movers,
-  'high' AS census"""))
+  CASE WHEN cap IS NULL OR n < cap THEN 'high' ELSE 'low' END AS census
+FROM (SELECT count(*) AS n FROM v_inventory), LATERAL (SELECT unnest([NULL, n, n + 1, 1]) AS cap)"""))
 def segment_confidence(spark, sf):
+    """The census label of an uncapped read, of one that came back full, and of one that did not."""
     movers = analytics.top_movers(sig.latest_window(signals(spark, sf)))
-    return movers.agg(analytics.weakest("confidence").alias("top_movers")).select(
-        "top_movers", analytics.census(None).alias("census"))
-
-
-@query("dashboard_document", with_(v.INVENTORY, *_SIGNALS, MOVERS, MIX, RISK, select=f"""
-SELECT 'convenience_store' AS inventory_type, '{vocab.CAVEAT}' AS caveat,
-  (SELECT count(*) FROM v_movers) AS movers,
-  (SELECT keyword FROM v_movers ORDER BY rank, window_end DESC, keyword LIMIT 1) AS first_mover,
-  (SELECT count(*) FROM v_mix) AS categories,
-  (SELECT round(sum(share_pct), 6) FROM v_mix) AS shares,
-  (SELECT sum(at_risk_count)::BIGINT FROM v_risk) AS at_risk"""))
+    read = v.products(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    caps = read.select("n", F.explode(F.array(F.lit(None).cast("long"), F.col("n"), F.col("n") + 1, F.lit(1).cast("long"))).alias("cap"))
+    label = movers.agg(analytics.weakest("confidence").alias("top_movers")).scalar()
+    return caps.select("cap", label.alias("top_movers"), F.when(F.col("cap").isNull(), analytics.census(None)).otherwise(
+        analytics.census(F.col("n"), F.col("cap"))).alias("census"))
+
+
+@query("dashboard_document", with_(v.INVENTORY, *_SIGNALS, MOVERS, MIX, RISK, f"""v_label AS (
+  SELECT CASE min(list_position({sql_list(vocab.CONFIDENCE_ORDER)}, confidence))
+      WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS label FROM v_movers)""", select=f"""
+SELECT 'top_movers' AS segment, label AS confidence, row_number() OVER (ORDER BY rank, window_end DESC, keyword) AS place,
+  keyword AS name, interest_avg AS a, delta_pct AS b, direction AS c, 'convenience_store' AS inventory_type,
+  'live' AS generated_from, '{v.COMPUTED_AT}' AS generated_at, '{vocab.CAVEAT}' AS caveat FROM v_movers, v_label
+UNION ALL
+SELECT 'category_mix', 'high', row_number() OVER (ORDER BY category), category, share_pct, product_count::DOUBLE, NULL,
+  'convenience_store', 'live', '{v.COMPUTED_AT}', '{vocab.CAVEAT}' FROM v_mix
+UNION ALL
+SELECT 'stock_out_risk', 'high', row_number() OVER (ORDER BY category), category, risk_pct, total_count::DOUBLE,
+  at_risk_count::VARCHAR, 'convenience_store', 'live', '{v.COMPUTED_AT}', '{vocab.CAVEAT}' FROM v_risk"""))
 def dashboard_document(spark, sf):
-    """The document, read back through its JSON text."""
-    doc = analytics.dashboard(signals(spark, sf), v.products(spark, sf), v.TIMEFRAME,
-                              v.COMPUTED_AT)
-    segment = "struct<confidence:string,points:array<struct<keyword:string," \
-              "share_pct:double,at_risk_count:bigint>>>"
-    d = doc.select(F.from_json("document", f"inventory_type string, caveat string, segments "
-                   f"struct<top_movers:{segment},category_mix:{segment},"
-                   f"stock_out_risk:{segment}>").alias("d"))
-    s = "d.segments."
-    return d.select(
-        "d.inventory_type", "d.caveat",
-        F.size(s + "top_movers.points").cast("long").alias("movers"),
-        F.get(s + "top_movers.points", F.lit(0))["keyword"].alias("first_mover"),
-        F.size(s + "category_mix.points").cast("long").alias("categories"),
-        F.round(F.aggregate(s + "category_mix.points", F.lit(0.0),
-                            lambda t, p: t + p["share_pct"]), 6).alias("shares"),
-        F.aggregate(s + "stock_out_risk.points", F.lit(0).cast("long"),
-                    lambda t, p: t + p["at_risk_count"]).alias("at_risk"))
+    """The document, read back through its JSON text: every point of every segment.
+
+    The signals, which three parts of it read, are computed once."""
+    doc = analytics.dashboard(cut_lineage(signals(spark, sf)), v.products(spark, sf), v.TIMEFRAME, v.COMPUTED_AT)
+    point = ("keyword:string,category:string,interest_avg:double,delta_pct:double,direction:string,share_pct:double,"
+             "product_count:bigint,at_risk_count:bigint,total_count:bigint,risk_pct:double")
+    segment = f"struct<confidence:string,points:array<struct<{point}>>>"
+    d = doc.select(F.from_json("document", "inventory_type string, generated_from string, generated_at string, caveat string, "
+                               f"segments struct<top_movers:{segment},category_mix:{segment},stock_out_risk:{segment}>").alias("d"))
+    # one document of at most 20 movers and a point per category
+    shown = {"top_movers": ("keyword", "interest_avg", "delta_pct", "direction"),
+             "category_mix": ("category", "share_pct", "product_count", None),
+             "stock_out_risk": ("category", "risk_pct", "total_count", "at_risk_count")}
+
+    def points(name, fields):
+        def one(p, i):
+            return F.struct(
+                F.lit(name).alias("segment"), F.col(f"d.segments.{name}.confidence").alias("confidence"),
+                (i + 1).cast("long").alias("place"), p[fields[0]].alias("name"), p[fields[1]].alias("a"),
+                p[fields[2]].cast("double").alias("b"),
+                (p[fields[3]].cast("string") if fields[3] else F.lit(None).cast("string")).alias("c"))
+        return F.transform(f"d.segments.{name}.points", one)
+    every = F.concat(*[points(name, fields) for name, fields in shown.items()])
+    return d.select(F.explode(every).alias("x"), "d").select(
+        "x.*", "d.inventory_type", "d.generated_from", "d.generated_at", "d.caveat")
 
 
 # --- keyword universe, batches, captures ---------------------------------------------
@@ -429,28 +450,57 @@ def newest_captures(spark, sf):
                        F.size("series").cast("long").alias("days"))
 
 
+# Stored before: captures outside Asia with their first day only, and others on another
+# timeframe; coming in: all but Africa's.
 @query("snapshot_upsert", with_(v.POINTS, SNAPSHOTS, select=f"""
-SELECT {uuid_sql(vocab.SIGNAL_NAMESPACE, 'natural_key')} AS id, keyword, geo,
-  captured_at[1:10] AS captured_date, days FROM v_snapshots"""))
+SELECT {uuid_sql(vocab.SIGNAL_NAMESPACE, 'natural_key')} AS id, keyword, geo, timeframe,
+  captured_at[1:10] AS captured_date, CASE WHEN geo = 'AFRICA' THEN 1 ELSE days END AS days,
+  CASE WHEN geo = 'AFRICA' THEN first ELSE total END AS total
+FROM (SELECT s.*, round(total, 2) AS total, (SELECT d.value FROM v_days d WHERE d.keyword = s.keyword AND d.geo = s.geo
+    AND d.captured_at = s.captured_at ORDER BY d.d LIMIT 1) AS first FROM v_snapshots s)
+UNION ALL
+SELECT {uuid_sql(vocab.SIGNAL_NAMESPACE, "replace(natural_key, 'today 12-m', 'today 3-m')")}, keyword, geo, 'today 3-m',
+  captured_at[1:10], days, round(total, 2) FROM v_snapshots WHERE geo = 'ASIA'""").replace("SELECT s.*,", "SELECT s.* EXCLUDE (total),"))
 def snapshot_upsert(spark, sf):
-    """Checked as captured, dated afterwards, stored over its own older copy."""
+    """Checked as captured, dated afterwards, stored over older rows; written and read back."""
     valid = contracts.valid_rows(snapshots(spark, sf), contracts.snapshot())
     dated = valid.withColumn("captured_date", F.substring("captured_at", 1, 10))
-    older = dated.withColumn("series", F.slice("series", 1, 1))
-    rows = upsert.replace_upsert(older, dated, ["keyword", "geo", "timeframe", "captured_date"])
-    return rows.select("id", "keyword", "geo", "captured_date",
-                       F.size("series").cast("long").alias("days"))
+    asia = F.col("geo") == "ASIA"
+    older = dated.filter(~asia).withColumn("series", F.slice("series", 1, 1))
+    other = dated.filter(asia).withColumn("timeframe", F.lit("today 3-m")).withColumn("id", ids.snapshot_id(
+        "keyword", "geo", "timeframe", "captured_date"))
+    keys, path = ["keyword", "geo", "timeframe", "captured_date"], shared_dir(spark, f"snapshots-{uuid.uuid4().hex}")
+    keyed.create(older.unionByName(other), path, keys, parts=8)
+    keyed.upsert(dated.filter(F.col("geo") != "AFRICA"), path, keys,
+                 lambda old, new: upsert.replace_upsert(old, new, keys), dated.schema, parts=8)
+    rows = keyed.read(spark, path, dated.schema)
+    total = F.aggregate("series", F.lit(0.0), lambda t, p: t + p["value"])
+    return rows.select("id", "keyword", "geo", "timeframe", "captured_date",
+                       F.size("series").cast("long").alias("days"), F.round(total, 2).alias("total"))
 
 
 @query("signal_upsert", with_(*_SIGNALS, select="""
-SELECT keyword, geo, window_start, interest_avg FROM v_signals"""))
+SELECT keyword, geo, window_start, CASE WHEN keyword = 'grocery' THEN 'falling' ELSE direction END AS direction,
+  CASE WHEN keyword = 'grocery' THEN -1.0 ELSE interest_avg END AS interest_avg, rank, confidence
+FROM v_signals WHERE NOT (keyword = 'grocery' AND window_start < DATE '1996-01-01')
+UNION ALL
+SELECT keyword, geo, window_start - 70000, 'flat', 0.0, rank, confidence FROM v_signals WHERE geo = 'ASIA'"""))
 def signal_upsert(spark, sf):
-    """Storing a run twice leaves one row per key."""
-    s = signals(spark, sf).select("id", "keyword", "geo", "timeframe", "window_start",
-                                  "window_end", "interest_avg")
-    rows = upsert.replace_upsert(s, s, ["keyword", "geo", "timeframe", "window_start",
-                                        "window_end"])
-    return rows.select("keyword", "geo", "window_start", "interest_avg")
+    """A run stored over an older one: rows of all but one keyword come in, twice."""
+    s = signals(spark, sf).select("id", "keyword", "geo", "timeframe", "window_start", "window_end",
+                                  "interest_avg", "direction", "rank", "confidence")
+    grocery = F.col("keyword") == "grocery"
+    older = s.filter(~grocery | (F.col("window_start") >= "1996-01-01")).withColumns(
+        {"interest_avg": F.lit(-1.0), "direction": F.lit("falling")})
+    ancient = s.filter("geo = 'ASIA'").withColumns({
+        "window_start": F.date_sub("window_start", 70000), "window_end": F.date_sub("window_end", 70000),
+        "interest_avg": F.lit(0.0), "direction": F.lit("flat")})
+    keys, path = ["keyword", "geo", "timeframe", "window_start", "window_end"], shared_dir(spark, f"signals-{uuid.uuid4().hex}")
+    keyed.create(older.unionByName(ancient), path, keys, parts=8)
+    for _ in range(2):
+        keyed.upsert(s.filter(~grocery), path, keys, lambda old, new: upsert.replace_upsert(old, new, keys), s.schema, parts=8)
+    return keyed.read(spark, path, s.schema).select(
+        "keyword", "geo", "window_start", "direction", "interest_avg", F.col("rank").cast("long").alias("rank"), "confidence")
 
 
 # --- discovery payloads -------------------------------------------------------------
@@ -528,15 +578,126 @@ def run_coverage(spark, sf):
         .when(how == 3, "store_failed").otherwise("stored")))
 
 
-@query("demand_chain", with_(*_BATCHES, READINGS, RESCALED, select="""
-SELECT keyword, count(DISTINCT date_trunc('week', week)) AS weeks FROM v_rescaled
-GROUP BY keyword"""))
+# The chain: each part is a term with its own discovery payload; some are broken, some empty.
+def term_discoveries(spark, sf):
+    p = v.table(spark, sf, "part").select("p_partkey", "p_name")
+    k = F.col("p_partkey")
+    item = F.array(*[F.struct(
+        F.concat(F.col("p_name"), F.lit(tail)).alias("query"), F.lit(label).alias("value"),
+        F.lit(growth).alias("extracted_value"))
+        for tail, label, growth in ((" oferta", "+250%", "250"), (" precio", "Breakout", "N/A"), (" talla", "+1.100 %", "1100"))])
+    rising = F.when(k % 7 == 1, F.slice(item, 1, 0)).otherwise(F.slice(item, 1, (k % 3 + 1).cast("int")))
+    text = F.to_json(F.struct(F.struct(rising.alias("rising")).alias("related_queries")))
+    # cut off in the middle, as by a lost connection
+    payload = F.when(k % 7 == 0, F.substring(text, F.lit(1), F.char_length(text) - 9)).otherwise(text)
+    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
+    return p.select(k.alias("doc_id"), name.alias("parent_keyword"), F.lit("ES-MD").alias("geo"),
+                    F.lit("").alias("gprop"), F.lit(v.COMPUTED_AT).alias("captured_at"), payload.alias("payload"))
+
+
+TERM_DISCOVERIES = """v_term AS (
+  SELECT p_partkey AS k, upper(p_name[1]) || p_name[2:] AS parent_keyword, p_name FROM part),
+v_term_rows AS (
+  SELECT k, parent_keyword, i AS pos, p_name || [' oferta', ' precio', ' talla'][i] AS query,
+    [250, NULL, 1100][i]::DOUBLE AS growth_pct, i = 2 AS is_breakout
+  FROM v_term, range(1, 4) r(i) WHERE k % 7 > 1 AND i <= k % 3 + 1)"""
+
+
+@query("payload_coverage", with_(TERM_DISCOVERIES, select="""
+SELECT count(*) AS parents, coalesce(sum(n), 0)::BIGINT AS fetched, coalesce(sum(n), 0)::BIGINT AS stored,
+  count(*) FILTER (n = 0 AND read) AS empty, count(*) FILTER (NOT read) AS failed, 0::BIGINT AS store_failed
+FROM (SELECT parent_keyword, bool_or(k % 7 > 0) AS read,
+        (SELECT count(DISTINCT query) FROM v_term_rows r WHERE r.parent_keyword = t.parent_keyword) AS n
+      FROM v_term t GROUP BY 1)"""))
+def payload_coverage(spark, sf):
+    """Coverage of every part's discovery: broken payloads have failed, empty ones are empty."""
+    asked = term_discoveries(spark, sf)
+    parsed = trends.rising_rows(trends.parse_rising(asked).withColumn("pos", F.struct("doc_id", "pos")))
+    parents = asked.select(F.col("parent_keyword").alias("keyword")).distinct()
+    valid = contracts.valid_rows(parsed, contracts.rising())
+    return trends.run_coverage(demand_plan.outcomes(parents, asked, parsed, valid))
+
+
+_CATEGORIES = sql_list(sorted(set(v.TYPE_CATEGORY.values())))
+
+
+def _renamed(sql):
+    """The signal steps over the chain's own weeks."""
+    return re.sub(r"\bv_(weekly|delta|dir0|dir|conf|signals)\b", r"c_\1", sql)
+
+
+CHAIN = [
+    f"""c_weekly AS (
+  SELECT keyword, 'ES-MD' AS geo, '{v.TIMEFRAME}' AS timeframe, week AS window_start,
+    week + 6 AS window_end, {half_even_sql('avg(value)')} AS interest_avg, '' AS capture_id
+  FROM v_rescaled GROUP BY ALL)""",
+    _renamed(MOVED).replace("keyword AS category", f"""CASE WHEN list_contains(
+    {_CATEGORIES}, lower(keyword)) THEN lower(keyword) END AS category"""),
+    "c_stock AS (SELECT category, shop_id AS store_id, count(*) AS n FROM v_inventory WHERE qty > 0 GROUP BY 1, 2)",
+    f"""c_ids AS (
+  SELECT *, {uuid_sql(vocab.SIGNAL_NAMESPACE, 'natural_key')} AS signal_id FROM c_signals)""",
+    f"""c_recs AS (
+  SELECT '00000000-0000-0000-0000-' || lpad(store_id::VARCHAR, 12, '0') AS store_id, signal_id, s.category,
+    direction, confidence, n,
+    CASE WHEN direction = 'rising' AND n >= 3 THEN 'feature_in_window'
+      WHEN direction = 'rising' AND confidence IN ('high', 'medium') THEN 'stock_up' ELSE 'watch' END AS action
+  FROM c_ids s JOIN c_stock k ON s.category = k.category)""",
+    f"""c_parents AS (
+  SELECT keyword, max(delta_pct) AS delta_pct FROM c_signals
+  WHERE interest_avg >= 1 AND window_start = (
+    SELECT max(window_start) FROM c_signals WHERE window_end < '{v.AS_OF}'::DATE)
+  GROUP BY keyword ORDER BY 2 DESC, 1 LIMIT 10)""",
+    """c_rising AS (
+  SELECT parent_keyword, query, arg_min(growth_pct, (k, pos)) AS growth_pct,
+    arg_min(is_breakout, (k, pos)) AS is_breakout
+  FROM v_term_rows WHERE parent_keyword IN (SELECT keyword FROM c_parents) GROUP BY 1, 2)"""]
+
+
+@query("demand_chain", with_(v.INVENTORY, *_BATCHES, READINGS, RESCALED, TERM_DISCOVERIES, *CHAIN, select=f"""
+SELECT 'signals' AS kept_in, signal_id AS id, concat_ws('|', keyword, coalesce(category, '-'), geo, timeframe,
+  window_start::VARCHAR, window_end::VARCHAR, format('{{:.2f}}', interest_avg), format('{{:.2f}}', delta_pct + 0.0),
+  direction, rank::VARCHAR, confidence) AS content FROM c_ids
+UNION ALL
+SELECT 'recommendations', {uuid_sql(vocab.SIGNAL_NAMESPACE, "'recommendation|' || store_id || '|' || signal_id")},
+  concat_ws('|', store_id, signal_id, CASE direction WHEN 'rising' THEN 'Sube el interés por '
+    WHEN 'falling' THEN 'Baja el interés por ' ELSE 'Interés estable por ' END || category || ' en Madrid',
+    'Tienes ' || n::VARCHAR || ' productos de esta categoría en stock.', action, confidence) FROM c_recs
+UNION ALL
+SELECT 'rising', {uuid_sql(vocab.RISING_NAMESPACE, _RISING_KEY)},
+  concat_ws('|', parent_keyword, query, coalesce(growth_pct::INT::VARCHAR, '-'), is_breakout::VARCHAR) FROM c_rising
+UNION ALL
+SELECT 'snapshots', {uuid_sql(vocab.SIGNAL_NAMESPACE,
+                              "'trend_snapshot|' || keyword || '|ES-MD|" + v.TIMEFRAME + "|2002-01-01'")},
+  concat_ws('|', keyword, count(*)::VARCHAR, min(week)::VARCHAR, max(week)::VARCHAR, '2002-01-01')
+FROM v_rescaled GROUP BY keyword"""))
 def demand_chain(spark, sf):
-    """Payloads to signals through the whole chain, counted per keyword."""
+    """Payloads to four stored tables, stored twice and read back: every row of each."""
+    store_id = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("store_id").cast("string"), 12, "0"))
     run = demand_plan.run(
         seeds=universe(spark, sf).select(F.lit(0).alias("pos"), "keyword"),
-        products=v.products(spark, sf), prior_signals=signals(spark, sf),
-        captures=cut_lineage(captures(spark, sf)), discoveries=discoveries(spark, sf), geo="ES-MD",
-        timeframe=v.TIMEFRAME, provider="captured", as_of=v.AS_OF,
-        computed_at=v.COMPUTED_AT)
-    return run.signals.groupBy("keyword").agg(F.count(F.lit(1)).alias("weeks"))
+        products=v.products(spark, sf).withColumn("store_id", store_id), prior_signals=signals(spark, sf),
+        captures=cut_lineage(captures(spark, sf)),
+        discoveries=term_discoveries(spark, sf).withColumn("order", F.col("doc_id")), geo="ES-MD",
+        timeframe=v.TIMEFRAME, provider="captured", as_of=v.AS_OF, computed_at=v.COMPUTED_AT)
+    folder = shared_dir(spark, f"demand-{uuid.uuid4().hex}")
+    for _ in range(2):
+        demand_plan.store(run, folder, parts=8)
+
+    def kept(name, *columns):
+        rows = demand_plan.stored(spark, folder, name)
+        return rows.select(F.lit(name).alias("kept_in"), "id", F.concat_ws("|", *columns).alias("content"))
+
+    def two(c):
+        return F.format_string("%.2f", F.col(c))
+    days = F.transform("series", lambda p: p["date"])
+    signal_rows = kept("signals", "keyword", F.coalesce("category", F.lit("-")), "geo", "timeframe", F.col("window_start").cast("string"),
+                       F.col("window_end").cast("string"), two("interest_avg"), two("delta_pct"), "direction",
+                       F.col("rank").cast("string"), "confidence")
+    recs = kept("recommendations", "store_id", "signal_id", "headline", "body", "action", "confidence")
+    found = kept("rising", "parent_keyword", "query", F.coalesce(F.col("growth_pct").cast("int").cast("string"), F.lit("-")),
+                 F.col("is_breakout").cast("string"))
+    snaps = demand_plan.stored(spark, folder, "snapshots").filter(F.size("series") > 0).select(
+        F.lit("snapshots").alias("kept_in"), "id", F.concat_ws(
+            "|", "keyword", F.size("series").cast("string"), F.array_min(days), F.array_max(days),
+            "captured_date").alias("content"))
+    return signal_rows.unionByName(recs).unionByName(found).unionByName(snaps)

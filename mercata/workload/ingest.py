@@ -1,11 +1,14 @@
 """Documents to tables: shops, catalog, contracts and upserts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from ..operators import catalog, contracts, filters, ingest, upsert
 from ..plans import shops as shop_plan
-from ..sources import documents, tables
+from ..session import shared_dir
+from ..sources import documents, keyed, tables
 from . import views as v
 from .registry import half_even_sql, query, sql_list, with_
 
@@ -214,17 +217,24 @@ def catalog_entries(spark, sf):
 
 
 @query("catalog_replace", with_(TEMPLATES, DUMP, select=f"""
-SELECT category, count(*) AS entries, count(*) FILTER (source = 'dummyjson') AS external FROM (
-  SELECT category, 'template' AS source FROM v_templates UNION ALL
-  SELECT {_map_sql(vocab.CATALOG_CATEGORY)}[kind], 'dummyjson' FROM v_dump
-  WHERE {_map_sql(vocab.CATALOG_CATEGORY)}[kind] IS NOT NULL) GROUP BY 1"""))
+SELECT category, 'template' AS source, sku, name, base_price_eur, NULL::DOUBLE AS rating, NULL::BIGINT AS review_count
+FROM v_templates WHERE pos % 3 > 0
+UNION ALL
+SELECT category, 'dummyjson', {_map_sql(vocab.CATEGORY_PREFIX)}[category] || '-' || (1000 + id)::VARCHAR, title,
+  {half_even_sql('price')}, round(rating, 6), reviews FROM (
+  SELECT *, {_map_sql(vocab.CATALOG_CATEGORY)}[kind] AS category FROM v_dump) WHERE category IS NOT NULL
+UNION ALL
+SELECT category, NULL, sku, name, base_price_eur, NULL, NULL FROM v_templates WHERE pos % 3 = 0"""))
 def catalog_replace(spark, sf):
-    """Replacing the external rows twice leaves them once."""
+    """The old external rows go, also when the same are replaced again; rows of another
+    source, or of none, stay as they are."""
     fresh = catalog.external_entries(dump(spark, sf))
-    first = catalog.replace_source(templates(spark, sf).drop("pos"), fresh)
-    return catalog.replace_source(first, fresh).groupBy("category").agg(
-        F.count(F.lit(1)).alias("entries"),
-        F.count_if(F.col("source") == "dummyjson").alias("external"))
+    old = fresh.withColumns({"name": F.lit("old"), "sku": F.concat("sku", F.lit("-old"))})
+    own = templates(spark, sf).withColumn("source", F.when(F.col("pos") % 3 > 0, F.col("source"))).drop("pos")
+    first = catalog.replace_source(own.unionByName(old, allowMissingColumns=True), fresh)
+    return catalog.replace_source(first, fresh).select(
+        "category", "source", "sku", "name", "base_price_eur", F.round("rating", 6).alias("rating"),
+        F.col("review_count").cast("long").alias("review_count"))
 
 
 _TAG_RE = "[A-Za-zÁÉÍÓÚáéíóúñÑ]{4,}"
@@ -295,13 +305,16 @@ def catalog_variants(spark, sf):
 @query("missing_skus", with_(v.SHOPS, v.INVENTORY, select=f"""
 SELECT s.shop_id, p_partkey AS sku, p_name AS name
 FROM v_shops s JOIN part ON {v.CATEGORY_SQL} = s.categories[1]
-WHERE s.shop_id IN (SELECT user_id % 7 FROM events WHERE event_type = 'error')
+WHERE s.shop_id IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate::DATE >= (
+    SELECT max(l_shipdate)::DATE - 30 FROM lineitem))
   AND NOT EXISTS (SELECT 1 FROM v_inventory i WHERE i.shop_id = s.shop_id
     AND i.sku = p_partkey)"""))
 def missing_skus(spark, sf):
-    """For the shops that put new items in stock."""
-    asked = v.table(spark, sf, "events").filter("event_type = 'error'").select(
-        (F.col("user_id") % 7).alias("shop_id"))
+    """For the shops that sold something in the newest month."""
+    day = F.col("l_shipdate").cast("date")
+    lines = v.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("shop_id"), day.alias("day"))
+    newest = lines.agg(F.max("day")).scalar()
+    asked = lines.filter(F.col("day") >= F.date_sub(newest, 30)).select("shop_id").distinct()
     parts = v.table(spark, sf, "part").select(
         F.col("p_partkey").alias("sku"), F.col("p_name").alias("name"),
         v.category().alias("category"))
@@ -324,7 +337,8 @@ SELECT coalesce(n.shop_id, o.shop_id) AS shop_id, coalesce(n.sku, o.sku) AS sku,
   CASE WHEN o.sku IS NOT NULL THEN 4.5 END::DOUBLE AS rating
 FROM v_old o FULL JOIN v_new n ON o.shop_id = n.shop_id AND o.sku = n.sku"""))
 def inventory_upsert(spark, sf):
-    """Finished lines are stored, open ones come in; dear ones carry a source."""
+    """Finished lines are stored, open ones come in; dear ones carry a source. The table is
+    written, upserted and read back."""
     def side(status):
         rows = v.table(spark, sf, "lineitem").filter(F.col("l_linestatus") == status)
         return rows.groupBy(F.col("l_suppkey").alias("shop_id"),
@@ -336,8 +350,13 @@ def inventory_upsert(spark, sf):
         "source": F.lit("dummyjson"),
         "carries": F.when(F.col("price") > 50000, F.array(F.lit("source")))
         .otherwise(F.array().cast("array<string>"))})
-    return upsert.merge_upsert(stored, incoming, ["shop_id", "sku"], ["source", "rating"],
-                               {"source": "template"})
+    keys, path = ["shop_id", "sku"], shared_dir(spark, f"inventory-{uuid.uuid4().hex}")
+    keyed.create(stored, path, keys, parts=8)
+
+    def merge(old, new):
+        return upsert.merge_upsert(old, new, keys, ["source", "rating"], {"source": "template"})
+    keyed.upsert(incoming, path, keys, merge, stored.schema, parts=8)
+    return keyed.read(spark, path, stored.schema).drop(keyed.PART)
 
 
 CHECKED = """v_checked AS (
@@ -375,6 +394,60 @@ def contract_violations(spark, sf):
     return bad.select("shop", "part", F.array_join("violations", "; ").alias("violations"))
 
 
+@query("contract_report", with_(v.INVENTORY, CHECKED, select="""
+SELECT rule, rows FROM (
+  SELECT 'rows' AS rule, count(*) AS rows FROM v_checked UNION ALL
+  SELECT 'valid', count(*) FROM v_checked WHERE violations = '' UNION ALL
+  SELECT 'quarantined', count(*) FROM v_checked WHERE violations <> '')
+UNION ALL SELECT rule, count(*) FROM (
+  SELECT unnest(string_split(violations, '; ')) AS rule FROM v_checked WHERE violations <> '') GROUP BY rule"""))
+def contract_report(spark, sf):
+    """Counted while the rows are written: all, valid, quarantined, and each broken rule."""
+    report = contracts.store_checked(published(spark, sf), contracts.inventory(), shared_dir(spark, f"checked-{uuid.uuid4().hex}"))
+    return report.filter((F.col("rows") > 0) | F.col("rule").isin("rows", "valid", "quarantined"))
+
+
+@query("cached_shops", with_(v.SHOPS, select="""
+SELECT 'osm:node:' || shop_id::VARCHAR AS shop_id, shop_id AS osm_id, name, array_to_string(categories, '|') AS categories,
+  round(lat, 6) AS lat, round(lng, 6) AS lng, address, 'cache' AS source FROM v_shops"""))
+def cached_shops(spark, sf):
+    """Written as a snapshot and read back: every row is relabelled."""
+    path = shared_dir(spark, f"cache-{uuid.uuid4().hex}")
+    rows = v.shops(spark, sf).select(
+        F.concat(F.lit("osm:node:"), F.col("shop_id").cast("string")).alias("shop_id"), F.col("shop_id").alias("osm_id"),
+        "name", "categories", "lat", "lng", "address", F.lit("overpass_live").alias("source"), F.lit(FETCHED).alias("fetched_at"))
+    documents.write_shop_cache(rows, path)
+    return documents.read_shop_cache(spark, path).select(
+        "shop_id", "osm_id", "name", F.array_join("categories", "|").alias("categories"),
+        F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "address", "source")
+
+
+@query("refreshed_stock", with_(v.INVENTORY, select="SELECT shop_id, sku, name, price, qty FROM v_inventory WHERE qty > 0"))
+def refreshed_stock(spark, sf):
+    """A table replaced whole, twice; readers see the last finished version."""
+    path = shared_dir(spark, f"stock-{uuid.uuid4().hex}")
+    rows = v.inventory(spark, sf).select("shop_id", "sku", "name", "price", "qty")
+    tables.refresh(spark, rows, path)
+    tables.refresh(spark, filters.in_stock(tables.read_current(spark, path)), path)
+    return tables.read_current(spark, path)
+
+
+@query("event_log", with_(v.EVENTS, select="""
+SELECT type, shop_id, sku, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS ts, CASE WHEN type = 'sale' THEN -delta END::BIGINT AS sold,
+  CASE WHEN type = 'restock' THEN delta END::BIGINT AS added FROM v_events"""))
+def event_log(spark, sf):
+    """Events appended to the log in two parts and read back."""
+    path = shared_dir(spark, f"log-{uuid.uuid4().hex}")
+    e = v.events(spark, sf)
+    rows = e.select("type", "shop_id", F.lit("shop").alias("shop"), "sku", F.lit("item").alias("name"),
+                    F.lit(0).cast("long").alias("qty_now"), F.when(F.col("type") == "sale", -F.col("delta")).alias("sold"),
+                    F.when(F.col("type") == "restock", F.col("delta")).alias("added"),
+                    (F.unix_millis("ts") / 1000).alias("ts"), (F.col("event_id") % 2).alias("part"))
+    for part in (0, 1):
+        tables.append_events(rows.filter(F.col("part") == part).drop("part"), path)
+    return tables.read_event_log(spark, path).select("type", "shop_id", "sku", "ts", "sold", "added")
+
+
 @query("valid_inventory", with_(v.INVENTORY, CHECKED, select="""
 SELECT shop_id AS shop, count(*) AS items FROM v_checked WHERE violations = '' GROUP BY 1"""))
 def valid_inventory(spark, sf):

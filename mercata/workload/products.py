@@ -127,6 +127,26 @@ def semantic_search(spark, sf):
                        F.col("place").cast("long").alias("place"), "match_score")
 
 
+@query("semantic_scopes", f"""
+SELECT p_partkey AS qid, CASE p_partkey % 4 WHEN 0 THEN b WHEN 1 THEN c WHEN 3 THEN c END AS scope,
+  p_name || CASE WHEN p_partkey % 4 = 2 THEN ' anywhere in Madrid' WHEN p_partkey % 4 = 0 THEN ' near ' || b
+    ELSE ' near ' || c END AS interpreted
+FROM (SELECT *, {sql_list(vocab.BARRIOS)}[(p_partkey % {len(vocab.BARRIOS)} + 1)::INT] AS b,
+        {sql_list(vocab.BARRIOS)}[(p_partkey // 3 % {len(vocab.BARRIOS)} + 1)::INT] AS c FROM part)""")
+def semantic_scopes(spark, sf):
+    """The place asked for wins over the one in the text; an unknown one counts as none."""
+    names = F.array(*[F.lit(b) for b in vocab.BARRIOS])
+
+    def barrio(i):
+        return F.element_at(names, (i % len(vocab.BARRIOS) + 1).cast("int"))
+    k = F.col("p_partkey")
+    mode, n = k % 4, len(vocab.BARRIOS)
+    rows = v.table(spark, sf, "part").select(
+        k.alias("qid"), "p_name", F.when(mode == 0, F.upper(barrio(k))).when(mode == 3, "Atlantis").alias("neighbourhood"),
+        F.when(mode != 2, F.concat(F.lit("en "), F.lower(barrio(F.floor(k / 3))))).alias("location"))
+    return semantic.scoped(rows).select("qid", "scope", semantic.interpreted("p_name", "scope").alias("interpreted"))
+
+
 # --- picks ----------------------------------------------------------------------
 
 PICKS = """v_items AS (
@@ -163,6 +183,37 @@ def diverse_picks(spark, sf):
     return picks.diverse_picks(rows).drop("score")
 
 
+_BARRIO_SQL = f"{sql_list(vocab.BARRIOS)}[(nation % {len(vocab.BARRIOS)} + 1)::INT]"
+REQUESTED = PICKS.replace("SELECT neighbourhood, category, rating AS score,", f"""SELECT s.scope AS neighbourhood,
+    category, rating AS score,""").replace("JOIN v_shops s ON i.shop_id = s.shop_id", f"""JOIN (
+    SELECT shop_id, rating, {_BARRIO_SQL} AS scope FROM v_shops UNION ALL SELECT shop_id, rating, '*' FROM v_shops) s
+    ON i.shop_id = s.shop_id""")
+
+
+@query("picks_by_request", with_(v.INVENTORY, v.SHOPS, REQUESTED, f"""v_asked AS (
+  SELECT conv_id AS qid, CASE conv_id % 3 WHEN 0 THEN {sql_list(vocab.BARRIOS)}[(conv_id % {len(vocab.BARRIOS)} + 1)::INT]
+    ELSE '*' END AS barrio FROM conversations WHERE turn = 0)""", select="""
+SELECT qid, nullif(barrio, '*') AS barrio, pick::INT AS pick, id, last AS category
+FROM v_asked JOIN v_step ON neighbourhood = barrio WHERE pick > 0""").replace("WITH ", "WITH RECURSIVE ", 1))
+def picks_by_request(spark, sf):
+    """Opening turns as requests: a barrio in other letters, an unknown place, or none."""
+    names = F.array(*[F.lit(b) for b in vocab.BARRIOS])
+
+    def barrio(i):
+        return F.element_at(names, (i % len(vocab.BARRIOS) + 1).cast("int"))
+    stores = v.shops(spark, sf).select(F.col("shop_id").alias("store_id"), "rating",
+                                       barrio(F.col("nation")).alias("neighbourhood"))
+    rated = listing.with_rating(v.products(spark, sf), stores)
+    rows = rated.join(stores.select("store_id", "neighbourhood"), "store_id").select(
+        "neighbourhood", "category", F.col("rating").alias("score"), "qty",
+        F.concat_ws("-", F.lpad(F.col("store_id").cast("string"), 9, "0"),
+                    F.lpad(F.col("product_id").cast("string"), 9, "0")).alias("id"))
+    k = F.col("conv_id")
+    requests = v.table(spark, sf, "conversations").filter("turn = 0").select(k.alias("qid"), F.when(
+        k % 3 == 0, F.concat(F.lit(" "), F.upper(barrio(k)))).when(k % 3 == 1, "Atlantis").alias("neighbourhood"))
+    return picks.requested_picks(rows, requests).drop("score")
+
+
 # Every sentence a place might be named in: documents with a barrio appended
 # in three spellings, so that the exact, contained and missing cases occur.
 _NAMES = sql_list(vocab.BARRIOS)

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import contracts
+from ..operators import contracts, numbering
 from ..session import shared_dir
 from ..streaming import signals as signal_stream, stock as stock_stream
 from . import demand, views as v
@@ -75,20 +75,21 @@ def live_stock_levels(spark, sf):
     return stock_stream.current_levels(spark, f"{out}/data")
 
 
-@query("log_and_feed", with_(v.EVENTS, select="""
-SELECT type, count(*) AS in_log, count(*) AS in_feed FROM v_events
-JOIN supplier ON shop_id = 'osm:node:' || s_suppkey::VARCHAR GROUP BY 1"""))
+@query("log_and_feed", with_(v.EVENTS, FEED.replace("SELECT type,", "SELECT event_id, type,"), select="""
+SELECT place, sink, event_id, type, shop_id, region_id, sku, qty_now, sold, added
+FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS place FROM v_feed), (VALUES ('log'), ('feed')) s(sink)"""))
 def log_and_feed(spark, sf):
+    """Every event of both sinks, with its place in that sink's order."""
     out = fresh(spark, "parity")
-    shaped = stock_stream.feed(raw_stream(spark, sf), v.known_shops(spark, sf))
-    stock_stream.write_log_and_feed(shaped.select(_FEED), f"{out}/log", f"{out}/feed",
-                                    f"{out}/state")
-    fields = "type string, shop_id string, sku string, qty_now bigint"
-    log = spark.read.schema(fields).json(f"{out}/log").groupBy("type").agg(
-        F.count(F.lit(1)).alias("in_log"))
-    feed = spark.read.parquet(f"{out}/feed").groupBy("type").agg(
-        F.count(F.lit(1)).alias("in_feed"))
-    return log.join(feed, "type", "full_outer").select("type", "in_log", "in_feed")
+    columns = ["event_id", *[c for c in _FEED if c != "shop_name"]]
+    raw = raw_stream(spark, sf)
+    shaped = stock_stream.feed(raw, v.known_shops(spark, sf), keep=["event_id"])
+    stock_stream.write_log_and_feed(shaped.select(columns), f"{out}/log", f"{out}/feed", f"{out}/state", order="event_id")
+    schema = spark.read.parquet(f"{out}/feed").schema
+    rows = {"log": spark.read.schema(schema).json(f"{out}/log"), "feed": spark.read.parquet(f"{out}/feed")}
+    placed = [numbering.numbered(r, "batch", "place", name="_n")[0].select(
+        (F.col("_n") + 1).alias("place"), F.lit(name).alias("sink"), *columns) for name, r in rows.items()]
+    return placed[0].unionByName(placed[1])
 
 
 @query("live_weekly_means", f"""

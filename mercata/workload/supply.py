@@ -78,11 +78,9 @@ SELECT shop_id, name, neighbourhood, round(rating, 6) AS rating,
   row_number() OVER (PARTITION BY neighbourhood ORDER BY rating DESC, shop_id) AS place
 FROM v_shops"""))
 def store_listing(spark, sf):
-    from pyspark.sql import Window as W
-    order = W.partitionBy("neighbourhood").orderBy(F.col("rating").desc(), "shop_id")
-    return v.shops(spark, sf).select(
-        "shop_id", "name", "neighbourhood", F.round("rating", 6).alias("rating"),
-        F.row_number().over(order).cast("long").alias("place"))
+    rows = listing.stores_by_rating(v.shops(spark, sf))
+    return rows.select("shop_id", "name", "neighbourhood", F.round("rating", 6).alias("rating"),
+                       F.col("place").cast("long").alias("place"))
 
 
 # --- places -------------------------------------------------------------------
@@ -246,6 +244,47 @@ def query_centres(spark, sf):
                        "resolved_from", "centre_status")
 
 
+# Customers as requests: a near place, a region, a geocoded name, clashes, or only their text.
+REQUESTS = """v_requests AS (
+  SELECT c_custkey AS qid,
+    CASE c_custkey % 8 WHEN 0 THEN n_name WHEN 1 THEN 'Calle ' || (c_custkey % 50)::VARCHAR WHEN 2 THEN 'Nowhere'
+      WHEN 3 THEN '' WHEN 4 THEN n_name END AS near,
+    CASE WHEN c_custkey % 8 IN (4, 5) THEN c_nationkey WHEN c_custkey % 8 = 6 THEN c_nationkey + 15 END AS region_id,
+    CASE WHEN c_custkey % 8 = 7 THEN n_name END AS place,
+    CASE WHEN c_custkey % 16 = 15 THEN 40.4::DOUBLE END AS lat
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query("request_centres", with_(v.REGIONS, REQUESTS, select="""
+SELECT qid, centre_status, CASE WHEN centre_status = 'ok' THEN how END AS resolved_from,
+  CASE WHEN centre_status = 'ok' THEN round(CASE how WHEN 'default_center' THEN 40.4168 WHEN 'geocode'
+    THEN 40.3 + (right(near, 2)::INT) / 1000.0::DOUBLE ELSE coalesce(r.lat, g.lat) END, 6) END AS lat
+FROM (SELECT *, CASE WHEN lat IS NOT NULL OR (region_id IS NOT NULL AND near IS NOT NULL) THEN 'conflict'
+      WHEN region_id > 24 THEN 'unknown_region' WHEN near = 'Nowhere' THEN 'incomplete' ELSE 'ok' END AS centre_status,
+    CASE WHEN region_id IS NOT NULL THEN 'coordinates' WHEN near LIKE 'Calle %' THEN 'geocode'
+      WHEN length(coalesce(near, place)) > 0 THEN 'gazetteer' ELSE 'default_center' END AS how,
+    lat AS _lat FROM v_requests) q
+LEFT JOIN v_regions r ON r.region_id = q.region_id LEFT JOIN v_regions g ON g.name = coalesce(q.near, q.place)"""))
+def request_centres(spark, sf):
+    k = F.col("c_custkey")
+    n = v.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    mode = k % 8
+    asked = v.table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(n, "c_nationkey").select(
+        k.alias("qid"),
+        F.when(mode.isin(0, 4), F.col("n_name")).when(mode == 1, F.concat(F.lit("calle  "), (k % 50).cast("string")))
+        .when(mode == 2, "Nowhere").when(mode == 3, "").alias("near"),
+        F.when(mode.isin(4, 5), F.col("c_nationkey")).when(mode == 6, F.col("c_nationkey") + 15).alias("region_id"),
+        F.when(mode == 7, F.lower("n_name")).alias("location_text"),
+        F.when(k % 16 == 15, F.lit(40.4)).alias("lat"), F.lit(None).cast("double").alias("lng"))
+    # what a geocoder has answered before: streets
+    streets = v.table(spark, sf, "customer").select((k % 50).alias("i")).distinct().select(
+        F.concat(F.lit("Calle  "), F.col("i").cast("string")).alias("name"),
+        (F.lit(40.3) + F.col("i") / 1000).alias("lat"), F.lit(-3.7).alias("lng"))
+    regions = v.regions(spark, sf)
+    rows = places.resolve_centres(asked, regions, regions=regions, geocodes=streets)
+    return rows.select("qid", "centre_status", "resolved_from", F.round("lat", 6).alias("lat"))
+
+
 # --- search -------------------------------------------------------------------
 
 MATCHES = f"""v_ready AS (
@@ -362,15 +401,51 @@ def map_features(spark, sf):
 
 
 @query("map_documents", with_(*_SEARCH, select="""
-SELECT r.qid, count(v.shop_id) + 2 AS lines, count(v.shop_id) AS features
-FROM v_ready r LEFT JOIN v_ranked v ON r.qid = v.qid GROUP BY r.qid"""))
+SELECT r.qid, 0 AS line, to_json({'query': any_value(r.raw_query), 'result_count': count(v.shop_id)})::VARCHAR AS content
+FROM v_ready r LEFT JOIN v_ranked v ON r.qid = v.qid GROUP BY r.qid
+UNION ALL
+SELECT qid, rank, to_json({'shop_id': shop_id, 'shop_name': shop_name, 'rank': rank, 'category': category,
+  'address': address, 'item_name': item_name, 'currency': 'EUR', 'stock_qty': stock_qty})::VARCHAR FROM v_ranked
+UNION ALL
+SELECT r.qid, count(v.shop_id) + 1, 'end' FROM v_ready r LEFT JOIN v_ranked v ON r.qid = v.qid GROUP BY r.qid"""))
 def map_documents(spark, sf):
+    """Every line of every document, read back from its text."""
     run = run_search(spark, sf)
     lines = geojson.documents(run.results, run.searches.withColumn(
         "generated_at", F.lit(v.COMPUTED_AT)), RADIUS)
-    return lines.groupBy("qid").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if(F.startswith("text", F.lit('{"type":"Feature",'))).alias("features"))
+    head = F.from_json(F.concat(F.col("text"), F.lit("]}")), "metadata struct<query:string,result_count:bigint>")["metadata"]
+    body = F.from_json(F.regexp_replace("text", ",$", ""), "properties struct<shop_id:bigint,shop_name:string,rank:bigint,"
+                       "category:string,address:string,item_name:string,currency:string,stock_qty:bigint>")["properties"]
+    keep = {"ignoreNullFields": "false"}
+    content = F.when(F.col("line") == 0, F.to_json(head, keep)).when(F.col("text") == "]}", "end").otherwise(F.to_json(body, keep))
+    return lines.select("qid", "line", content.alias("content"))
+
+
+@query("shop_layer", with_(v.SHOPS, select="""
+SELECT row_number() OVER (ORDER BY shop_id) AS line, shop_id, name AS shop_name, categories[1] AS category,
+  round(lng, 6) AS lng, round(lat, 6) AS lat, (SELECT count(*) FROM v_shops) AS shop_count,
+  row_number() OVER (ORDER BY shop_id) < (SELECT count(*) FROM v_shops) AS more FROM v_shops"""))
+def shop_layer(spark, sf):
+    """The network layer, read back line by line beside its head."""
+    lines = geojson.shop_layer(v.shops(spark, sf))
+    doc = F.from_json(F.regexp_replace("text", ",$", ""), "geometry struct<coordinates:array<double>>, "
+                      "properties struct<shop_id:bigint,shop_name:string,category:string>")
+    total = lines.filter("line = 0").select(F.regexp_extract("text", r'"shop_count":(\d+)', 1).cast("long").alias("n")).scalar()
+    at = F.col("d.geometry.coordinates")
+    return lines.filter("line > 0 AND text != ']}'").withColumn("d", doc).select(
+        "line", "d.properties.*", F.round(at[0], 6).alias("lng"), F.round(at[1], 6).alias("lat"),
+        total.alias("shop_count"), F.endswith("text", F.lit(",")).alias("more"))
+
+
+@query("map_gaps", with_(*_SEARCH, select="""
+SELECT qid, rank - 1 AS position, 'category' AS field FROM v_ranked WHERE shop_id % 5 = 0
+UNION ALL SELECT qid, rank - 1, 'price' FROM v_ranked WHERE shop_id % 7 = 0"""))
+def map_gaps(spark, sf):
+    """Some facts of some shops are missing: their searches get no document but a list of gaps."""
+    k = F.col("shop_id")
+    results = run_search(spark, sf).results.withColumns({
+        "category": F.when(k % 5 != 0, F.col("category")), "price": F.when(k % 7 != 0, F.col("price"))})
+    return geojson.gaps(results)
 
 
 @query("missing_result_fields", with_(*_SEARCH, select="""

@@ -20,6 +20,16 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt_out(rows):
+    """Rows of a table in fewer files than there are cores, over all cores.
+
+    A file of one row group is one task; text work on it would leave the others idle.
+    A table in many files is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def category(c="p_type"):
     out = F.lit(None).cast("string")
     for kind, name in TYPE_CATEGORY.items():
@@ -221,7 +231,7 @@ def rising(spark, sf):
     """Discovered queries: every sentence of every document, and every part
     worded the way shoppers do. The parent of a sentence is the first word of
     its document, of a part its colour and kind reversed or as named."""
-    d = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    d = dealt_out(table(spark, sf, "documents").select("doc_id", "text", "n_chars"))
     d = d.withColumn("parent_keyword", F.regexp_extract("text", r"^\s*([^\s]+)", 1))
     d = d.select("doc_id", "n_chars", "parent_keyword",
                  F.posexplode(F.split("text", r"[.!?\n]+")).alias("pos", "query"))

@@ -90,6 +90,7 @@ def test_picks_equal_the_greedy_walk(spark):
         for r in picks.diverse_picks(df, limit).orderBy("neighbourhood", "pick").collect():
             got.setdefault(r["neighbourhood"], []).append(r["id"])
         assert got == {n: greedy(rs, limit) for n, rs in data.items()}
+    assert "Python" not in picks.diverse_picks(df)._jdf.queryExecution().toString()
 
 
 def test_suggestions(spark):
@@ -107,6 +108,24 @@ def test_suggestions(spark):
     assert got == {(1, "mentioned"): [11, 13, 14], (2, "keywords"): [12], (4, "mentioned"): [20]}
 
 
+@pytest.mark.parametrize("texts,needles", [(20_000, 50_000), (3, 2)])
+def test_occurrences_equal_a_plain_search(spark, monkeypatch, texts, needles):
+    """Also with stores cut into parts of a few texts and needles."""
+    monkeypatch.setattr(chat, "TEXTS_TOGETHER", texts)
+    monkeypatch.setattr(chat, "NEEDLES_TOGETHER", needles)
+    rng = random.Random(3)
+
+    def word(n):
+        return "".join(rng.choice("abñ 😀") for _ in range(n))
+    rows = [(rng.randint(0, 2), i, word(rng.randint(0, 40))) for i in range(60)] + [(9, 99, "ab"), (0, 100, None)]
+    wanted = [(s, word(n)) for s in range(4) for n in (0, 1, 1, 2, 3, 4)] + [(0, "ab"), (0, "ab")]
+    got = chat.occurrences(spark.createDataFrame(rows, "store_id int, turn_id int, haystack string"),
+                           spark.createDataFrame(wanted, "store_id int, needle string"), ["store_id"], "turn_id")
+    want = {(s, i, w, t.index(w) + 1) for s, i, t in rows for o, w in wanted if o == s and t and w and w in t}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
 def test_history_and_digest(spark):
     turns = spark.createDataFrame([(c, t) for c in (1, 2) for t in range(c * 15)],
                                   ["conv_id", "turn"])

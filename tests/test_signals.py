@@ -164,6 +164,27 @@ def test_payloads(spark):
     assert trends.parse_rising(spark.createDataFrame([("{}",)], ["payload"])).count() == 0
 
 
+def test_unreadable_payloads_have_failed(spark):
+    from mercata import schemas
+    from mercata.plans import demand
+    good = '{"related_queries":{"rising":[{"query":"q","value":"+5%","extracted_value":5}]}}'
+    rows = [("good", good), ("good", good[:-9]), ("empty", '{"related_queries":{"rising":[]}}'), ("none", "{}"),
+            ("broken", good[:-3]), ("text", "<html>"), ("blank", " "), ("null", None), ("shape", '{"related_queries": 7}')]
+    asked = spark.createDataFrame(rows, "parent_keyword string, payload string").withColumns(
+        {"geo": F.lit("g"), "gprop": F.lit(""), "captured_at": F.lit("2024-01-01T00:00:00Z")})
+    bad = {r["parent_keyword"] for r in trends.unreadable(asked, schemas.RISING_PAYLOAD).collect()}
+    assert bad == {"good", "broken", "text", "blank", "null", "shape"}
+    parsed = trends.rising_rows(trends.parse_rising(asked))
+    parents = spark.createDataFrame([(p,) for p in {p for p, _ in rows} | {"silent"}], "keyword string")
+    got = {r["parent"]: (r["status"], r["rows"]) for r in demand.outcomes(parents, asked, parsed, parsed).collect()}
+    assert got == {"good": ("stored", 1), "empty": ("empty", 0), "none": ("empty", 0), **{
+        p: ("failed", 0) for p in ("broken", "text", "blank", "null", "shape", "silent")}}
+    captures = spark.createDataFrame([(1, ["a", "b"], '{"interest_over_time":{"timeline_data":[]}}'), (2, ["a"], "{"), (3, ["c"], None)],
+                                     "batch int, keywords array<string>, payload string")
+    series = trends.parse_timeseries(captures).collect()
+    assert sorted((r["batch"], r["keyword"], len(r["series"])) for r in series) == [(1, "a", 0), (1, "b", 0)]
+
+
 def test_universe_anchor_and_batches(spark):
     seeds = spark.createDataFrame([(0, "Pan"), (1, "pan"), (2, " Té "), (3, "")],
                                   "pos int, keyword string")

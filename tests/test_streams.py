@@ -28,7 +28,7 @@ def test_levels_survive_a_restart_and_equal_the_batch(spark, tmp_path):
         rows += new
         spark.createDataFrame(new, FIELDS).coalesce(1).write.mode("append").parquet(src)
         # a new query on the same checkpoint, as after a restart
-        stock_stream.write_levels(spark.readStream.schema(FIELDS).parquet(src), out, state)
+        stock_stream.write_levels(spark.readStream.schema(FIELDS).parquet(src), out, state, parts=4)
     live = {(r[0], r[1]): r[2] for r in stock_stream.current_levels(spark, out).collect()}
     batch = stock.closing_levels(spark.createDataFrame(rows, FIELDS))
     assert live == {(r["shop_id"], r["sku"]): r["qty"] for r in batch.collect()}
@@ -37,7 +37,7 @@ def test_levels_survive_a_restart_and_equal_the_batch(spark, tmp_path):
     later = str(tmp_path / "later")
     new = events(60, 9, 9)
     spark.createDataFrame(new, FIELDS).coalesce(1).write.parquet(later)
-    stock_stream.write_levels(spark.readStream.schema(FIELDS).parquet(later), out, str(tmp_path / "other"))
+    stock_stream.write_levels(spark.readStream.schema(FIELDS).parquet(later), out, str(tmp_path / "other"), parts=4)
     live = {(r[0], r[1]): r[2] for r in stock_stream.current_levels(spark, out).collect()}
     batch = stock.closing_levels(spark.createDataFrame(rows + new, FIELDS))
     assert live == {(r["shop_id"], r["sku"]): r["qty"] for r in batch.collect()}
@@ -85,7 +85,7 @@ def test_signals_refresh_only_what_changed(spark, tmp_path):
     for group in (first, [again]):
         for s in group:
             s.coalesce(1).write.mode("append").parquet(src)
-        signal_stream.write_signals(spark.readStream.schema(schema).parquet(src), out, state)
+        signal_stream.write_signals(spark.readStream.schema(schema).parquet(src), out, state, parts=4)
     live = signal_stream.current_signals(spark, out, cats, "t")
     every = first[0].union(first[1]).union(again)
     batch = sig.compute_signals(sig.explode_snapshots(every), cats, "t")

@@ -352,6 +352,65 @@ def test_documents_are_written_in_line_order(spark, tmp_path):
         assert len(json.loads(parts[0].read_text())["features"]) == n
 
 
+def test_documents_in_buckets(spark, tmp_path):
+    run = run_search(spark, [(i, "leche" if i % 2 else "azafrán", None, None) for i in range(12)])
+    lines = geojson.documents(run.results, run.searches.withColumn("generated_at", F.lit("now")), 2.0)
+    geojson.write_documents(lines.orderBy(F.col("line").desc()), str(tmp_path / "maps"), buckets=3)
+    assert len(list((tmp_path / "maps").glob("bucket=*"))) <= 3
+    for qid in range(12):
+        text = "".join(r["text"] for r in geojson.read_document(spark, str(tmp_path / "maps"), qid, 3).collect())
+        assert len(json.loads(text)["features"]) == (2 if qid % 2 else 0)
+    assert geojson.read_document(spark, str(tmp_path / "maps"), 99, 3).count() == 0
+
+
+def test_a_document_with_a_gap_is_held_back(spark):
+    run = run_search(spark, [(1, "leche", None, None), (2, "azafrán", None, None)])
+    searches = run.searches.withColumn("generated_at", F.lit("now"))
+    holed = run.results.withColumn("price", F.when(F.col("rank") != 2, F.col("price")))
+    assert [tuple(r) for r in geojson.gaps(holed).collect()] == [(1, 1, "price")]
+    assert {r["qid"] for r in geojson.documents(holed, searches, 2.0).collect()} == {2}
+    assert {r["qid"] for r in geojson.documents(run.results, searches, 2.0).collect()} == {1, 2}
+
+
+def test_the_layer_of_all_shops(spark):
+    rows = [("b", 1.0, 2.0, ["grocery", "pharmacy"], "B"), ("a", 3.0, 4.0, ["hardware"], 'A "x"'), ("c", 0.0, 0.0, [], "C")]
+    for shops in (rows, rows[2:]):
+        df = spark.createDataFrame(shops, "shop_id string, lat double, lng double, categories array<string>, name string")
+        doc = json.loads("".join(r["text"] for r in geojson.shop_layer(df).orderBy("line").collect()))
+        own = [{"shop_id": i, "shop_name": n, "category": c[0]} for i, _, _, c, n in sorted(shops) if c]
+        assert doc["metadata"]["shop_count"] == len(own) and [f["properties"] for f in doc["features"]] == own
+
+
+def test_centres_by_near_region_and_geocode(spark):
+    s = spark.createDataFrame([
+        (1, None, None, "sol", "Retiro", None), (2, None, None, "sol", "", None), (3, None, None, "sol", " Mi CALLE ", None),
+        (4, None, None, "sol", "Narnia", None), (5, None, None, "narnia", None, "r1"), (6, None, None, None, None, "r9"),
+        (7, 1.0, 2.0, None, None, "r1"), (8, None, None, None, "Sol", "r1"), (9, 1.0, None, None, None, None),
+        (10, 1.0, 2.0, "Narnia", "Narnia", None), (11, None, None, "sol", None, None)],
+        "qid int, lat double, lng double, location_text string, near string, region_id string")
+    places_ = spark.createDataFrame([("sol", 40.0, -3.0), ("Retiro", 41.0, -3.0)], ["name", "lat", "lng"])
+    cache = spark.createDataFrame([("mi calle", 42.0, -3.0), ("sol", 0.0, 0.0)], ["name", "lat", "lng"])
+    regions = spark.createDataFrame([("r1", 43.0, -3.0)], ["region_id", "lat", "lng"])
+    got = {r["qid"]: (r["lat"], r["resolved_from"], r["centre_status"])
+           for r in places.resolve_centres(s, places_, regions=regions, geocodes=cache).collect()}
+    assert got == {
+        1: (41.0, "gazetteer", "ok"), 2: (40.4168, "default_center", "ok"), 3: (42.0, "geocode", "ok"),
+        4: (None, None, "incomplete"), 5: (43.0, "coordinates", "ok"), 6: (None, None, "unknown_region"),
+        7: (None, None, "conflict"), 8: (None, None, "conflict"), 9: (None, None, "conflict"),
+        10: (1.0, "coordinates", "ok"), 11: (40.0, "gazetteer", "ok")}
+
+
+def test_counts_of_a_contract_come_with_the_write(spark, tmp_path):
+    rows = [("osm:node:1", 1), ("bad", 2), ("osm:node:2", -1), ("worse", -5)]
+    df = spark.createDataFrame(rows, "shop_id string, qty int")
+    rules = [contracts.matches("shop_id", contracts.SHOP_ID), contracts.at_least("qty", 0)]
+    report = {r["rule"]: r["rows"] for r in contracts.store_checked(df, rules, str(tmp_path / "t")).collect()}
+    assert report == {"rows": 4, "valid": 1, "quarantined": 3, "shop_id: pattern": 2, "qty: below 0": 2}
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert {(r["shop_id"], r["valid"], len(r["violations"])) for r in stored.collect()} == {
+        ("osm:node:1", "true", 0), ("bad", "false", 1), ("osm:node:2", "false", 1), ("worse", "false", 2)}
+
+
 def test_regions_with_their_shops(spark):
     from mercata.plans import shops as shop_plan
     shops = spark.createDataFrame(SHOPS, ["shop_id", "lat", "lng", "categories", "name"])
