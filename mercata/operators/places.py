@@ -3,31 +3,74 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geo, text, vocab
+from ..session import cut_lineage
 
-SPLITS = 4
+CROWDED = 2_000  # places in a cell from which it is split
+LEVELS = 12  # halvings at most; what still stands together is dealt into parts
+
+
+def _distances(met, radius_km):
+    distance = geo.haversine_km("_clat", "_clng", "_plat", "_plng")
+    return met.withColumn("distance_km", distance).filter(F.col("distance_km") <= radius_km)
+
+
+def quad_leaves(places, grid, crowded=CROWDED, levels=LEVELS):
+    """(`places` with their leaf, leaves with the grid cell they lie in).
+
+    A quadtree below each cell of the grid, from measured counts: a node with more than
+    `crowded` places is split in four, down to `levels`; a leaf that is still too full,
+    because its places stand on one spot, is dealt into `_parts`. Only counts of occupied
+    cells travel up the tree.
+    """
+    row, column = grid.place_at(levels, "lat", "lng")
+    p = places.withColumns({"_row": row, "_column": column})
+    fine = ["_row", "_column"]
+    cells = cut_lineage(p.groupBy(*fine).agg(F.count(F.lit(1)).alias("_n")))
+    up = cells.select(*fine, "_n", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level"))
+
+    node = ["_level", "_nrow", "_ncolumn"]
+    up = up.withColumns({"_nrow": F.expr(f"shiftright(_row, {levels} - _level)"),
+                         "_ncolumn": F.expr(f"shiftright(_column, {levels} - _level)")})
+    counts = up.groupBy(*node).agg(F.sum("_n").alias("_total"))
+    split = counts.filter((F.col("_total") > crowded) & (F.col("_level") < levels)).select(*node)
+    # the nodes above a cell that are split are the first ones, so their number is its leaf's level
+    depth = up.join(split, node, "left_semi").groupBy(*fine).agg(F.count(F.lit(1)).cast("int").alias("_level"))
+    leaf_of = cells.join(depth, fine, "left").withColumn("_level", F.coalesce("_level", F.lit(0)))
+    leaf_of = leaf_of.withColumns({"_nrow": F.expr(f"shiftright(_row, {levels} - _level)"),
+                                   "_ncolumn": F.expr(f"shiftright(_column, {levels} - _level)")})
+    leaf_of = cut_lineage(leaf_of.join(counts, node).withColumn("_parts", F.ceil(F.col("_total") / crowded).cast("int"))
+                          .select(*fine, *node, "_parts"))
+    leaves = leaf_of.select(*node, "_parts").distinct().withColumn(
+        "_cell", F.expr("shiftright(_nrow, _level)") * F.lit(grid.columns) + F.expr("shiftright(_ncolumn, _level)"))
+    return p.join(leaf_of, fine).drop(*fine), leaves
 
 
 def radius_join(centres: DataFrame, places: DataFrame, radius_km, *,
-                place_id="shop_id", splits=SPLITS) -> DataFrame:
+                place_id="shop_id", crowded=CROWDED) -> DataFrame:
     """Every place within the radius of every centre, with `distance_km`.
 
-    An equi join on grid cells with the exact test as residual condition, so
-    no pair outside neighbouring cells is formed. Places are spread over
-    `splits` parts of a cell and the centres repeated per part, which divides
-    a city-centre cell between tasks; adaptive skew handling divides further.
+    An equi join on grid cells with the exact test after it, so no pair outside
+    neighbouring cells is formed. Where a cell holds more than `crowded` places the grid is
+    refined there (`quad_leaves`): no key of the join has more places than that, and a
+    centre meets only the leaves its bounding box touches.
     """
     grid = geo.Grid(radius_km)
-    part = F.pmod(F.xxhash64(place_id), F.lit(splits))
-    p = places.withColumns({"_cell": grid.cell("lat", "lng"), "_part": part})
-    p = p.withColumnsRenamed({"lat": "_plat", "lng": "_plng"})
-    c = (centres
-         .withColumn("_cell", F.explode(grid.cells_around("lat", "lng")))
-         .withColumn("_part", F.explode(F.sequence(
-             F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))))
-         .withColumnsRenamed({"lat": "_clat", "lng": "_clng"}))
-    distance = geo.haversine_km("_clat", "_clng", "_plat", "_plng")
-    met = c.join(p, ["_cell", "_part"]).withColumn("distance_km", distance)
-    return met.filter(F.col("distance_km") <= radius_km).drop("_cell", "_part")
+    known = places.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    cells = known.groupBy(grid.cell("lat", "lng").alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    c = centres.withColumn("_cell", F.explode(grid.cells_around("lat", "lng")))
+    if (cells.agg(F.max("_n")).first()[0] or 0) <= crowded:
+        p = known.withColumn("_cell", grid.cell("lat", "lng")).withColumnsRenamed({"lat": "_plat", "lng": "_plng"})
+        c = c.withColumnsRenamed({"lat": "_clat", "lng": "_clng"})
+        return _distances(c.join(p, "_cell"), radius_km).drop("_cell")
+    p, leaves = quad_leaves(known, grid, crowded)
+    key = ["_level", "_nrow", "_ncolumn", "_part"]
+    p = p.withColumn("_part", F.pmod(F.xxhash64(place_id), F.col("_parts")).cast("int")).drop("_parts") \
+        .withColumnsRenamed({"lat": "_plat", "lng": "_plng"})
+    c = c.join(leaves, "_cell").filter(grid.touches(
+        F.col("_level"), F.col("_nrow"), F.col("_ncolumn"), F.col("lat"), F.col("lng"))).drop("_cell")
+    c = c.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts") \
+        .withColumnsRenamed({"lat": "_clat", "lng": "_clng"})
+    return _distances(c.join(p, key), radius_km).drop(*key)
 
 
 def nearest_region(shops, regions, cap_km=vocab.REGION_CAP_KM):

@@ -1,8 +1,11 @@
 """Exact cosine search over product embeddings."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import num, text, vocab
+from ..session import cut_lineage
 
 
 def norm(v):
@@ -116,6 +119,128 @@ def top_k(products: DataFrame, queries: DataFrame, k=vocab.SEARCH_CANDIDATES, *,
     return near.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
 
 
+PIVOTS = 64  # that cut the products of one vector length into blocks
+BLOCK_ROWS = 20_000  # products of a block that one task searches
+
+
+def _to_pivots(pivots, kind):
+    """Adds the nearest pivot of a row's vector and the distance to it, or, for `away`, the
+    distances to all of them. Distances are between unit vectors."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            vectors = batch.column("vector")
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            flat = np.asarray(vectors.flatten(), np.float64)
+            near = np.zeros(len(size), np.int32)
+            dist = np.zeros(len(size))
+            away = [None] * len(size)
+            for n in np.unique(size).tolist():
+                rows = np.flatnonzero(size == n)
+                m = flat[offsets[rows][:, None] + np.arange(n)]
+                m = m / np.linalg.norm(m, axis=1, keepdims=True)
+                far = np.sqrt(np.maximum(2 - 2 * m @ pivots[n].T, 0)) if n in pivots else np.zeros((len(rows), 1))
+                near[rows], dist[rows] = far.argmin(1), far.min(1)
+                for i, row in enumerate(rows.tolist() if kind == "away" else ()):
+                    away[row] = far[i]
+            more = [pa.array(away, pa.list_(pa.float64()))] if kind == "away" else [pa.array(near), pa.array(dist)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *(
+                ["away"] if kind == "away" else ["pivot", "dist"])])
+    return run
+
+
+def _chosen_pivots(products, count):
+    """Unit vectors by length: the first `count` distinct ones by hash, a bounded number."""
+    import numpy as np
+    by = W.partitionBy("size").orderBy(F.xxhash64("vector"), "vector")
+    some = (products.select("size", "vector").withColumn("_n", F.row_number().over(by))
+            .filter(F.col("_n") <= count).select("size", "vector").distinct().collect())
+    out = {}
+    for r in sorted(some, key=lambda r: (r["size"], r["vector"])):
+        out.setdefault(r["size"], []).append(r["vector"])
+    return {n: np.array(v) / np.linalg.norm(np.array(v), axis=1, keepdims=True) for n, v in out.items()}
+
+
+def pruned_top_k(products: DataFrame, queries: DataFrame, k=vocab.SEARCH_CANDIDATES, *, pivots=PIVOTS,
+                 block_rows=BLOCK_ROWS, report=False):
+    """`top_k` with the same answers, visiting only blocks that can hold one of them.
+
+    Every product belongs to the block of its nearest pivot; a block knows its radius. By the
+    triangle inequality no product of a block is nearer to a query than its distance to the
+    pivot less the radius, which bounds the similarity. A query first visits its best
+    blocks, best first, until they hold k products; the k-th similarity found there is a
+    floor, and of the other blocks only those whose bound reaches it are visited. This pays
+    where vectors lie in clusters; on vectors without any, every block is visited.
+
+    With `report` also returns `qid, blocks, visited`.
+    """
+    scope_type = products.schema["scope"].dataType
+    qid_type, id_type = (d.schema[c].dataType.simpleString() for d, c in ((queries, "qid"), (products, "id")))
+    p = products.filter(usable("embedding")).select(
+        "id", "scope", F.col("embedding").cast("array<double>").alias("vector")).withColumn("size", F.size("vector"))
+    centres = _chosen_pivots(p, pivots)
+    scope = scope_type.simpleString()
+    p = p.mapInArrow(_to_pivots(centres, "near"),
+                     f"id {id_type}, scope {scope}, vector array<double>, size int, pivot int, dist double")
+    q = queries.filter(usable("vector")).select("qid", "scope", F.col("vector").cast("array<double>").alias("vector")) \
+        .withColumn("size", F.size("vector"))
+    q = q.mapInArrow(_to_pivots(centres, "away"),
+                     f"qid {qid_type}, scope {scope}, vector array<double>, size int, away array<double>")
+    q = q.withColumn("all", F.col("scope").isNull())
+    # queries without a scope search blocks of all products
+    own = p.filter(F.col("scope").isNotNull()).withColumn("all", F.lit(False))
+    p = own.unionByName(p.withColumns({"scope": F.lit(None).cast(scope_type), "all": F.lit(True)}))
+    block = ["all", "scope", "size", "pivot"]
+    blocks = cut_lineage(p.groupBy(*block).agg(F.max("dist").alias("radius"), F.count(F.lit(1)).alias("n"))
+                         .withColumn("parts", F.ceil(F.col("n") / block_rows)))
+
+    def same(names):
+        """Equal columns, nulls included, of a side whose names begin with an underscore."""
+        conditions = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+        return reduce(lambda a, b: a & b, conditions)
+
+    def aside(names):
+        return [F.col(c).alias(f"_{c}") for c in names]
+    names = ["all", "scope", "size"]
+    b = blocks.select(*aside(names), "pivot", "radius", "n", "parts")
+    gap = F.greatest(F.get("away", F.col("pivot")) - F.col("radius"), F.lit(0.0))
+    visits = q.drop("vector").join(b, same(names)).withColumn("bound", F.lit(1.0) - gap * gap / 2).select(
+        "qid", *block, "n", "parts", "bound")
+    best = W.partitionBy("qid").orderBy(F.col("bound").desc(), "pivot")
+    before = F.coalesce(F.sum("n").over(best.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    visits = cut_lineage(visits.withColumn("first", before < k))
+
+    def searched(which):
+        """Best k of each part of each visited block for the queries that visit it."""
+        def subs(rows):
+            return rows.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        asked = subs(which.select("qid", *block, "parts")).join(q.select("qid", "vector"), "qid")
+        wanted = which.select(*aside(block), "parts").distinct()
+        held = p.join(wanted, same(block)).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts"))) \
+            .select("id", F.col("vector").alias("embedding"), *block, "sub")
+        by = [*block, "sub"]
+        return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(
+            _block_top(k), f"qid {qid_type}, id {id_type}, similarity double")
+    order = W.partitionBy("qid").orderBy(F.col("similarity").desc(), "id")
+
+    def top(rows):
+        return rows.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
+    found = cut_lineage(top(searched(visits.filter("first"))))
+    floor = found.filter(F.col("pos") == k).select("qid", F.col("similarity").alias("floor"))
+    # a hair of slack: the bound and the similarity are rounded apart
+    others = visits.filter("NOT first").join(floor, "qid", "left").filter(
+        F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-9))
+    hits = top(found.drop("pos").unionByName(searched(others)))
+    if not report:
+        return hits
+    seen = visits.filter("first").select("qid").unionByName(others.select("qid")).groupBy("qid").agg(
+        F.count(F.lit(1)).alias("visited"))
+    total = visits.groupBy("qid").agg(F.count(F.lit(1)).alias("blocks"))
+    return hits, total.join(seen, "qid").select("qid", "blocks", "visited")
+
+
 def rerank(candidates: DataFrame, results=vocab.SEARCH_RESULTS) -> DataFrame:
     """Similarity plus boosts for name, tokens, brand and stock, per query.
 

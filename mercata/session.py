@@ -47,7 +47,7 @@ def shared_dir(spark, name):
 def cut_lineage(df):
     """Reliable checkpoint in the shared folder; survives lost executors.
 
-    For small results that several branches of a job read again.
+    For what several branches of a job read again; its size is the caller's to weigh.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -56,15 +56,20 @@ def cut_lineage(df):
 
 
 _SHIPPED = set()
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+LARGEST_BATCH = 4 << 20
 
 
 def ship(spark):
     """Send this package to the workers, once per application.
 
     Functions that run in workers refer to it by module; the workers of a cluster
-    do not share the driver's path.
+    do not share the driver's path. Batches to workers are bounded: an executor and its
+    workers hold several at a time, outside the heap.
     """
     context = spark.sparkContext
+    if int(spark.conf.get(BATCH_BYTES, str(64 << 20)).rstrip("b")) > LARGEST_BATCH:
+        spark.conf.set(BATCH_BYTES, str(LARGEST_BATCH))
     if context.applicationId in _SHIPPED:
         return
     package = os.path.dirname(os.path.abspath(__file__))

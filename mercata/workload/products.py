@@ -37,6 +37,18 @@ def vector_top_k(spark, sf):
                       F.col("pos").cast("long").alias("pos"))
 
 
+@query("vector_top_k_pruned", with_(VECTORS, select=f"""
+SELECT a.vec_id AS qid, b.vec_id AS id, round({COSINE}, 6) AS similarity,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS pos
+FROM v_vec a JOIN v_vec b ON a.label = b.label QUALIFY pos <= 10"""))
+def vector_top_k_pruned(spark, sf):
+    """The search by label again, by blocks around pivots with distance bounds."""
+    rows = vector_rows(spark, sf)
+    top = vector.pruned_top_k(rows, vector_queries(rows, True), 10, pivots=16)
+    return top.select("qid", "id", F.round("similarity", 6).alias("similarity"),
+                      F.col("pos").cast("long").alias("pos"))
+
+
 @query("vector_top_k_in_label", with_(VECTORS, select=f"""
 SELECT a.vec_id AS qid, b.vec_id AS id, round({COSINE}, 6) AS similarity,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS pos

@@ -32,6 +32,26 @@ def test_top_k_equals_brute_force_in_any_blocking(spark, product_blocks, query_b
     assert hits[0]["id"] == 7 and len(hits) == 3
 
 
+@pytest.mark.parametrize("block_rows", [20_000, 7])
+def test_pruned_search_gives_the_same_answers(spark, block_rows):
+    """On vectors in clusters most blocks are never visited."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 6))
+    m = np.concatenate([centres[i % 12] + 0.03 * rng.normal(size=6) for i in range(300)]).reshape(300, 6)
+    m[5], m[299] = m[4], m[3]
+    odd = [(900, None, "a"), (901, [0.0] * 6, "a"), (902, [1.0, 2.0], "a"), (903, [1.0, None], None)]
+    p = spark.createDataFrame([(i, v.tolist(), "a" if i % 3 else None) for i, v in enumerate(m)] + odd,
+                              "id long, embedding array<double>, scope string")
+    q = spark.createDataFrame([(i, m[i * 7].tolist(), None if i % 2 else "a") for i in range(40)]
+                              + [(50, [2.0, 1.0], "a"), (51, [1.0], None), (52, [1.0] * 6, "nowhere")],
+                              "qid long, vector array<double>, scope string")
+    want = sorted(tuple(r) for r in vector.top_k(p, q, 8).select("qid", "id", "similarity", "pos").collect())
+    hits, visits = vector.pruned_top_k(p, q, 8, pivots=24, block_rows=block_rows, report=True)
+    assert sorted(tuple(r) for r in hits.select("qid", "id", "similarity", "pos").collect()) == want
+    seen = visits.agg(F.sum("visited").alias("v"), F.sum("blocks").alias("b")).first()
+    assert 0 < seen["v"] < 0.3 * seen["b"]
+
+
 def test_top_k_takes_text_ids_and_odd_vectors(spark):
     p = spark.createDataFrame([("b", [1.0, 0.0], "s"), ("a", [2.0, 0.0], "s"), ("zero", [0.0, 0.0], "s"),
                                ("none", None, "s"), ("hole", [1.0, None], "s"), ("long", [1.0, 0.0, 0.0], "s"),

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mercata.functions import vocab
+from mercata.functions import geo, vocab
 from mercata.operators import (catalog, contracts, filters, ingest, listing, matching, places,
                                stock, upsert)
 from mercata.plans import search
@@ -20,9 +20,10 @@ def km(a, b, c, d):
     return 2 * 6371.0 * math.asin(math.sqrt(min(1, h)))
 
 
+@pytest.mark.parametrize("crowded", [2000, 3])
 @pytest.mark.parametrize("radius,lat,lng", [(2.0, 40.4, -3.7), (150.0, 0.0, 179.9),
                                             (300.0, 89.0, 20.0), (50.0, -60.0, -179.99)])
-def test_radius_join_equals_brute_force(spark, radius, lat, lng):
+def test_radius_join_equals_brute_force(spark, radius, lat, lng, crowded):
     rng = random.Random(radius)
     spread = radius / 111 * 3
 
@@ -33,7 +34,7 @@ def test_radius_join_equals_brute_force(spark, radius, lat, lng):
     shops = [(i, *place()) for i in range(150)]
     centres = [(i, *place()) for i in range(60)]
     met = places.radius_join(spark.createDataFrame(centres, ["qid", "lat", "lng"]),
-                             spark.createDataFrame(shops, ["shop_id", "lat", "lng"]), radius)
+                             spark.createDataFrame(shops, ["shop_id", "lat", "lng"]), radius, crowded=crowded)
     got = [(r["qid"], r["shop_id"]) for r in met.collect()]
     want = {(q, s) for q, a, b in centres for s, c, d in shops if km(a, b, c, d) <= radius}
     assert len(got) == len(set(got)) and set(got) == want
@@ -423,11 +424,16 @@ def test_regions_with_their_shops(spark):
 
 def test_a_crowded_cell_is_joined_whole(spark):
     rng = random.Random(4)
-    hot = [(i, 40.4 + rng.uniform(0, 1e-4), -3.7) for i in range(900)]
+    hot = [(i, 40.4 + (rng.uniform(0, 1e-4) if i % 2 else 0), -3.7) for i in range(900)]
     cold = [(900 + i, 40.2 + rng.uniform(0, 0.5), -3.7) for i in range(100)]
     centres = spark.createDataFrame([(i, 40.4, -3.7) for i in range(20)], ["qid", "lat", "lng"])
     shops = spark.createDataFrame(hot + cold, ["shop_id", "lat", "lng"])
     want = 20 * sum(km(40.4, -3.7, a, b) <= 1.0 for _, a, b in hot + cold)
-    for splits in (1, 8):
-        met = places.radius_join(centres, shops, 1.0, splits=splits)
+    for crowded in (2000, 40):
+        met = places.radius_join(centres, shops, 1.0, crowded=crowded)
         assert met.count() == met.select("qid", "shop_id").distinct().count() == want
+    # 90 % of the shops share a cell, half of them a point: no leaf part is much over the mean
+    leaf, _ = places.quad_leaves(shops, geo.Grid(1.0), crowded=40)
+    part = F.pmod(F.xxhash64("shop_id"), F.col("_parts"))
+    sizes = [r["count"] for r in leaf.groupBy("_level", "_nrow", "_ncolumn", part).count().collect()]
+    assert max(sizes) <= 2 * 40 and sum(sizes) == 1000
