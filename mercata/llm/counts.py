@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .arrays import forget
 from .tokens import WORD_END, Counter
 
 
@@ -65,5 +66,6 @@ def token_counts(docs, tokenizer_path, limit=2048, id_col="doc_id", text_col="te
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "n_bytes": size, "n_tokens": pa.array(tokens.astype(np.int64)),
                 "over_limit": pa.array(tokens > limit)})
+        forget()
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

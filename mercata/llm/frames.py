@@ -20,6 +20,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from .arrays import forget
 from .tokens import encoded
 
 # Fixed values of the seekable format.
@@ -155,6 +156,7 @@ def write_tokens(docs, folder, tokenizer_path, end_id=2, id_col="doc_id", text_c
             "part": pa.array([part], pa.int64()), "file": [name],
             "n_docs": pa.array([len(writer.index)], pa.int64()),
             "n_tokens": pa.array([writer.total], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
+        forget()
 
     written = in_order(docs, id_col, text_col).mapInArrow(run, MANIFEST)
     written.write.mode("overwrite").parquet(f"{folder}/manifest")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .arrays import slices, word_units, words
+from .arrays import forget, slices, word_units, words
 from .tokens import encoded
 
 BUCKETS = 1024  # hashed words of a document vector
@@ -102,6 +102,7 @@ def pack(docs, tokenizer_path, end_id=1, sequence_tokens=2048, id_col="doc_id",
         for batch in batches:
             keys = curve_keys(batch.column(1), dimensions, bits)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], ["doc_id", "text", "key"])
+        forget()
 
     def run(batches):
         base, made, filled = TaskContext.get().partitionId() << 33, 0, 0
@@ -122,6 +123,7 @@ def pack(docs, tokenizer_path, end_id=1, sequence_tokens=2048, id_col="doc_id",
                     done = []
         if held:
             yield _pieces(_recut(held, base + made, filled))
+        forget()
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     tie = F.xxhash64("text")

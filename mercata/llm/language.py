@@ -6,13 +6,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .arrays import mix, slices
+from .arrays import batches_of, forget, mix, slices
 
 ORDER = 4
 CALIBRATION_ROWS = 2_000  # distinct texts of a language
 HASH_SHIFT = 52  # leaves 4096 buckets of hashes
 ALPHABET = 4096  # the uniform model below the unigrams
-SLICE = 1 << 20  # bytes of text; the arrays over it take about 100 times as much
+SLICE = 1 << 18  # bytes of text; the arrays over it take about 100 times as much
 SLICE_LANGUAGES = 64  # with more languages the slices shrink, as each has a score for every gram
 CACHED_SCORES = 1_600_000  # grams times languages
 LOWERED_ROWS = 1024
@@ -253,6 +253,7 @@ def _gram_counts(texts):
                     "lang": pa.array([language] * len(keys[part]), pa.string()),
                     "gram": pa.array(keys[part].view(np.int64)), "n": pa.array(n[part] * learn),
                     "n_all": pa.array(n[part])})
+        forget()
     found = texts.mapInArrow(run, "lang string, gram long, n long, n_all long")
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
@@ -359,6 +360,7 @@ def identify(docs, model, id_col="doc_id", text_col="text"):
                 "doc_id": batch.column(0), "lang_pred": pa.array(names[best].tolist(), pa.string()),
                 "score": pa.array(score, pa.float64()), "entropy": pa.array(entropy, pa.float64()),
                 "rejected": pa.array(rejected, pa.bool_())})
+        forget()
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
@@ -372,7 +374,8 @@ def in_known_language(docs, model, text_col="text"):
         known = shared.value
         scorer = Scorer(known.models)
         for batch in batches:
-            text = batch.column(at)
-            rejected = known.verdicts(*scorer.entropies(text.cast(pa.string())))[3]
-            yield batch.filter(pa.array(~rejected))
+            for part in batches_of(batch, 1024):
+                rejected = known.verdicts(*scorer.entropies(part.column(at).cast(pa.string())))[3]
+                yield part.filter(pa.array(~rejected))
+        forget()
     return docs.mapInArrow(run, docs.schema)

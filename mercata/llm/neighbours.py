@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .arrays import byte_units, mix, range_hashes, running, slices, word_units, words
+from .arrays import mix, range_hashes, running_bytes, slices, word_units, words
 from .sketch import lowered
 
 WORD_BUCKETS, SHAPE_BUCKETS = 1024, 1024
@@ -33,7 +33,7 @@ def _shape_units(data, spots):
     new[1:] = shape[1:] != shape[:-1]
     new[spots.start] = True
     at = np.concatenate([[0], np.cumsum(new)])
-    sums, down = running(byte_units(shape[new]))
+    sums, down = running_bytes(shape[new])
     return range_hashes(sums, at[spots.start], at[spots.end], down)
 
 

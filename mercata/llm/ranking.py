@@ -16,7 +16,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .arrays import slices, word_units, words
+from .arrays import forget, same_bytes, slices, with_spare, word_units, words
 
 TOP = 50
 BLOCK_BYTES = 8 << 20  # of item texts that are searched at once; workers and driver hold one block
@@ -58,7 +58,7 @@ class Vocabulary:
         spots = words(np.concatenate([[0], ends]), data)
         units = word_units(data, spots)
         order = np.argsort(units, kind="stable")
-        self.keys, self.data = units[order], data
+        self.keys, self.data = units[order], with_spare(data)
         self.start, self.size = spots.start[order], (spots.end - spots.start)[order]
         same = np.diff(np.concatenate([np.flatnonzero(np.diff(self.keys, prepend=self.keys[:1] + np.uint64(1))), [len(terms)]]))
         self.most = int(same.max(initial=0))  # terms with one hash
@@ -74,11 +74,8 @@ class Vocabulary:
             hit = np.flatnonzero((self.keys[place] == units) & (self.size[place] == size) & (first + step < len(self.keys)))
             if not len(hit):
                 continue
-            place, length = place[hit], size[hit]
-            stop = np.cumsum(length)
-            inside = np.arange(stop[-1]) - np.repeat(stop - length, length)
-            same = data[np.repeat(spots.start[hit], length) + inside] == self.data[np.repeat(self.start[place], length) + inside]
-            right = np.logical_and.reduceat(same, stop - length)
+            place = place[hit]
+            right = same_bytes(with_spare(data), spots.start[hit], self.data, self.start[place], size[hit])
             at.append(hit[right])
             term.append(place[right])
         none = np.zeros(0, np.int64)
@@ -107,6 +104,7 @@ def _index(texts, shared):
                     held, size, n = [], 0, 0
         if held:
             yield _chunk(held)
+        forget()
     return texts.mapInArrow(run, INDEX)
 
 

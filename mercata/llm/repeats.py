@@ -27,9 +27,10 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .arrays import anchored_runs, range_hashes, running, slices
+from .arrays import anchored_runs, forget, range_hashes, running, slices
 
 CHUNKS_PER_PARTITION = 4
+CHUNK_BYTES = 8 << 20  # of text in a chunk on average; more data makes more chunks
 HOT_CHUNKS = 256
 LAST_ID = (1 << 63) - 1  # stands for a null id: after all others
 
@@ -39,33 +40,33 @@ BLOCK_BYTES = 4 << 20
 # them are one anchor to all chunks, so equal windows always go to the same kind of shard.
 # `place` is the chunk and two flags.
 ANCHORS = "anchor long, place int"
-ANSWERS = "chunk int, anchor long, hot boolean, text_id long, low long"
+ANSWERS = "chunk int, anchor long, hot boolean, text_id long, check int, low long"
 CONTEXTS = "shard int, place int, low long, more long, context binary"
 MARKS = "chunk int, content long, first int, last int, low long"
-COPY = -2  # `first` of a mark that stands for a whole text
+COPY = -2  # `first` of a mark that stands for a whole text; `last` is its check
 
 
 def chunked(docs, id_col, text_col, with_rest=False):
     """doc_id, text and the chunk of each row; `rest` holds the other columns."""
     spark = docs.sparkSession
-    chunks = CHUNKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")).cast("long"))).first()[0] or 0
+    chunks = max(CHUNKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK_BYTES))
     columns = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")]
     if with_rest:
         columns.append(F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("rest"))
-    rows = docs.select(*columns).withColumn("text_id", F.xxhash64("text"))
+    rows = docs.select(*columns).withColumn("text_id", F.xxhash64("text")).withColumn("check", F.hash("text"))
     return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_id"), F.lit(chunks)).cast("int"))
 
 
 def copies(docs):
-    """chunk, text_id, low: texts that stand in several rows, and their smallest doc_id.
+    """chunk, text_id, check, low: texts that stand in several rows, and their smallest doc_id.
 
-    Texts are equal by 128 bits of hash; only one row per chunk and text is shuffled.
+    Texts are equal by 96 bits of two hashes; only one row per chunk and text is shuffled.
     """
-    rows = docs.select("chunk", "text_id", F.xxhash64(F.lit(1), "text").alias("check"),
-                       F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"))
+    rows = docs.select("chunk", "text_id", "check", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"))
     held = rows.groupBy("text_id", "check", "chunk").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     same = Window.partitionBy("text_id", "check")
-    return held.select("chunk", "text_id", F.min("low").over(same).alias("low"),
+    return held.select("chunk", "text_id", "check", F.min("low").over(same).alias("low"),
                        F.sum("n").over(same).alias("n")).where("n > 1").drop("n")
 
 
@@ -108,12 +109,12 @@ class Unit:
             long = np.flatnonzero(np.diff(where) >= self.length)
             yield offsets, data, spots, where, where[long], where[long + 1] - self.length
 
-    def runs_in(self, table):
+    def runs_in(self, table, contents=False):
         """(ids, offsets, data, word bounds, units, first units, runs) for each slice."""
         ids = ids_of(table)
         for row, offsets, data in slices(table.column("text")):
             hashes, where, spots = self.units(offsets, data)
-            runs = anchored_runs(hashes, where, self.length, self.k)
+            runs = anchored_runs(hashes, where, self.length, self.k, contents)
             yield ids[row:row + len(offsets) - 1], offsets, data, spots, hashes, where, runs
 
     def contents(self, column):
@@ -152,6 +153,7 @@ def anchors(docs, unit, between_documents):
         else:
             many = np.diff(np.append(first, len(keys))) > 1
         chunk = table.column("chunk")[0].as_py()
+        forget()
         return pa.table({"anchor": _long(keys[order][first]), "place": (many + chunk * 2).astype(np.int32)})
     return docs.groupBy("chunk").applyInArrow(run, ANCHORS)
 
@@ -172,20 +174,21 @@ def repeated_anchors(found, hot_chunks):
             yield pa.RecordBatch.from_pydict({
                 "chunk": place[order[at]] >> 1, "anchor": keys[order[at]],
                 "hot": pa.array(hot[at]), "text_id": pa.nulls(len(at), pa.int64()),
-                "low": pa.nulls(len(at), pa.int64())})
+                "check": pa.nulls(len(at), pa.int32()), "low": pa.nulls(len(at), pa.int64())})
     return found.repartition("anchor").mapInArrow(run, ANSWERS)
 
 
 class Copies:
     """Texts of a chunk that have copies, from the answers it got."""
 
-    def __init__(self, text_id, low):
-        self.low = dict(zip(text_id.tolist(), low.tolist(), strict=True))
+    def __init__(self, text_id, check, low):
+        self.low = dict(zip(zip(text_id.tolist(), check.tolist(), strict=True), low.tolist(), strict=True))
 
     def split(self, table):
         """(rows to work on, whether the row's text has copies, rows a smaller doc_id repeats)"""
-        low = np.array([self.low.get(t, LAST_ID) for t in table.column("text_id").to_pylist()], np.int64)
-        known = np.array([t in self.low for t in table.column("text_id").to_pylist()], bool)
+        keys = list(zip(table.column("text_id").to_pylist(), table.column("check").to_pylist(), strict=True))
+        low = np.array([self.low.get(k, LAST_ID) for k in keys], np.int64)
+        known = np.array([k in self.low for k in keys], bool)
         later = known & (low < ids_of(table))
         return table.filter(pa.array(~later)), known[~later], table.filter(pa.array(later))
 
@@ -200,7 +203,7 @@ def contexts(docs, repeated, unit):
         told = answers.column("text_id").is_valid().combine_chunks()
         same = answers.filter(told)
         answers = answers.filter(pc.invert(told))
-        table, copied, _ = Copies(_flat(same, "text_id"), _flat(same, "low")).split(table)
+        table, copied, _ = Copies(_flat(same, "text_id"), _flat(same, "check"), _flat(same, "low")).split(table)
         wanted = _flat(answers, "anchor").view(np.uint64)
         order = np.argsort(wanted)
         wanted, hot = wanted[order], _flat(answers, "hot")[order]
@@ -229,6 +232,7 @@ def contexts(docs, repeated, unit):
             values = (shard, chunk * 4 + many * 2 + crowded, low, high - low, text)
             for column, value in zip(rows.values(), values, strict=True):
                 column.append(value)
+        forget()
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(rows.items(), kinds, strict=True)})
     return docs.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(run, CONTEXTS)
@@ -262,6 +266,7 @@ def answered(found, unit, decide):
             stop = int(new[min(np.searchsorted(new, max(full, start + 1)), len(new) - 1)])
             yield from block(table.slice(start, stop - start))
             start = stop
+        forget()
 
     def block(table):
         context = pa.concat_arrays(table.column("context").chunks)
@@ -287,7 +292,7 @@ class Marks:
     def __init__(self, table):
         whole = pc.equal(table.column("first"), COPY)
         same, table = table.filter(whole), table.filter(pc.invert(whole))
-        self.copies = Copies(_flat(same, "content"), _flat(same, "low"))
+        self.copies = Copies(_flat(same, "content"), _flat(same, "last"), _flat(same, "low"))
         content = _flat(table, "content").view(np.uint64)
         order = np.argsort(content, kind="stable")
         first = _flat(table, "first").astype(np.int64)[order]
@@ -336,8 +341,10 @@ def with_marks(docs, marks, unit, finish, schema):
         known = Marks(answers)
         table, _, same = known.copies.split(table)
         found = ((offsets, data, spots, where, *known.windows(unit, ids, hashes, where, runs))
-                 for ids, offsets, data, spots, hashes, where, runs in unit.runs_in(table))
-        return pa.concat_tables([finish(table, found), finish(same, unit.whole(same))])
+                 for ids, offsets, data, spots, hashes, where, runs in unit.runs_in(table, contents=True))
+        done = pa.concat_tables([finish(table, found), finish(same, unit.whole(same))])
+        forget()
+        return done
     return docs.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(run, schema)
 
 
@@ -346,8 +353,8 @@ def repeated_windows(docs, unit, decide, finish, schema, between_documents, hot_
     same = copies(docs)
     repeated = repeated_anchors(anchors(docs, unit, between_documents), hot_chunks)
     repeated = repeated.unionByName(same.select(
-        "chunk", F.lit(0).cast("long").alias("anchor"), F.lit(False).alias("hot"), "text_id", "low"))
+        "chunk", F.lit(0).cast("long").alias("anchor"), F.lit(False).alias("hot"), "text_id", "check", "low"))
     marks = answered(contexts(docs, repeated, unit), unit, decide)
     marks = marks.unionByName(same.select(
-        "chunk", F.col("text_id").alias("content"), F.lit(COPY).alias("first"), F.lit(0).alias("last"), "low"))
+        "chunk", F.col("text_id").alias("content"), F.lit(COPY).alias("first"), F.col("check").alias("last"), "low"))
     return with_marks(docs, marks, unit, finish, schema)

@@ -3,14 +3,15 @@
 For vocabularies with word ends that drop white space, as word_bpe_49k: their pre-tokens
 and special tokens never cross ASCII white space, a pre-token's ids do not depend on what
 stands around it, and its last id, and only that, has a word end. Texts are cut with
-array operations, pieces are known by a 64-bit hash, and only new pieces go to the library.
+array operations, pieces are looked up by a hash and compared byte by byte, and only new
+pieces go to the library.
 """
 
 import numpy as np
 
-from .arrays import byte_units, range_hashes, running, slices, words
+from .arrays import batches_of, range_hashes, running_bytes, same_bytes, slices, with_spare, words
 
-KNOWN_PIECES = 1_500_000  # that a worker remembers (about 100 MB); beyond it starts anew
+KNOWN_PIECES = 500_000  # that a worker remembers (about 50 MB); beyond it starts anew
 RECENT_PIECES = 50_000  # that are kept apart until they are sorted in
 WORD_END = "</w>"
 JOINED = 128  # pieces that go to the library in one string
@@ -91,6 +92,9 @@ class Pieces:
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.count = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
         self.ids, self.used = np.zeros(1 << 12, np.uint32), 0
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
+        self.spot, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.apart = {}  # pieces whose hash belongs to another piece, by text
 
     def _room(self, name, size):
         array = getattr(self, name)
@@ -116,8 +120,9 @@ class Pieces:
             counts = np.concatenate([counts, [len(x) for x in found]])
         return ids, counts
 
-    def _learn(self, hashes, texts, whole):
-        """Remember pieces; those proven to be one token are not encoded if only counted."""
+    def _learn(self, texts, whole):
+        """Remember pieces, return their slots; those proven to be one token are not encoded
+        if only counted."""
         base = self.total
         order = []
         if self.single is not None:
@@ -140,8 +145,21 @@ class Pieces:
             self.ids[self.used:self.used + len(ids)] = ids
             self.first[base:base + n] = self.used + np.cumsum(counts) - counts
             self.used += len(ids)
+        raw = [texts[i].encode("utf-8") for i in order]
+        size = np.array([len(t) for t in raw], np.int64)
+        for name, used in (("spot", base + n), ("size", base + n), ("text", self.text_used + size.sum() + 8)):
+            self._room(name, used)
+        self.size[base:base + n] = size
+        self.spot[base:base + n] = self.text_used + np.cumsum(size) - size
+        self.text[self.text_used:self.text_used + size.sum()] = np.frombuffer(b"".join(raw), np.uint8)
+        self.text_used += int(size.sum())
         self.total += n
-        self.recent.update(zip(hashes[order].tolist(), range(base, base + n), strict=True))
+        slots = np.empty(n, np.int64)
+        slots[order] = np.arange(base, base + n)
+        return slots
+
+    def _file(self, hashes, slots):
+        self.recent.update(zip(hashes.tolist(), slots.tolist(), strict=True))
         if len(self.recent) > RECENT_PIECES:
             keys = np.concatenate([self.keys, np.fromiter(self.recent, np.uint64, len(self.recent))])
             places = np.concatenate([self.places, np.fromiter(self.recent.values(), np.int64, len(self.recent))])
@@ -160,24 +178,47 @@ class Pieces:
         found[rest] = [get(x, -1) for x in hashes[rest].tolist()]
         return found
 
+    def _differ(self, slot, start, end, data):
+        """Pieces that are not the text of their slot."""
+        size = end - start
+        right = self.size[slot] == size
+        rows = np.flatnonzero(right)
+        right[rows] = same_bytes(with_spare(data), start[rows], self.text, self.spot[slot[rows]], size[rows])
+        return np.flatnonzero(~right)
+
+    def _slots_apart(self, texts, whole):
+        """Slots by text, for pieces that share a hash with another."""
+        fresh = {t: w for t, w in zip(texts, whole, strict=True) if t not in self.apart}
+        if fresh:
+            self.apart.update(zip(fresh, self._learn(list(fresh), list(fresh.values())).tolist(), strict=True))
+        return [self.apart[t] for t in texts]
+
     def slots(self, offsets, data):
         """(slot of each piece, first piece of each text)"""
         start, end, where, whole, lower = pieces(offsets, data)
         if not len(start):
             return np.zeros(0, np.int64), where
-        sums, down = running(byte_units(lower))
+        sums, down = running_bytes(lower)
         hashes, at, inverse = np.unique(range_hashes(sums, start, end, down), return_index=True, return_inverse=True)
         if self.total > KNOWN_PIECES:
             self._forget()
         found = self._find(hashes)
         fresh = np.flatnonzero(found < 0)
         if len(fresh):
-            raw = lower.tobytes()
-            spot = at[fresh]
-            texts = [raw[a:b].decode("utf-8") for a, b in zip(start[spot].tolist(), end[spot].tolist(), strict=True)]
-            self._learn(hashes[fresh], texts, whole[spot].tolist())
-            found[fresh] = self._find(hashes[fresh])
-        return found[inverse], where
+            found[fresh] = self._learn(*_texts(at[fresh], start, end, whole, lower))
+            self._file(hashes[fresh], found[fresh])
+        slot = found[inverse]
+        other = self._differ(slot, start, end, lower)
+        if len(other):
+            slot[other] = self._slots_apart(*_texts(other, start, end, whole, lower))
+        return slot, where
+
+
+def _texts(which, start, end, whole, data):
+    """(texts, whole words or not) of some pieces."""
+    raw = data.tobytes()
+    return [raw[a:b].decode("utf-8") for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)], \
+        whole[which].tolist()
 
 
 class Encoder(Pieces):
@@ -214,11 +255,6 @@ def encoder(path):
     return _ENCODERS[path]
 
 
-def batches_of(batch, rows=256):
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def encoded(batch, column, path, rows=256):
     """(rows of a batch, the ids of each text in them), a few at a time."""
     for part in batches_of(batch, rows):

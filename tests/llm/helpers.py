@@ -111,3 +111,9 @@ def crc_fold(doc_id, folds):
 
 def ordered(rows):
     return sorted(rows, key=repr)
+
+
+def patterned(n=1024):
+    """Two different words of n letters that a polynomial modulo 2^64 confuses for any base."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))

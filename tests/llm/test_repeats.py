@@ -65,8 +65,8 @@ def test_anchors_with_equal_leading_bits(spark, name):
                                else (suffixes.ByteUnit, 50, 20, suffixes.decide_by_sorting(50)))
 
     class Short(base):
-        def runs_in(self, table):
-            for *parts, runs in super().runs_in(table):
+        def runs_in(self, table, contents=False):
+            for *parts, runs in super().runs_in(table, contents):
                 yield *parts, runs._replace(anchor=runs.anchor >> np.uint64(48) << np.uint64(16))
 
     def finish(table, parts):
@@ -88,6 +88,23 @@ def test_anchors_with_equal_leading_bits(spark, name):
     assert found == want
 
 
+def test_patterned_words_are_told_apart(spark):
+    """Long words with a pattern that simple rolling hashes confuse."""
+    ship(spark)
+    rows = []
+    for n in (64, 1024, 4096):
+        a, b = h.patterned(n)
+        rng = random.Random(n)
+        left, right = h.passage(rng, 30), h.passage(rng, 30)
+        rows += [(n + i, f"{left} {w} {right}") for i, w in enumerate((a, b, a))]
+        rows += [(n + 9 + i, f"x{w}") for i, w in enumerate((a, b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = automata.remove_repeated_words(docs, window=35).collect()
+    assert h.ordered((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == h.ordered(h.repeated_words(rows, 35))
+    got = suffixes.remove_repeated_bytes(docs, window=50).collect()
+    assert h.ordered((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept) for r in got) == h.ordered(h.repeated_bytes(rows, 50))
+
+
 def test_other_columns_and_text_come_back(docs):
     got = suffixes.remove_repeated_bytes(docs, keep_columns=True, as_text=True).collect()
     assert len(got) == len(h.odd_documents())

@@ -31,6 +31,26 @@ def test_same_doc_id_is_one_document(spark):
     assert got == [(1, 1), (1, 1), (2, 1)]
 
 
+def test_rows_of_one_doc_id_link_their_texts(spark):
+    """Document 9 is a near copy of 5 and a copy of 2; 7 has words in one row only."""
+    ship(spark)
+    rng = random.Random(1)
+    near = h.passage(rng, 100)
+    other = near.replace(near.split()[50], "CHANGED", 1)
+    rows = [(5, near), (9, other), (9, "x y z"), (2, "x y z"), (7, ""), (7, "p q"), (7, None), (3, "p q"), (8, "")]
+    got = {(r.doc_id, r.component_id) for r in sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 2), (9, 2), (2, 2), (7, 3), (3, 3), (8, 8)}
+
+
+def test_patterned_words_are_told_apart(spark):
+    ship(spark)
+    a, b = h.patterned()
+    rows = [(1, a), (2, b), (3, a), (4, f"{a} one two three four"), (5, f"{b} one two three four")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in
+           sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == h.near_groups(rows)
+
+
 def test_chains_bridges_and_hubs(spark):
     """Links between documents neither of which is linked with the smallest of the group."""
     ship(spark)

@@ -51,6 +51,22 @@ def test_any_text_counts_and_encodes_as_the_library(text):
     assert list(tokens.encoder(queries.vocabulary()).encode(column)) == [packed(x) for x in ids]
 
 
+@pytest.mark.parametrize("n", [64, 512, 1024, 4096])
+def test_patterned_words_are_told_apart(library, n):
+    a, b = h.patterned(n)
+    column = pa.array([f"{a} {b} {b}.{a} é{a}—{b}", b, a, f"{b}'s"])
+    want = [ids_of(library, t) for t in column.to_pylist()]
+    assert list(tokens.encoder(queries.vocabulary()).encode(column)) == [packed(x) for x in want]
+    assert counts.counter(queries.vocabulary()).count_tokens(column).tolist() == [len(x) for x in want]
+
+
+def test_pieces_with_one_hash_are_told_apart(library, monkeypatch):
+    """With a hash of a few bits nearly all pieces collide."""
+    monkeypatch.setattr(tokens, "range_hashes", lambda sums, start, end, down: (end - start).astype(np.uint64) & np.uint64(3))
+    column = pa.array([t for _, t, *_ in h.odd_documents() if t and len(t) < 5000])
+    assert list(tokens.Encoder(queries.vocabulary()).encode(column)) == [packed(ids_of(library, t)) for t in column.to_pylist()]
+
+
 def test_whole_tokens_are_proven(library):
     whole = counts.whole_tokens(library)
     assert len(whole) > 30_000 and "the" in whole
