@@ -1,11 +1,14 @@
 """Benchmark decontamination by greedy string tiling."""
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from .arrays import Words, byte_units, is_space, range_hashes, running, slices, words
+from ..session import shared_dir
+from .arrays import Words, forget, is_space, range_hashes, running, running_bytes, slices, words
 
 MIN_MATCH = 5  # tokens of a tile
 COVERAGE = 0.5  # of an item's tokens
@@ -23,7 +26,7 @@ def token_units(offsets, data):
     alnum = ((data >= 48) & (data <= 57)) | ((data >= 97) & (data <= 122)) | ((data >= 65) & (data <= 90))
     blank = np.where(is_space(data) | (ascii_ & ~alnum), np.uint8(32), data)
     spots = words(offsets, blank)
-    sums, down = running(byte_units(blank))
+    sums, down = running_bytes(blank)
     return range_hashes(sums, spots.start, spots.end, down), Words(*spots).offsets
 
 
@@ -177,7 +180,10 @@ def contaminated(docs, benchmark, min_match=MIN_MATCH, coverage=COVERAGE, id_col
     `min_match` tokens; what seeds could cover enough is tiled greedily, and the tiles'
     share of the item's tokens is tested, so reordered passages count. The benchmark is
     sent to the workers in blocks of at most `block_bytes`, one pass over the documents
-    for each; documents are not shuffled, so an item that many of them hold is no hot key.
+    for each; what a block finds is written and the block let go before the next is read,
+    so driver and workers hold one at a time. Documents are not shuffled, so an item that
+    many of them hold is no hot key. The folder below spark.checkpoint.dir is the caller's
+    to remove.
 
     Returns one row per document and item: doc_id, item_id, n_item_tokens, n_matched,
     coverage and tiles (in the order they were marked). An item of fewer than `min_match`
@@ -187,11 +193,13 @@ def contaminated(docs, benchmark, min_match=MIN_MATCH, coverage=COVERAGE, id_col
     """
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    out = spark.createDataFrame([], FOUND)
+    folder, written = shared_dir(spark, f"tiling/{uuid.uuid4().hex}"), []
     for ids, block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = spark.sparkContext.broadcast((ids, block))
-        out = out.unionByName(texts.mapInArrow(_searcher(shared, min_match, coverage), FOUND))
-    return out
+        written.append(f"{folder}/{len(written)}")
+        texts.mapInArrow(_searcher(shared, min_match, coverage), FOUND).write.parquet(written[-1])
+        shared.destroy()
+    return spark.read.schema(FOUND).parquet(*written) if written else spark.createDataFrame([], FOUND)
 
 
 def _searcher(shared, min_match, coverage):
@@ -212,6 +220,7 @@ def _searcher(shared, min_match, coverage):
                         rows.append((row + doc, items.ids[item], len(own), matched, matched / len(own),
                                      [{"item_start": i, "doc_start": j, "length": n} for i, j, n in found]))
             yield _found(batch, rows)
+        forget()
     return run
 
 
