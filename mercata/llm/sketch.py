@@ -5,8 +5,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from ..session import cut_lineage
-from .arrays import mix, range_hashes, running, slices, word_units, words
+from .arrays import forget, mix, range_hashes, running, slices, word_units, words
 from .components import components
 
 SHINGLE = 5
@@ -93,6 +94,7 @@ def _sketched(docs, bands, rows, size):
                 "set_id": pa.array(ids, pa.binary()),
                 "bands": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
                                                   pa.array(keys.ravel().view(np.int64)))})
+        forget()
     return docs.mapInArrow(run, SKETCHES)
 
 
@@ -120,6 +122,7 @@ def _sets(texts, size):
                     "bits": pa.ListArray.from_arrays(
                         pa.array(np.arange(len(sets) + 1) * BIT_WORDS, pa.int32()), pa.array(bits.ravel())),
                     "lost": pa.array(np.array(size_of, np.int64) - marks.sum(1, dtype=np.int64))})
+        forget()
     return texts.mapInArrow(run, "node long, set_id binary, elements array<long>, bits array<long>, lost long")
 
 
@@ -158,6 +161,20 @@ def _sized(open_, sets):
     return cut_lineage(open_.join(facts, "node"))
 
 
+def _ids_with_several_texts(sketches):
+    """doc_ids whose rows have different sets; an empty set is one of them."""
+    own = F.coalesce("set_id", F.lit(b""))
+    return sketches.where("doc_id IS NOT NULL").groupBy("doc_id") \
+        .agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first != last").select("doc_id")
+
+
+def _links_by_id(full, several, nodes):
+    """Rows of one doc_id are one document: links between its sets."""
+    owned = full.select("doc_id", "set_id").join(several, "doc_id").distinct().join(nodes, "set_id").select("doc_id", "node")
+    least = owned.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return least.join(owned.select("doc_id", F.col("node").alias("b")), "doc_id").where("a < b").select("a", "b")
+
+
 def near_duplicates(docs, percent=75, size=SHINGLE, bands=BANDS, rows=ROWS, id_col="doc_id", text_col="text"):
     """Groups of documents linked by a Jaccard similarity of `percent` or more.
 
@@ -178,16 +195,22 @@ def near_duplicates(docs, percent=75, size=SHINGLE, bands=BANDS, rows=ROWS, id_c
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     sketches = cut_lineage(_sketched(texts, bands, rows, size))
     full = sketches.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = full.groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    firsts = full.withColumnRenamed("doc_id", "node").join(nodes, ["set_id", "node"])
+    nodes = full.groupBy("set_id").agg(F.min("doc_id").alias("low"))
+    several = _ids_with_several_texts(sketches)
+    repeated = several.limit(1).count() > 0
+    # a node is its smallest doc_id, or its place by it where one doc_id has several sets; either
+    # way checkpointed, so a hot set is no group of a join
+    nodes = numbered(nodes, "low", "set_id", name="node")[0] if repeated else \
+        cut_lineage(nodes.withColumn("node", F.col("low")))
+    firsts = full.withColumnRenamed("doc_id", "low").join(nodes, ["set_id", "low"])
     banded = firsts.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")) \
         .where("low < high").select("band", "low")
     members = cut_lineage(banded.join(shared, "band"))
 
     wanted = members.select("node").distinct()
-    found = texts.join(wanted, texts.doc_id == wanted.node).select("node", "text")
     known = nodes.join(wanted, "node")
+    found = texts.join(known, texts.doc_id == known["low"]).select("node", "text")
     sets = cut_lineage(_sets(found, size).join(known, ["node", "set_id"])
                        .select("node", "elements", "bits", "lost").dropDuplicates(["node"]))
 
@@ -220,9 +243,17 @@ def near_duplicates(docs, percent=75, size=SHINGLE, bands=BANDS, rows=ROWS, id_c
     across = across.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")) \
         .distinct().join(first, ["a", "b"], "left_anti")
     more = _verified(across, sets, percent)
-    final = components(links.unionByName(more), "a", "b")
-
-    placed = sketches.join(nodes, "set_id", "left").join(final, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    links = links.unionByName(more)
+    if repeated:
+        links = links.unionByName(_links_by_id(full, several, nodes))
+    final = components(links, "a", "b")
+    roots = nodes.select(F.col("node").alias("component"), F.col("low").alias("lowest"))
+    sets = cut_lineage(nodes.join(final, "node", "left").join(roots, "component", "left")
+                       .select("set_id", F.coalesce("lowest", "low").alias("lowest")))
+    placed = sketches.join(sets, "set_id", "left")
+    if repeated:  # a row without words beside rows with words
+        own = placed.where("lowest IS NOT NULL").join(several, "doc_id").groupBy("doc_id").agg(F.min("lowest").alias("own"))
+        placed = placed.join(own, "doc_id", "left").withColumn("lowest", F.coalesce("lowest", "own"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
