@@ -1,7 +1,9 @@
 import collections
+import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,54 @@ def test_kneser_ney_sums_to_one():
     assert abs(np.exp(model.log_probabilities(keys)).sum() - 1) < 1e-9
 
 
+def plain_kneser_ney(counts):
+    """Chance of a 4-character tuple by interpolated Kneser-Ney with one discount per order."""
+    tables, weights = {}, dict(counts)
+    for order in range(4, 0, -1):
+        once, twice = (sum(w == n for w in weights.values()) for n in (1, 2))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        total, kinds = collections.Counter(), collections.Counter()
+        for gram, w in weights.items():
+            total[gram[:-1]] += w
+            kinds[gram[:-1]] += 1
+        tables[order] = dict(weights), total, kinds, discount
+        weights = collections.Counter(gram[1:] for gram in weights)
+
+    def chance(gram):
+        p = 1 / language.ALPHABET
+        for order in range(1, 5):
+            own, (w, total, kinds, discount) = gram[4 - order:], tables[order]
+            history = own[:-1]
+            share = (w[own] - discount) / total[history] if own in w else 0.0
+            p = share + (discount * kinds[history] / total[history] if history in total else 1.0) * p
+        return p
+    return chance
+
+
+def test_entropies_equal_a_plain_model():
+    """Scores of texts in two languages against plain dictionaries."""
+    rng = np.random.default_rng(6)
+
+    def text(letters, n):
+        return "".join(rng.choice(list(letters), n))
+
+    def grams(t):
+        line = "   " + re.sub(r"[^a-z]+", " ", t).lstrip() + (" " if t and t[-1].isalpha() else "")
+        return [tuple(line[i - 3:i + 1]) for i in range(3, len(line))]
+    learned = {"x": [text("aabbc d", 60) for _ in range(30)], "y": [text("ccdde f", 60) for _ in range(30)]}
+    models, plain = [], []
+    for texts in learned.values():
+        packed = np.concatenate([g for _, g, _ in language.grams_of(pa.array(texts))])
+        models.append(language.LanguageModel(*np.unique(packed, return_counts=True)))
+        plain.append(plain_kneser_ney(collections.Counter(g for t in texts for g in grams(t))))
+    asked = [text("abcdef ", n) for n in (1, 5, 40)] + ["zzz", "a", "abc--def  g"]
+    sizes, entropies = language.Scorer(models).entropies(pa.array(asked))
+    for t, n, own in zip(asked, sizes, entropies, strict=True):
+        assert n == len(grams(t))
+        for p, e in zip(plain, own, strict=True):
+            assert n == 0 or abs(e + sum(math.log(p(g)) for g in grams(t)) / n) < 1e-9
+
+
 def test_model_keeps_all_grams_and_languages(spark):
     ship(spark)
     rng = np.random.default_rng(8)
@@ -164,6 +214,41 @@ def test_rules_query(spark):
     assert np.mean([r.kept for r in bad]) < 0.1
 
 
+def test_verdicts_equal_the_rules_in_python(spark):
+    docs, labels = queries.documents(spark, SF), queries.table(spark, SF, "labels")
+    learned = rules.learn(docs, labels)
+    assert learned.rules
+
+    def kept(s):
+        def per(a, b):
+            return round(a / b, 6) if b else 0.0
+        if s.n_words < 20 or 100 * s.n_repeat_words > 30 * s.n_words:
+            return False
+        values = {"n_words": float(s.n_words), "word_length": per(s.word_chars, s.n_words),
+                  "symbols_per_word": per(s.n_symbols, s.n_words), "dup_lines_per_line": per(s.n_dup_lines, s.n_lines),
+                  "repeat_words_per_word": per(s.n_repeat_words, s.n_words), "distinct_per_word": per(s.n_distinct_words, s.n_words),
+                  "upper_per_char": per(s.n_upper, s.word_chars), "bangs_per_word": per(s.n_bangs, s.n_words)}
+        return not any(all(values[c.feature] >= c.cut if c.above else values[c.feature] < c.cut for c in rule)
+                       for rule in learned.rules)
+    rows = rules.judge(docs, learned).select("doc_id", "stats", "kept").collect()
+    assert len(rows) == 1000 and [r.kept for r in rows] == [kept(r.stats) for r in rows]
+    assert 0 < sum(r.kept for r in rows) < 1000
+
+
+def test_classifier_takes_odd_documents(spark, docs):
+    """Real voters; null, empty, long and repeated texts; extra columns with clashing names."""
+    known, labels = queries.documents(spark, SF), queries.table(spark, SF, "labels")
+    voters = neighbours.train(known, labels, F.lit(True))
+    got = neighbours.score(docs, voters).collect()
+    assert len(got) == len(h.odd_documents()) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    by_id = collections.defaultdict(set)
+    for r in got:
+        by_id[r.doc_id].add(r.score)
+    assert by_id[14] == by_id[15] == by_id[16] == {round(voters.prior, 6)}
+    assert len(by_id[31]) == 1 and abs(min(by_id[10]) - min(by_id[11])) < 1e-5
+    assert neighbours.score(docs.limit(0), voters).collect() == []
+
+
 def test_covering_finds_planted_rules():
     rng = np.random.default_rng(2)
     table = {"a": rng.random(600), "b": rng.random(600), "c": rng.random(600)}

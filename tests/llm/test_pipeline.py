@@ -50,6 +50,23 @@ def test_stages_take_odd_rows(spark):
         assert stage(spark, empty, SF).collect() == []
 
 
+def test_stages_keep_columns_with_clashing_names(spark):
+    """Columns named like those the operators make; a text without n_chars beside it."""
+    docs = h.with_clashes(spark, h.odd_documents())
+    plain = spark.createDataFrame(h.odd_documents(), h.SCHEMA)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        found = stage(spark, docs, SF)
+        if n == 4:
+            assert found.count() == stage(spark, plain, SF).count()
+            break
+        assert found.columns == docs.columns
+        rows = found.collect()
+        assert h.ordered(tuple(r)[:5] for r in rows) == h.ordered(tuple(r) for r in stage(spark, plain, SF).collect())
+        assert all(r["chunk"] == "chunk" and r["node"] == "node" for r in rows)
+        short = plain.drop("n_chars")
+        assert stage(spark, short, SF).columns == short.columns
+
+
 def test_near_dedup_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame([r for r in h.odd_documents() if r[0] in (10, 11, 12, 13, 17, 19, 21)], h.SCHEMA)
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()}

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -94,6 +95,26 @@ def test_empty_tables(spark):
     assert tiling.clean_documents(docs, spark.createDataFrame([], ITEMS)).count() == docs.count()
 
 
+def test_registered_query_equals_plain_tiling(spark):
+    sf = "/root/testdata/sf0.001"
+
+    def tokens(text):
+        return re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text.lower())
+    items = {r.item_id: tokens(r.text) for r in queries.table(spark, sf, "benchmark").collect()}
+    want = set()
+    for r in queries.documents(spark, sf).where("text IS NOT NULL").collect():
+        text = tokens(r.text)
+        seeds = {tuple(text[i:i + 5]) for i in range(len(text) - 4)}
+        for item_id, item in items.items():
+            shared = sum(tuple(item[i:i + 5]) in seeds for i in range(len(item) - 4))
+            if 5 * shared >= 0.5 * len(item):  # fewer seeds cannot cover half of it
+                n = plain_tiles(item, text, 5)
+                if n >= 0.5 * len(item):
+                    want.add((r.doc_id, item_id, len(item), n))
+    got = queries.QUERIES["op5_decontamination"](spark, sf).collect()
+    assert {(r.doc_id, r.item_id, r.n_item_tokens, r.n_matched) for r in got} == want and want
+
+
 def test_registered_query_finds_whole_passages(spark):
     found = {(r.doc_id, r.item_id) for r in queries.QUERIES["op5_decontamination"](spark, h.SF).collect()}
     docs = queries.documents(spark, h.SF).collect()
