@@ -32,12 +32,14 @@ def near_dedup(spark, docs, sf_dir):
 def suffix_array_dedup(spark, docs, sf_dir):
     """All documents, without passages of 50 bytes or more that a smaller doc_id has.
 
-    A null text becomes an empty one; n_chars follows the text.
+    A null text becomes an empty one; n_chars, where there is one, follows the text.
     """
     ship(spark)
     rows = suffixes.remove_repeated_bytes(docs, window=50, keep_columns=True, as_text=True)
-    size = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
-    new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, size).otherwise(F.col("rest.n_chars"))}
+    new = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        size = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("n_removed") > 0, size).otherwise(F.col("rest.n_chars"))
     return rows.select(*[(new[c] if c in new else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
