@@ -153,6 +153,7 @@ def dump(spark, sf):
         k.alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"),
         F.concat(F.lit(" "), "p_name", F.lit(" by "), "p_brand", F.lit(" ")).alias("description"),
         kind.alias("category"), (F.col("p_retailprice") / 7).alias("price"),
+        F.when(k % 3 > 0, F.concat(F.lit("img-"), k.cast("string"))).alias("thumbnail"),
         (F.lit(3.0) + (k % 20).cast("double") / 10).alias("rating"),
         F.array(F.lower("p_type"), F.lit("Oferta")).alias("tags"),
         F.when(k % 4 > 0, F.slice(reviews, 2, 10)).alias("reviews"))
@@ -250,14 +251,14 @@ def _tags_sql(name, category, extra="[]"):
 POOL = f"""v_pool0 AS (
   SELECT category, 0 AS source_order, pos, name, name || '. '
     || {_map_sql(vocab.BLURBS)}[category] AS description, base_price_eur AS base_price,
-    {_tags_sql('name', 'category')} AS tags FROM v_templates),
+    {_tags_sql('name', 'category')} AS tags, NULL::VARCHAR AS image_url FROM v_templates),
 v_ext AS (
   SELECT * FROM (SELECT *, {_map_sql(vocab.POOL_CATEGORY)}[kind] AS category FROM v_dump)
   WHERE category IS NOT NULL),
 v_pool AS (
   SELECT * FROM v_pool0 UNION ALL
   SELECT category, 1, id, title, left(trim(description), 400), greatest(0.5::DOUBLE, price),
-    {_tags_sql('title', 'category', 'extra')} FROM v_ext e
+    {_tags_sql('title', 'category', 'extra')}, CASE WHEN id % 3 > 0 THEN 'img-' || id::VARCHAR END FROM v_ext e
   WHERE NOT EXISTS (SELECT 1 FROM v_pool0 p WHERE p.category = e.category AND p.name = e.title)
   QUALIFY row_number() OVER (PARTITION BY category, title ORDER BY id) = 1)"""
 
@@ -269,12 +270,12 @@ def pool(spark, sf):
 @query("catalog_pool", with_(TEMPLATES, DUMP, POOL, select="""
 SELECT category, source_order, pos, name, round(base_price, 6) AS base_price,
   array_to_string(tags, '|') AS tags, name || '. ' || description || ' Categoría: '
-  || category || '. Etiquetas: ' || array_to_string(tags, ', ') AS embedding_text FROM v_pool"""))
+  || category || '. Etiquetas: ' || array_to_string(tags, ', ') AS embedding_text, image_url FROM v_pool"""))
 def catalog_pool(spark, sf):
     return pool(spark, sf).select(
         "category", "source_order", "pos", "name", F.round("base_price", 6).alias("base_price"),
         F.array_join("tags", "|").alias("tags"),
-        catalog.embedding_text("name", "description", "category", "tags").alias("embedding_text"))
+        catalog.embedding_text("name", "description", "category", "tags").alias("embedding_text"), "image_url")
 
 
 # Brands as the "categories" of the variant step: small enough to be thin.
