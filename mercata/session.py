@@ -1,5 +1,6 @@
 """Session defaults and the shared folder for checkpoints and tables."""
 
+import gc
 import os
 import re
 import tempfile
@@ -55,6 +56,15 @@ def cut_lineage(df):
     return df.checkpoint()
 
 
+def release(spark):
+    """Let Spark remove the shuffle files and checkpoints that nothing refers to any more.
+
+    They go when the driver collects its garbage, which by itself may be after the job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _SHIPPED = set()
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 LARGEST_BATCH = 4 << 20
