@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 
 
 def _large_star(edges):
@@ -37,4 +37,5 @@ def components(links, a, b):
         if now == before:
             break
         before = now
+        release(edges.sparkSession)  # of the rounds before
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))

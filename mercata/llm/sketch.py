@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ..operators.numbering import numbered
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .arrays import forget, mix, range_hashes, running, slices, word_units, words
 from .components import components
 
@@ -207,6 +207,7 @@ def near_duplicates(docs, percent=75, size=SHINGLE, bands=BANDS, rows=ROWS, id_c
     shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")) \
         .where("low < high").select("band", "low")
     members = cut_lineage(banded.join(shared, "band"))
+    release(docs.sparkSession)
 
     wanted = members.select("node").distinct()
     known = nodes.join(wanted, "node")
@@ -217,6 +218,7 @@ def near_duplicates(docs, percent=75, size=SHINGLE, bands=BANDS, rows=ROWS, id_c
     first = members.groupBy("node").agg(F.min("low").alias("a")) \
         .where("a < node").select("a", F.col("node").alias("b"))
     links = cut_lineage(_verified(first, sets, percent))
+    release(docs.sparkSession)
     groups = components(links, "a", "b")
     placed = members.select("band", "node").join(groups, "node", "left") \
         .select("band", "node", F.coalesce("component", "node").alias("component"))
@@ -242,8 +244,7 @@ def near_duplicates(docs, percent=75, size=SHINGLE, bands=BANDS, rows=ROWS, id_c
         & (alike * 100 >= (F.col("n") + F.col("nx") - alike) * percent))
     across = across.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")) \
         .distinct().join(first, ["a", "b"], "left_anti")
-    more = _verified(across, sets, percent)
-    links = links.unionByName(more)
+    links = links.unionByName(_verified(across, sets, percent))
     if repeated:
         links = links.unionByName(_links_by_id(full, several, nodes))
     final = components(links, "a", "b")
