@@ -1,5 +1,6 @@
 """Exact cosine search over product embeddings."""
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -46,10 +47,16 @@ def match_products(products: DataFrame, query, k=20, neighbourhood=None):
     return scored.orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
-def _block_top(k):
+TILE = 1 << 21  # similarities a worker holds at a time
+
+
+def _block_top(k, tile=TILE):
     """Best k products of one block for each query of one block.
 
-    The function carries what it needs, so workers do not import this package.
+    Similarities are formed for a few queries at a time, `tile` in all, and only those that
+    can be among the best k are sorted; what a task holds beside the two blocks does not
+    grow with their product. The function carries what it needs, so workers do not import
+    this package.
     """
     def unit(column):
         import numpy as np
@@ -60,45 +67,73 @@ def _block_top(k):
     def run(queries, products):
         import numpy as np
         import pyarrow as pa
-        kinds = {"qid": queries.schema.field("qid").type, "id": products.schema.field("id").type,
-                 "similarity": pa.float64()}
-        out = {name: [] for name in kinds}
+        asked, held, near = [], [], []
         if queries.num_rows and products.num_rows:
             products = products.sort_by("id")  # equal scores: the smaller id first
-            # the last digits of a product depend on its place in the block
-            sims = np.round(unit(queries["vector"]) @ unit(products["embedding"]).T, 12)
-            ids = products["id"].combine_chunks()
-            for i, qid in enumerate(queries["qid"].to_pylist()):
-                best = np.argsort(-sims[i], kind="stable")[:k]
-                out["qid"] += [qid] * len(best)
-                out["id"] += ids.take(pa.array(best)).to_pylist()
-                out["similarity"] += sims[i][best].tolist()
-        return pa.table({name: pa.array(values, kinds[name]) for name, values in out.items()})
+            wanted, stock = unit(queries["vector"]), unit(products["embedding"]).T
+            n = stock.shape[1]
+            step = max(1, tile // n)
+            for start in range(0, len(wanted), step):
+                sims = wanted[start:start + step] @ stock
+                # the last digits of a product depend on its place in the block
+                floor = np.partition(sims, n - k, axis=1)[:, n - k] - 1e-11 if n > k else np.full(len(sims), -2.0)
+                row, at = np.nonzero(sims >= floor[:, None])
+                value = np.round(sims[row, at], 12)
+                order = np.lexsort((at, -value, row))
+                row, at, value = row[order], at[order], value[order]
+                first = np.searchsorted(row, np.arange(len(sims)))
+                best = np.arange(len(row)) - first[row] < k
+                asked.append(row[best] + start)
+                held.append(at[best])
+                near.append(value[best])
+        rows, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (asked, held))
+        return pa.table({"qid": queries["qid"].take(pa.array(rows)), "id": products["id"].take(pa.array(places)),
+                         "similarity": pa.array(np.concatenate(near) if near else np.zeros(0))})
     return run
 
 
+QUERIES_TOGETHER = 1_024  # of one block, while the grid has room
+
+
+def _grid(queries, product_blocks, query_blocks, tasks):
+    """(product blocks, query blocks): about `tasks` cells, so that neither side is copied
+    more often than the root of that; few queries are not cut at all."""
+    if query_blocks is None:
+        side = math.isqrt(max(tasks - 1, 0)) + 1
+        query_blocks = 1 if product_blocks else min(side, max(1, -(-queries.count() // QUERIES_TOGETHER)))
+    return product_blocks or max(1, -(-tasks // query_blocks)), query_blocks
+
+
+def _vector(df, c):
+    """Floats travel as they are; the worker computes in doubles."""
+    as_is = df.schema[c].dataType.simpleString() == "array<float>"
+    return F.col(c) if as_is else F.col(c).cast("array<double>").alias(c)
+
+
 def top_k(products: DataFrame, queries: DataFrame, k=vocab.SEARCH_CANDIDATES, *,
-          product_blocks=None, query_blocks=1) -> DataFrame:
+          product_blocks=None, query_blocks=None) -> DataFrame:
     """The k closest products of every query: `qid, id, similarity, pos`.
 
     Products: `id, embedding, scope`; queries: `qid, vector, scope` (null scope searches
     everything). Ids may have any type that sorts. A query meets only the products of its
     scope, and products that no query asks about are left out before they move. The
-    products of a scope are hashed into blocks, one for each shuffle partition
-    unless `product_blocks` says otherwise, and stand still; the queries, a stated set,
-    are copied to the blocks of their scope, in `query_blocks` parts where they are many.
-    Every block gives at most k rows per query. Equal to 12 digits is a tie, which goes
-    to the smaller id.
+    products of a scope are hashed into blocks, and the queries too where they are many;
+    every pair of blocks is a task, about as many as shuffle partitions unless
+    `product_blocks` or `query_blocks` says otherwise. Each side is copied to the blocks of
+    the other: few queries leave the products where they are, and as many queries as
+    products copy both only as often as the root of the tasks. Every product block gives at
+    most k rows per query. Equal to 12 digits is a tie, which goes to the smaller id.
     Vectors that are null, all zero or hold a null, and pairs of unequal length, give no row.
     """
     spark = products.sparkSession
-    blocks = product_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, query_blocks = _grid(queries, product_blocks, query_blocks,
+                                 int(spark.conf.get("spark.sql.shuffle.partitions")))
     q = queries.filter(usable("vector")).withColumn("size", F.size("vector")).select(
-        "qid", F.col("vector").cast("array<double>").alias("vector"), "size",
+        "qid", _vector(queries, "vector"), "size",
         F.pmod(F.xxhash64("qid"), F.lit(query_blocks)).cast("int").alias("qb"), "scope",
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("pb"))
     p = products.filter(usable("embedding")).withColumn("size", F.size("embedding")).select(
-        "id", F.col("embedding").cast("array<double>").alias("embedding"), "size", "scope",
+        "id", _vector(products, "embedding"), "size", "scope",
         F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("pb"))
     part = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb")
     scoped = p.filter(F.col("scope").isNotNull()).select("*", F.lit(False).alias("all"))

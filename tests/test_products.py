@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,32 @@ def test_top_k_takes_text_ids_and_odd_vectors(spark):
     assert zero.first()["c"] is None
 
 
+def test_a_block_holds_few_similarities_at_a_time(spark):
+    """One block of many queries and products, with ties over its cut."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(3000, 4))
+    m[1500:] = m[:1500]
+    ids = pa.array(range(3000))
+    block = pa.array(m.tolist(), pa.list_(pa.float32()))
+    tracemalloc.start()
+    got = vector._block_top(5)(pa.table({"qid": ids, "vector": block}), pa.table({"id": ids, "embedding": block}))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 60 << 20  # all similarities are 72 MB
+    u = m.astype("float32").astype("float64")
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for i in (0, 7, 1600, 2999):
+        sims = np.round(u[i] @ u.T, 12)
+        assert [r["id"] for r in got.slice(i * 5, 5).to_pylist()] == sorted(range(3000), key=lambda j: (-sims[j], j))[:5]
+
+
+def test_neither_side_of_a_search_is_copied_to_every_task(spark):
+    q = spark.range(40_000)
+    assert vector._grid(q, None, None, 200) == (14, 15)
+    assert vector._grid(q.limit(10), None, None, 200) == (200, 1)
+    assert vector._grid(q, 7, 3, 200) == (7, 3)
+
+
 def test_zero_vector_stays(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], ["v"])
     assert [r["u"] for r in df.select(vector.normalise("v").alias("u")).collect()] == [
