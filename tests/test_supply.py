@@ -437,3 +437,14 @@ def test_a_crowded_cell_is_joined_whole(spark):
     part = F.pmod(F.xxhash64("shop_id"), F.col("_parts"))
     sizes = [r["count"] for r in leaf.groupBy("_level", "_nrow", "_ncolumn", part).count().collect()]
     assert max(sizes) <= 2 * 40 and sum(sizes) == 1000
+
+
+def test_missing_skus_are_left_out_where_the_pairs_are_formed(spark):
+    from mercata.operators import catalog
+    shops = spark.createDataFrame([(1, ["a"]), (2, ["b", "a"]), (3, ["a"])], "shop_id long, categories array<string>")
+    stock = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (3, 99)], "shop_id long, sku long")
+    parts = spark.createDataFrame([("a", 10, "x"), ("a", 11, "y"), ("a", 12, "z"), ("b", 20, "u"), ("b", 21, "v")],
+                                  "category string, sku long, name string")
+    rows = catalog.missing_skus(spark.createDataFrame([(1,), (2,), (3,), (4,)], "shop_id long"), shops, stock, parts)
+    assert sorted((r["shop_id"], r["sku"]) for r in rows.collect()) == [(1, 12), (2, 21), (3, 10), (3, 11), (3, 12)]
+    assert "LeftAnti" not in rows._jdf.queryExecution().optimizedPlan().toString()
