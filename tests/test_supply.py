@@ -448,3 +448,20 @@ def test_missing_skus_are_left_out_where_the_pairs_are_formed(spark):
     rows = catalog.missing_skus(spark.createDataFrame([(1,), (2,), (3,), (4,)], "shop_id long"), shops, stock, parts)
     assert sorted((r["shop_id"], r["sku"]) for r in rows.collect()) == [(1, 12), (2, 21), (3, 10), (3, 11), (3, 12)]
     assert "LeftAnti" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stock_is_added_up_before_it_meets_the_centres(spark):
+    from mercata.operators import matching
+    shops = spark.createDataFrame([(1, ["a"], 40.4, -3.7), (2, ["b"], 40.4, -3.69), (3, ["a"], 40.9, -3.7)],
+                                  "shop_id long, categories array<string>, lat double, lng double")
+    stock = spark.createDataFrame([(1, 10, "red pen", "a", 2.0, 3), (1, 11, "blue pen", "a", 1.0, 4), (2, 12, "pen", "b", 1.0, 1),
+                                   (3, 13, "pen", "a", 1.0, 1)], "shop_id long, sku long, name string, category string, price double, qty long")
+    asked = matching.with_want(spark.createDataFrame(
+        [(i, ["Pen", "red"], ["a"] if i == 4 else [], 40.4, -3.7 + i / 1000) for i in range(5)],
+        "qid long, keywords array<string>, category_hints array<string>, lat double, lng double"))
+    near = matching.matched_shops(asked, shops, stock, 2.0)
+    got = sorted((round(r["lng"], 3), r["shop_id"], r["total_qty"], r["item_count"], r["cheapest"]["sku"]) for r in near.collect())
+    assert got == sorted([(round(-3.7 + i / 1000, 3), 1, 7, 2, 11) for i in range(5)]
+                         + [(round(-3.7 + i / 1000, 3), 2, 1, 1, 12) for i in range(4)])
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ASIN(") < plan.index("Aggregate")
