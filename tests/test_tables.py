@@ -69,3 +69,25 @@ def test_rows_are_numbered_over_the_whole_table(spark, n):
     assert got.agg(F.count_distinct("_n")).first()[0] == n
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_rows_replaced_whole_are_moved_once(spark, tmp_path):
+    """As `upsert` does it, with one exchange and several files in a partition."""
+    keys = ["shop", "sku"]
+    old = spark.createDataFrame([(f"s{i % 50}", i, i) for i in range(3000)], SCHEMA)
+    new = spark.createDataFrame([(f"s{i % 50}", i, -i) for i in range(1500, 4000)], SCHEMA)
+    new = new.unionByName(spark.createDataFrame([("s0", 2000, 1), ("s0", 2000, 2)], SCHEMA))
+    once, twice = str(tmp_path / "once"), str(tmp_path / "twice")
+    for rows in (old, new, new):
+        assert keyed.replace(rows, once, keys, old.schema, parts=2) == keyed.upsert(
+            rows, twice, keys, lambda a, b: upsert.replace_upsert(a, b, keys), old.schema, parts=2)
+    got, want = keyed.read(spark, once, old.schema), keyed.read(spark, twice, old.schema)
+    assert got.count() == want.count() == 4000 and got.exceptAll(want).count() == 0
+    assert keyed.replace(new.limit(0), once, keys, old.schema, parts=2) == []
+
+    def dealt(rows):
+        return rows.withColumn("p", keyed.part_of(keys, 2))
+    merged = upsert.replace_upsert(dealt(old), dealt(new), keys, where=["p"])
+    merged.collect()
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning(") == 1
