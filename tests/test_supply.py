@@ -465,3 +465,42 @@ def test_stock_is_added_up_before_it_meets_the_centres(spark):
                          + [(round(-3.7 + i / 1000, 3), 2, 1, 1, 12) for i in range(4)])
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ASIN(") < plan.index("Aggregate")
+
+
+def test_lists_are_made_once_and_handed_out(spark):
+    """Queries that share want and centre share the texts; no list moves a second time."""
+    run = run_search(spark, [(i, "leche", None, None) for i in range(40)] + [(99, "pan", 41.5, -3.7)])
+    assert run.listed.count() == 2 and run.results.count() == 80
+    read = geojson.features(run.listed).select("list_id", "rank", F.sha2("feature", 256).alias("h"))
+    out = search.handed_out(run.searches, read)
+    assert out.count() == 80 and out.select("h").distinct().count() == 2
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # the text is made below a generator, which is below the join
+    assert plan.index("Join") < plan.index("Generate inline") < plan.index("sha2")
+    # ranked where it is dealt, met by the queries there
+    window = plan.index("Window")
+    assert plan[:window].count("Exchange hashpartitioning(list_id") <= 1
+    assert "ENSURE_REQUIREMENTS" not in plan[window:plan.index("REPARTITION_BY_NUM")]
+
+
+def test_an_inbox_holds_the_cheapest_items_of_all_words(spark):
+    shops = spark.createDataFrame([(1, ["a"], 40.4, -3.7), (2, ["b"], 40.4, -3.69)],
+                                  "shop_id long, categories array<string>, lat double, lng double")
+    stock = spark.createDataFrame(
+        [(s, 100 * s + i, ["red pen", "red cup", "blue pen", "cup"][i % 4], "a", float((i * 7) % 5), i % 6)
+         for s in (1, 2) for i in range(24)],
+        "shop_id long, sku long, name string, category string, price double, qty long")
+    asked = matching.with_want(spark.createDataFrame(
+        [(1, "q", ["Pen", "red"], [], 40.4, -3.7), (2, "q", ["red", "pen"], ["a"], 40.4, -3.7), (3, "q", ["cup"], [], 40.4, -3.7)],
+        "qid long, raw_query string, keywords array<string>, category_hints array<string>, lat double, lng double"))
+    rows = stock.collect()
+    for limit in (3, None):
+        got = {(r["qid"], r["shop_id"]): [i["sku"] for i in r["items"]]
+               for r in search.inbox(asked, shops, stock, 2.0, limit).collect()}
+        want = {}
+        for q, words in ((1, {"pen", "red"}), (2, {"pen", "red"}), (3, {"cup"})):
+            for s in (1, 2):
+                hit = sorted((r["price"], r["sku"]) for r in rows if r["shop_id"] == s and r["qty"] > 0 and words & set(r["name"].split()))
+                if q != 2 or s == 1:
+                    want[q, s] = [sku for _, sku in hit[:limit]]
+        assert got == want
