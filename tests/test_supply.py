@@ -504,3 +504,27 @@ def test_an_inbox_holds_the_cheapest_items_of_all_words(spark):
                 if q != 2 or s == 1:
                     want[q, s] = [sku for _, sku in hit[:limit]]
         assert got == want
+
+
+def test_centres_on_one_spot_are_shared_out(spark):
+    centres = spark.createDataFrame([(i, 40.4, -3.7) for i in range(300)], "qid long, lat double, lng double")
+    shops = spark.createDataFrame([(i, 40.4 + i / 5000, -3.7) for i in range(60)], "shop_id long, lat double, lng double")
+    for crowded in (2000, 10):
+        met = places.radius_join(centres, shops, 2.0, crowded=crowded, pairs=500)
+        assert met.columns.count("distance_km") == 1 and not [c for c in met.columns if c in ("_share", "_shares", "_cell")]
+        n = shops.filter((F.col("lat") - 40.4) * F.lit(math.radians(1) * vocab.EARTH_RADIUS_KM) <= 2.0).count()
+        assert met.count() == 300 * n == met.select("qid", "shop_id").distinct().count()
+        # one spot, several tasks
+        assert met.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_stock_is_summed_in_pieces_by_its_rows(spark, monkeypatch):
+    from mercata.workload import views
+    sf = "/root/testdata/sf0.001"
+    whole = {tuple(r) for r in views.inventory(spark, sf).collect()}
+    monkeypatch.setattr(views, "ROWS_TOGETHER", 100)
+    pieces = views.inventory(spark, sf)
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
+    assert f", {n}), REPARTITION_BY_NUM" in plan
+    assert {tuple(r) for r in pieces.collect()} == whole
