@@ -230,3 +230,22 @@ def test_a_repeated_run_changes_nothing(spark):
                                ["id", "keyword", "window_start"])
     twice = upsert.replace_upsert(df, df, ["keyword", "window_start"])
     assert sorted(map(str, twice.select(df.columns).collect())) == sorted(map(str, df.collect()))
+
+
+def test_recommendations_are_counted_without_pairs(spark):
+    from mercata.operators import recommend
+    signals = spark.createDataFrame(
+        [(f"s{i}", ["a", "b", "", None][i % 4], ["rising", "falling", "flat"][i % 3], ["high", "low"][i // 3 % 2], f"w{i % 2}") for i in range(40)],
+        "id string, category string, direction string, confidence string, window_start string")
+    products = spark.createDataFrame(
+        [(s, p, ["a", "b"][p % 2], s % 3) for s in range(12) for p in range(s % 7 + 1)],
+        "store_id long, product_id long, category string, qty long")
+    pairs = recommend.build(signals, products, "now").join(
+        signals.select(F.col("id").alias("signal_id"), "window_start", "category"), "signal_id")
+    by = ["window_start", "category", "action", "confidence"]
+    want = pairs.groupBy(*by).agg(F.count(F.lit(1)), F.count_distinct("store_id"))
+    got = recommend.mix(signals, products)
+    assert got.columns == [*by, "recommendations", "stores"]
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} != set()
+    # a category's stores meet its signals as one row per count
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
