@@ -66,6 +66,11 @@ def occurrences(texts: DataFrame, needles: DataFrame, on, key) -> DataFrame:
     return n.groupBy(*by).cogroup(t.groupBy(*by)).applyInArrow(_searched(on, key), schema)
 
 
+def asked_of(products: DataFrame, turns: DataFrame) -> DataFrame:
+    """The products of stores that have a turn; no other can be suggested."""
+    return products.join(turns.select("store_id").distinct(), "store_id", "left_semi")
+
+
 def suggestions(turns: DataFrame, products: DataFrame,
                 limit=vocab.CHAT_SUGGESTIONS) -> DataFrame:
     """Up to three products per turn: `turn_id, place, product_id, how`.
@@ -127,6 +132,9 @@ def store_digest(products, limit=vocab.DIGEST_LINES):
     of a store ever reach the window.
     """
     stocked = (F.col("qty") > 0).cast("int")
+    parts = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # both the lines and the counts follow without another shuffle, and in as many tasks
+    products = products.repartition(parts, "store_id")
     order = W.partitionBy("store_id").orderBy(stocked.desc(), "name", "product_id")
     lines = (products.withColumn("_n", F.row_number().over(order))
              .filter(F.col("_n") <= limit)

@@ -308,8 +308,9 @@ def chat_turns(spark, sf):
 @query("chat_suggestions", with_(v.INVENTORY, TURNS, select="""
 SELECT * FROM v_named UNION ALL SELECT * FROM v_guess"""))
 def chat_suggestions(spark, sf):
-    products = cut_lineage(v.products(spark, sf)).withColumn("tags", F.array("category"))
-    rows = chat.suggestions(chat_turns(spark, sf), products)
+    turns = chat_turns(spark, sf)
+    products = cut_lineage(chat.asked_of(v.products(spark, sf), turns)).withColumn("tags", F.array("category"))
+    rows = chat.suggestions(turns, products)
     return rows.withColumn("place", F.col("place").cast("long"))
 
 

@@ -192,3 +192,11 @@ def test_interpreted(spark):
     df = spark.createDataFrame([("pan", "Sol"), ("pan", None)], "item string, barrio string")
     got = [r["t"] for r in df.select(semantic.interpreted("item", "barrio").alias("t")).collect()]
     assert got == ["pan near Sol", "pan anywhere in Madrid"]
+
+
+def test_only_products_of_asked_stores_are_looked_at(spark):
+    from mercata.operators import chat
+    products = spark.createDataFrame([(s, p) for s in range(9) for p in range(3)], "store_id long, product_id long")
+    turns = spark.createDataFrame([(1, 4), (2, 4), (3, 7), (4, 99)], "turn_id long, store_id long")
+    got = chat.asked_of(products, turns)
+    assert sorted(tuple(r) for r in got.collect()) == [(s, p) for s in (4, 7) for p in range(3)]
