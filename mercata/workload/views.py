@@ -74,9 +74,19 @@ SHOPS = f"""v_shops AS (
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
+ROWS_TOGETHER = 250_000  # of lineitem in one task
+
+
 def inventory(spark, sf):
-    """Stock is summed to (shop, sku) before it meets the product names."""
-    held = table(spark, sf, "lineitem").groupBy(
+    """Stock is summed to (shop, sku) before it meets the product names.
+
+    Lines are dealt out by part, in pieces by their number, so that what a task sums, joins
+    and later sorts does not grow with the table; the join finds them in place.
+    """
+    lines = table(spark, sf, "lineitem")
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // ROWS_TOGETHER))
+    lines = lines.select("l_suppkey", "l_partkey", "l_extendedprice", "l_quantity").repartition(pieces, "l_partkey")
+    held = lines.groupBy(
         F.col("l_suppkey").alias("shop_id"), F.col("l_partkey").alias("sku")).agg(
         F.max("l_extendedprice").alias("price"),
         (F.sum("l_quantity").cast("int") % 13).alias("qty"))
