@@ -528,3 +528,36 @@ def test_stock_is_summed_in_pieces_by_its_rows(spark, monkeypatch):
     n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
     assert f", {n}), REPARTITION_BY_NUM" in plan
     assert {tuple(r) for r in pieces.collect()} == whole
+
+
+def test_shops_go_to_the_lists_of_a_cell_together(spark, monkeypatch):
+    """Pairs of lists and shops are made where the lists are ranked and handed out."""
+    rng = random.Random(8)
+    shops = [(f"osm:node:{i}", 40.4 + rng.uniform(0, 0.05), -3.7 + rng.uniform(0, 0.05), ["grocery"], f"S{i}") for i in range(40)]
+    items = [(s[0], f"{s[0]}-{i}", "leche pan"[:5 if i % 2 else 9], "grocery", float(rng.randint(1, 3)), i % 3)
+             for s in shops for i in range(4)]
+    asked = [(i, ["leche", "pan"][i % 2], 40.4 + rng.uniform(0, 0.05), -3.7 + rng.uniform(0, 0.05)) for i in range(30)] * 2
+    shop_rows = spark.createDataFrame(shops, ["shop_id", "lat", "lng", "categories", "name"]).withColumn(
+        "address", F.lit(None).cast("string"))
+    stock = spark.createDataFrame(items, "shop_id string, sku string, name string, category string, price double, qty int")
+    queries = spark.createDataFrame([(k, *q[1:]) for k, q in enumerate(asked)], "qid int, raw_query string, lat double, lng double")
+    places_ = spark.createDataFrame([("sol", 40.4168, -3.7038)], ["name", "lat", "lng"])
+    want = set()
+    for k, (_, word, lat, lng) in enumerate(asked):
+        rows = []
+        for s in shops:
+            hit = sorted((i[4], i[1], i[5]) for i in items if i[0] == s[0] and i[5] > 0 and word in i[2].split())
+            if hit and km(lat, lng, s[1], s[2]) <= 2.0:
+                rows.append((km(lat, lng, s[1], s[2]), -sum(h[2] for h in hit), hit[0][0], s[0], hit[0][1], len(hit)))
+        want |= {(k, n + 1, r[3], -r[1], r[4], r[5]) for n, r in enumerate(sorted(rows))}
+    for pairs, together in ((1_000_000, 100), (50, 3)):
+        monkeypatch.setattr(matching, "PAIRS", pairs)
+        monkeypatch.setattr(matching, "SHOPS_TOGETHER", together)
+        run = search.search(queries, shop_rows, stock.withColumn("currency", F.lit("EUR")), places_)
+        got = [(r["qid"], r["rank"], r["shop_id"], r["total_qty"], r["sku"], r["item_count"]) for r in run.results.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert run.searches.schema["list_id"].metadata["parts"] > 4
+    plan = run.results._jdf.queryExecution().executedPlan().toString()
+    # neither from the distance to the ranking nor from there to the queries
+    above = plan[:plan.index("ASIN(")]
+    assert "Window" in above and "Exchange" not in above
