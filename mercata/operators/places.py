@@ -18,7 +18,9 @@ def _met(c, p, key, pairs):
     sizes = c.groupBy(*key).agg(count.alias("_nc")).join(p.groupBy(*key).agg(count.alias("_np")), key)
     sizes = sizes.select(*key, F.ceil(F.col("_nc") * F.col("_np") / pairs).cast("int").alias("_shares"))
     parts = int(c.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = c.join(sizes, key).withColumn("_share", F.pmod(F.xxhash64(*c.columns), F.col("_shares")).cast("int"))
+    # merged: a centre has a row per cell here, which Spark's estimate of its size leaves out, and
+    # broadcast whole the centres pass through the driver
+    dealt = c.join(sizes.hint("merge"), key).withColumn("_share", F.pmod(F.xxhash64(*c.columns), F.col("_shares")).cast("int"))
     every = p.join(sizes, key).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
     # both sides, as either may be the one that is broadcast
     dealt, every = (side.drop("_shares").repartition(parts, *key, "_share") for side in (dealt, every))
@@ -83,7 +85,7 @@ def radius_join(centres: DataFrame, places: DataFrame, radius_km, *,
     key = ["_level", "_nrow", "_ncolumn", "_part"]
     p = p.withColumn("_part", F.pmod(F.xxhash64(place_id), F.col("_parts")).cast("int")).drop("_parts") \
         .withColumnsRenamed({"lat": "_plat", "lng": "_plng"})
-    c = c.join(leaves, "_cell").filter(grid.touches(
+    c = c.join(leaves.hint("merge"), "_cell").filter(grid.touches(
         F.col("_level"), F.col("_nrow"), F.col("_ncolumn"), F.col("lat"), F.col("lng"))).drop("_cell")
     c = c.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts") \
         .withColumnsRenamed({"lat": "_clat", "lng": "_clng"})

@@ -561,3 +561,15 @@ def test_shops_go_to_the_lists_of_a_cell_together(spark, monkeypatch):
     # neither from the distance to the ranking nor from there to the queries
     above = plan[:plan.index("ASIN(")]
     assert "Window" in above and "Exchange" not in above
+
+
+def test_centres_do_not_pass_through_the_driver(spark):
+    import re
+    centres = spark.range(300).select(F.col("id").alias("qid"), F.lit(40.4).alias("lat"), (F.lit(-3.7) + F.col("id") / 9000).alias("lng"))
+    shops = spark.createDataFrame([(i, 40.4 + i / 5000, -3.7) for i in range(60)], "shop_id long, lat double, lng double")
+    for crowded in (2000, 10):
+        met = places.radius_join(centres, shops, 2.0, crowded=crowded)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"BroadcastExchange[^\n]*\n[^\n]*Project \[qid", plan)
+        points = [(r["lat"], r["lng"]) for r in shops.collect()]
+        assert met.count() == sum(km(c["lat"], c["lng"], *p) <= 2.0 for c in centres.collect() for p in points)
